@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, simhash
-from ._common import table
+from . import chat, langid, mixing, quality, simhash
+from ._common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,24 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base check and verdict of the learned rules for every document."""
+    rows, _ = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document for weights 5, 2, 1 over the sources and 150 % of all words."""
+    return mixing.mix_by_source(table(spark, sf_dir, "documents"), weights=(5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from those whose fold is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold_of(F.col("doc_id")) != 0))
+    return langid.identify(docs, model).select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
 OP5_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -46,7 +64,7 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_chat_formatting, op8_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op5_chat_formatting, op8_simhash, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
