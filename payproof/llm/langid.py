@@ -160,12 +160,27 @@ def identify(docs: DataFrame, model: Model, cache: int = 100_000) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0; ties go to the first language by name; very
     long texts are read whole; repeated rows get equal results; other columns are ignored.
     """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scoring(docs, model, 1, cache), "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model, cache: int = 100_000) -> DataFrame:
+    """``docs`` without the rows whose language is ``und``; all columns stay, names that clash with ours too."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    kinds = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
+    scored = plain.mapInArrow(scoring(docs, model, docs.columns.index("text"), cache, every=True), f"{kinds}, lang_pred string, score double")
+    return scored.where("lang_pred <> 'und'").select(names).toDF(*docs.columns)
+
+
+def scoring(docs: DataFrame, model: Model, text: int, cache: int, every: bool = False):
+    """A mapInArrow function: the first column, or all, then lang_pred and score from column number ``text``."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*sent.value), cache)
         for b in batches:
-            out = [scorer.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            out = [scorer.predict(t) for t in b.column(text).to_pylist()]
+            n = b.num_columns if every else 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*b.schema.names[:n], "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return run

@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, quality, simhash
+from . import chat, decontaminate, langid, lines, mixing, quality, simhash
 from ._common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line dedup: lines and characters removed, and a digest of what is left."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines_removed", "n_chars_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, and of one more whose texts hold another template's control strings."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -37,6 +43,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents"), weights=(5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in every document."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "n_items", F.col("items.item_id").alias("item_ids"), F.col("items.edits").alias("edits"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, learned from those whose fold is not 0."""
     docs = table(spark, sf_dir, "documents")
@@ -64,7 +76,7 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op5_chat_formatting, op8_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op5_chat_formatting, op8_simhash, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
