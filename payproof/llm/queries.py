@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lines, mixing, quality, simhash
+from . import chat, decontaminate, langid, lines, mixing, phrases, quality, simhash
 from ._common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_chats(chat.format_chats(turns.unionByName(extra))))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that a 50-word window of a smaller document covers."""
+    out = phrases.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, linked at 3 or fewer differing bits."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, distance=3)
@@ -76,7 +82,7 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op5_chat_formatting, op8_simhash, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op5_chat_formatting, op6_substring_dedup, op8_simhash, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
