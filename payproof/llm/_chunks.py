@@ -20,13 +20,13 @@ MESSAGE = "chunk long, bucket long, kind int, payload binary"
 ARROW_MESSAGE = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
-def deal(docs: DataFrame, chunk_mb: float, bucket_mb: float) -> tuple[DataFrame, int, int, int]:
-    """(chunk, doc_id, text), the numbers of chunks and buckets, and the bytes of all texts."""
+def deal(docs: DataFrame, chunk_mb: float, bucket_mb: float, *more: str) -> tuple[DataFrame, int, int, int]:
+    """(chunk, doc_id, text, more columns), the numbers of chunks and buckets, and the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n, b = max(1, round(total / chunk_mb / 1e6)), max(1, round(total / bucket_mb / 1e6))
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
     chunk = F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), text), F.lit(n))
-    return docs.select(chunk.alias("chunk"), doc_id.alias("doc_id"), text.alias("text")), n, b, total
+    return docs.select(chunk.alias("chunk"), doc_id.alias("doc_id"), text.alias("text"), *more), n, b, total
 
 
 @dataclass
@@ -49,8 +49,8 @@ def read_words(texts: list[str], lower: bool, closing: bytes | None = None) -> W
         toks = (raw.lower() if lower else raw).split()
         if closing is not None:
             toks.append(closing)
-        for w in set(toks).difference(index):
-            index[w] = len(index)
+        for w in dict.fromkeys(toks):
+            index.setdefault(w, len(index))
         parts.append(np.fromiter(map(index.__getitem__, toks), np.int32, len(toks)))
         ends.append(len(toks))
     end = np.cumsum(ends, dtype=np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lines, mixing, phrases, quality, simhash
+from . import chat, decontaminate, katz, langid, lines, mixing, phrases, quality, simhash
 from ._common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_removed", "n_chars_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Katz score of every document, learned from those whose fold is not 1."""
+    held_out = fold_of(F.col("doc_id")) == 1
+    scored = katz.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, and of one more whose texts hold another template's control strings."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -82,7 +89,7 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op5_chat_formatting, op6_substring_dedup, op8_simhash, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op4_lm_scoring, op5_chat_formatting, op6_substring_dedup, op8_simhash, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
