@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, katz, langid, lines, mixing, phrases, quality, simhash
+from . import chat, decontaminate, html, katz, langid, lines, mixing, phrases, quality, simhash
 from ._common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, linked at 3 or fewer differing bits."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, distance=3)
@@ -89,7 +94,7 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op4_lm_scoring, op5_chat_formatting, op6_substring_dedup, op8_simhash, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op4_lm_scoring, op5_chat_formatting, op6_substring_dedup, op7_html_extraction, op8_simhash, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
