@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import text as T
-from ..functions.dates import lenient_date, receipt_date, strict_date
-from ..functions.money import lenient_money, receipt_money, strict_money
-from ..operators import history, metrics, population, reports, search
-from ..operators.rows import line_item_total, row_findings
-from ..policies import POLICIES, policies
+from ..operators import history, population, reports
+from ..operators.rows import RULES, intake_rejected, row_findings
+from ..policies import POLICIES
 from . import model
-from .audit import BatchReport, audit_batch, audit_requests
+from .audit import BatchReport, audit_batch
 from .model import DOCUMENTS_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,8 +77,9 @@ SEVERITY = {p[0]: p[2] for p in POLICIES}
 
 def _row_query(rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = model.documents(spark, sf_dir).select("id", F.explode(row_findings(CONFIG)).alias("f"))
-        return found.where(F.col("f.rule_id") == rule).select("id", "f.severity", "f.summary")
+        fires, found = intake_rejected(CONFIG) if rule == "P-014" else RULES[rule](CONFIG)
+        docs = model.documents(spark, sf_dir).where("ingestion_status = 'accepted'" if rule != "P-014" else "true")
+        return docs.where(fires).select("id", found.alias("f")).select("id", "f.severity", "f.summary")
 
     return run
 
@@ -343,8 +341,11 @@ def queue_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import function_queries  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
