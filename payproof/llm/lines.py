@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 
-def chunks(docs: DataFrame, window: int = 2, one_in: int = 4) -> DataFrame:
+def chunks(docs: DataFrame, window: int = 2, one_in: int = 3) -> DataFrame:
     """A row per chunk of two or more lines: (id, t, k, lines): document, text hash, number of the first line, lines.
 
     A chunk ends after line i where the rolling hash over the hashes of the ``window`` lines up to i is 0 modulo
@@ -29,7 +29,7 @@ def chunk_text(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 4) -> DataFrame:
+def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3) -> DataFrame:
     """(id, t, cuts): for documents (id, t, text) with chunks to remove, the first line and number of lines of each.
 
     A chunk is removed if the same lines, byte by byte, are a chunk of an earlier place: a smaller (id, t, k).  Hashes find
@@ -47,7 +47,7 @@ def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 4) -> DataFr
     return same.select("id", "t", F.struct("k", "m").alias("cut")).groupBy("id", "t").agg(F.collect_set("cut").alias("cuts"))
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3) -> DataFrame:
     """``docs`` with globally repeated chunks of two or more lines taken out of ``text``; two more columns tell how many
     lines (``n_lines_removed``) and characters (``n_chars_removed``, line ends included) went.
 
