@@ -125,26 +125,34 @@ def heard(keys: np.ndarray, buckets: int, told: pa.Table) -> np.ndarray:
     return said
 
 
+def spelled(ids: np.ndarray, digits: int) -> str:
+    """Each word number as ``digits`` characters, 64 values each: an automaton whose nodes have few children is fast."""
+    out = np.empty((len(ids), digits), np.uint8)
+    for k in range(digits):
+        out[:, digits - 1 - k] = (ids >> (6 * k)) % 64 + 48
+    return out.tobytes().decode("latin-1")
+
+
 def recurring(w: Words, found: np.ndarray, window: int, phrase: int) -> np.ndarray:
     """Starts of the windows that hold one of the phrases that begin at ``found``, each of which may occur anywhere.
 
-    The phrases are compiled to an automaton over word numbers, and every text of the chunk is streamed through it.
+    The phrases are compiled to an automaton over spelled word numbers, and every text of the chunk is streamed through it.
     """
     if not len(found):
         return np.empty(0, np.int64)
-    auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for row in np.unique(w.ids[found[:, None] + np.arange(phrase)], axis=0).tolist():
-        auto.add_word(tuple(row))
+    digits = max(1, -(-int(len(w.words)).bit_length() // 6))
+    whole, size = spelled(w.ids, digits), phrase * digits
+    auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for f in found.tolist():
+        auto.add_word(whole[f * digits : f * digits + size])
     auto.make_automaton()
     hit = np.zeros(len(w.ids) + 1, np.int32)
-    ids = w.ids.tolist()
     for b, e in zip(w.begin.tolist(), w.end.tolist()):
         if e - b >= window:
-            ends = np.fromiter((x[0] for x in auto.iter(tuple(ids[b:e]))), np.int64)
-            if len(ends):
-                first = ends + b - phrase + 1
-                np.add.at(hit, np.maximum(b, first - (window - phrase)), 1)
-                np.add.at(hit, first + 1, -1)
+            ends = np.array([x for x, _ in auto.iter(whole[b * digits : e * digits])], np.int64) + 1
+            first = ends[ends % digits == 0] // digits + b - phrase
+            np.add.at(hit, np.maximum(b, first - (window - phrase)), 1)
+            np.add.at(hit, first + 1, -1)
     starts = starts_of(w, window)
     return starts[np.cumsum(hit)[starts] > 0]
 
@@ -179,7 +187,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, chunk_mb
         chunk = key[0].as_py()
         at, keys = anchors(w, window, phrase)
         k, d, more, place = least_by_key(keys, owner(w, ids, at))
-        found = at[heard(k, buckets, told)[place]]
+        several = heard(k, buckets, told)
+        one = np.empty(len(k), np.int64)
+        one[place] = at
+        found = one[several]
         starts = recurring(w, found, window, phrase)
         held = np.zeros(len(w.ids), bool)
         held[starts] = True
