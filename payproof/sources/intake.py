@@ -25,7 +25,10 @@ def files(spark: SparkSession, path: str, recursive: bool = False, pattern: str
 
 
 def triage(found: DataFrame) -> DataFrame:
-    """(path, length, kind, ingestion_status, reject_reason, sha256) by size and first bytes."""
+    """(path, length, kind, ingestion_status, reject_reason, sha256) by size and first bytes.
+
+    Spark's file scans skip files of no bytes, so ``files`` never lists one; rows from elsewhere may be empty.
+    """
     kind = sniff(F.col("content"))
     locked = (kind == "pdf") & F.contains(F.col("content"), F.lit(b"/Encrypt"))
     reason = F.when(F.col("length") == 0, "empty file").when(F.col("length") > MAX_BYTES, "file too large").when(kind.isNull(), "unsupported format").when(locked, "password protected")
