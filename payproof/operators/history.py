@@ -29,9 +29,13 @@ def with_keys(rows: DataFrame, *more: str | Column) -> DataFrame:
 
 
 def keyed(documents: DataFrame, ledger: DataFrame | None, config: Config, today) -> tuple[DataFrame, DataFrame]:
-    """Documents with their keys and anchor date, and all priors: the documents, then the ledger, in order."""
-    docs = with_keys(documents, F.col("vendor").isNotNull().alias("named"), F.coalesce("today", "date", F.lit(today).cast("date")).alias("anchor"))
-    priors = with_keys(documents)
+    """Documents with their keys and anchor date, and all priors: the documents, then the ledger, in order.
+
+    Five controls read these narrow rows several times each, so they are kept (``docs.unpersist()`` lets them go); lost parts are
+    computed again.
+    """
+    docs = with_keys(documents, F.col("vendor").isNotNull().alias("named"), F.coalesce("today", "date", F.lit(today).cast("date")).alias("anchor")).persist()
+    priors = docs.drop("named", "anchor")
     if ledger is not None:
         rows = ledger.withColumnRenamed("document_id", "id").withColumn("input_idx", F.lit(LEDGER_FROM) + F.col("id"))
         priors = priors.unionByName(with_keys(rows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ROUND_DEFAULT, ROUND_RULES, ROUNDING_UNITS, Config
@@ -98,18 +98,21 @@ def future(c: Config) -> tuple[Column, Column]:
     return date > today, finding("P-006", cat("dated ", date.cast("string"), " after audit date ", today.cast("string")), evidence(date=date, audited_on=today))
 
 
-def arithmetic(c: Config) -> tuple[Column, Column]:
-    """Lines against subtotal, then base plus tax against total, or without tax base and total within what tax and service explain."""
+def prepared(docs: DataFrame, c: Config) -> DataFrame:
+    """``docs`` with what the arithmetic control compares, each computed once per row."""
     unit = by_currency({k: money(v) for k, v in ROUNDING_UNITS.items()}, money(0))
-    tol = F.greatest(money(c.total_tolerance), unit).cast(WIDE)
-    lines = line_item_total(F.col("line_items"))
     sub, tax, total = (F.col(x).cast(WIDE) for x in ("subtotal", "tax", "total"))
-    base = F.coalesce(sub, lines)
+    d = docs.withColumns({"_tol": F.greatest(money(c.total_tolerance), unit).cast(WIDE), "_lines": line_item_total(F.col("line_items"))})
+    d = d.withColumns({"_base": F.coalesce(sub, "_lines"), "_gap": F.abs(sub - F.col("_lines")).cast(WIDE)})
+    expected, uplift = (F.col("_base") + tax).cast(WIDE), F.lit(1 + c.max_uplift_ratio).cast("decimal(9,4)")
+    return d.withColumns({"_expected": expected, "_diff": F.abs(total - expected).cast(WIDE), "_ceiling": ((F.col("_base") * uplift).cast(WIDE) + F.col("_tol")).cast(WIDE)})
+
+
+def arithmetic(c: Config) -> tuple[Column, Column]:
+    """Lines against subtotal, then base plus tax against total, or without tax base and total within what tax and service explain."""
+    tol, lines, base, gap, expected, diff, ceiling = (F.col(x) for x in ("_tol", "_lines", "_base", "_gap", "_expected", "_diff", "_ceiling"))
+    sub, tax, total = F.col("subtotal"), F.col("tax"), F.col("total")
     label = F.when(sub.isNotNull(), "subtotal").otherwise("line items")
-    gap = F.abs(sub - lines)
-    expected = (base + tax).cast(WIDE)
-    diff = F.abs(total - expected)
-    ceiling = ((base * F.lit(1 + c.max_uplift_ratio).cast("decimal(9,4)")).cast(WIDE) + tol).cast(WIDE)
     cases = [
         (gap > tol, cat("lines ", say(lines), " != subtotal ", say(sub), " (diff ", say(gap), ")"), evidence(line_item_total=say(lines), subtotal=say(sub), difference=say(gap))),
         (diff > tol, cat(label, " ", say(base), " + tax ", say(tax), " = ", say(expected), " != total ", say(total), " (diff ", say(diff), ")"), evidence(base=say(base), base_label=label, tax=say(tax), expected_total=say(expected), total=say(total), difference=say(diff))),
@@ -156,8 +159,8 @@ Rule = Callable[[Config], tuple[Column, Column]]
 RULES: dict[str, Rule] = {"P-013": low_confidence, "P-001": unsubstantiated, "P-003": missing_vendor, "P-004": missing_date, "P-005": stale, "P-006": future, "P-007": arithmetic, "P-008": unsigned, "P-009": over_limit, "P-010": round_amount, "P-012": unapproved}
 
 
-def row_findings(config: Config) -> Column:
-    """All findings of the row-local controls; a rejected file has its rejection alone."""
+def with_findings(docs: DataFrame, config: Config, name: str = "findings") -> DataFrame:
+    """``docs`` with all findings of the row-local controls as ``name``; a rejected file has its rejection alone."""
     rejected, rejection = intake_rejected(config)
     found = F.array_compact(F.array(*[F.when(F.coalesce(fires, F.lit(False)), f) for fires, f in (r(config) for r in RULES.values())]))
-    return F.when(rejected, F.array(rejection)).otherwise(found)
+    return prepared(docs, config).withColumn(name, F.when(rejected, F.array(rejection)).otherwise(found)).select(*docs.columns, name)

@@ -13,7 +13,7 @@ from ..config import Config
 from ..functions import text as T
 from ..functions.similarity import jaro_winkler
 from ..operators import history, population
-from ..operators.rows import rank, row_findings
+from ..operators.rows import rank, with_findings
 from ..policies import HISTORY_RULES
 from ..schema import FINDING
 
@@ -25,6 +25,12 @@ class BatchReport:
     results: DataFrame
     benford: DataFrame
     digits: DataFrame
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Let go of the rows that were kept between controls."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     def findings(self) -> DataFrame:
         """A row per finding, the worst of a document first."""
@@ -55,10 +61,11 @@ def worst(findings: Column) -> Column:
     return out
 
 
-def history_findings(documents: DataFrame, ledger: DataFrame | None, config: Config, today: dt.date) -> DataFrame:
-    docs, priors = history.keyed(documents, ledger, config, today)
-    docs = docs.where("named")
-    return reduce(DataFrame.unionByName, [rule(docs, priors, config) for rule in history.RULES.values()])
+def history_findings(documents: DataFrame, ledger: DataFrame | None, config: Config, today: dt.date) -> tuple[DataFrame, DataFrame]:
+    """(id, finding) of the controls that compare documents, and the rows kept for them."""
+    kept, priors = history.keyed(documents, ledger, config, today)
+    docs = kept.where("named")
+    return reduce(DataFrame.unionByName, [rule(docs, priors, config) for rule in history.RULES.values()]), kept
 
 
 def audit_batch(documents: DataFrame, ledger: DataFrame | None = None, config: Config = Config(), today: dt.date | None = None) -> BatchReport:
@@ -69,13 +76,14 @@ def audit_batch(documents: DataFrame, ledger: DataFrame | None = None, config: C
     """
     today = today or dt.date.today()
     dated = documents.withColumn("today", F.coalesce("today", F.lit(today)))
-    rows = dated.select("id", "input_idx", "vendor", "total", "date", "source", F.coalesce("ingestion_status", F.lit("accepted")).alias("status"), row_findings(config).alias("own"))
-    shared = history_findings(documents, ledger, config, today).groupBy("id").agg(F.collect_list("finding").alias("shared"))
+    rows = with_findings(dated, config, "own").select("id", "input_idx", "vendor", "total", "date", "source", F.coalesce("ingestion_status", F.lit("accepted")).alias("status"), "own")
+    compared, kept = history_findings(documents, ledger, config, today)
+    shared = compared.groupBy("id").agg(F.collect_list("finding").alias("shared"))
     none = F.array().cast(f"array<{FINDING}>")
     joined = rows.join(shared, "id", "left")
     found = F.concat(F.col("own"), F.when(F.col("status") == "accepted", F.coalesce("shared", none)).otherwise(none))
     results = joined.withColumn("findings", sorted_findings(found)).select("id", "input_idx", verdict(F.col("findings")).alias("verdict"), worst(F.col("findings")).alias("worst_severity"), "findings", F.array().cast("array<string>").alias("not_evaluated"), "vendor", "total", "date", "source")
-    return BatchReport(results, population.benford(documents, config), population.digits(documents, config))
+    return BatchReport(results, population.benford(documents, config), population.digits(documents, config), kept)
 
 
 def sorted_findings(findings: Column) -> Column:
@@ -122,7 +130,7 @@ def audit_requests(requests: DataFrame, ledger: DataFrame | None = None, config:
     """
     today = today or dt.date.today()
     dated = requests.withColumn("today", F.coalesce("today", F.lit(today)))
-    own = dated.select("id", "input_idx", "vendor", "total", "date", "source", F.coalesce("ingestion_status", F.lit("accepted")).alias("status"), F.col("history").isNotNull().alias("given"), row_findings(config).alias("own"))
+    own = with_findings(dated, config, "own").select("id", "input_idx", "vendor", "total", "date", "source", F.coalesce("ingestion_status", F.lit("accepted")).alias("status"), F.col("history").isNotNull().alias("given"), "own")
     shared = request_findings(requests, ledger, config, today).groupBy("id").agg(F.collect_list("finding").alias("shared"))
     none = F.array().cast(f"array<{FINDING}>")
     joined = own.join(shared, "id", "left")

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.dates import lenient_date, receipt_date, strict_date
 from ..functions.money import lenient_money, receipt_money, strict_money
 from ..operators import metrics, search
-from ..operators.rows import line_item_total, row_findings
+from ..operators.rows import line_item_total, with_findings
 from ..policies import POLICIES, policies
 from ..sources.documents import unknown_keys
 from . import model
@@ -207,7 +207,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id")
     want = F.array_compact(F.array(F.when(k % 50 == 1, "P-007"), F.when(k % 40 == 2, "P-010"), F.when(k % 97 == 3, "P-003"), F.when(k % 89 == 5, "P-004")))
     kind = F.when(k % 50 == 1, "altered_total").when(k % 40 == 2, "round_number_amount").when(k % 97 == 3, "no_vendor").when(k % 60 == 7, "mismatched_po").otherwise("none")
-    return model.documents(spark, sf_dir).select("id", kind.alias("kind"), want.alias("expected"), F.col("ingestion_status"), row_findings(CONFIG).alias("f")).select("id", "kind", "expected", F.col("f.rule_id").alias("fired"))
+    return with_findings(model.documents(spark, sf_dir), CONFIG).select("id", kind.alias("kind"), want.alias("expected"), F.col("findings.rule_id").alias("fired"))
 
 
 @query(docs_sql(f"SELECT *, {PRF_SQL} FROM conf", RUNS_TABLE_SQL, EXPECTED_SQL))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import history, population, reports
-from ..operators.rows import RULES, intake_rejected, row_findings
+from ..operators.rows import RULES, intake_rejected, prepared, with_findings
 from ..policies import POLICIES
 from . import model
 from .audit import BatchReport, audit_batch
@@ -78,7 +78,8 @@ SEVERITY = {p[0]: p[2] for p in POLICIES}
 def _row_query(rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fires, found = intake_rejected(CONFIG) if rule == "P-014" else RULES[rule](CONFIG)
-        docs = model.documents(spark, sf_dir).where("ingestion_status = 'accepted'" if rule != "P-014" else "true")
+        docs = model.documents(spark, sf_dir)
+        docs = (prepared(docs, CONFIG) if rule == "P-007" else docs).where("ingestion_status = 'accepted'" if rule != "P-014" else "true")
         return docs.where(fires).select("id", found.alias("f")).select("id", "f.severity", "f.summary")
 
     return run
@@ -299,7 +300,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit runs by the row-local controls alone."""
-    docs = model.documents(spark, sf_dir).withColumn("findings", row_findings(CONFIG))
+    docs = with_findings(model.documents(spark, sf_dir), CONFIG).persist()
     from .audit import verdict
 
     return docs.select(F.col("id").cast("string").alias("run_id"), "id", verdict(F.col("findings")).alias("verdict"), "findings")
@@ -328,7 +329,7 @@ def period_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(docs_sql("SELECT runs.id, verdict, reviewer, decision FROM runs LEFT JOIN last USING (run_id) WHERE verdict <> 'pass'", REVIEWS_SQL, RUNS_TABLE_SQL))
 def exception_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = model.documents(spark, sf_dir).withColumn("findings", row_findings(CONFIG))
+    docs = with_findings(model.documents(spark, sf_dir), CONFIG).persist()
     from .audit import verdict, worst
 
     res = docs.withColumn("verdict", verdict(F.col("findings"))).withColumn("worst_severity", worst(F.col("findings")))

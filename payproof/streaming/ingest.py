@@ -25,6 +25,7 @@ def audit_micro_batch(batch: DataFrame, batch_id: int, ledger: Ledger, config: C
     past = ledger.history(cutoff).join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
     report = audit_batch(docs, past, config, today)
     ledger.record(docs, report.results, dt.datetime.now(), name)
+    report.release()
     docs.unpersist()
 
 
