@@ -34,12 +34,16 @@ def tokens(text: str) -> list[str]:
     return [w for w in (x.strip(TRIM) for x in text.lower().split()) if w]
 
 
-def sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """At most about ``per_lang`` documents of each language, chosen by a hash of id and text."""
-    named = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text").alias("h"))
-    counts = docs.where("lang is not null").groupBy("lang").count()
-    part = F.pmod(F.col("h"), F.lit(1 << 20)) < F.ceil(F.lit(per_lang * float(1 << 20)) / F.col("count"))
-    return named.join(counts, "lang").where(part).select("lang", "text")
+def sample(docs: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
+    """At most about ``per_lang`` documents of each language, chosen by a hash of id and text; texts stay where they are."""
+    counts = docs.where("lang is not null").groupBy("lang").count().limit(most_langs + 1).collect()
+    if len(counts) > most_langs:
+        raise ValueError(f"over {most_langs} languages")
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text"), F.lit(1 << 20))
+    below = F.lit(0)
+    for r in counts:
+        below = F.when(F.col("lang") == r["lang"], math.ceil(per_lang * (1 << 20) / r["count"])).otherwise(below)
+    return docs.where(F.col("text").isNotNull() & (place < below)).select("lang", "text")
 
 
 def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int = 60_000, longest: int = 4, most_langs: int = 300) -> Model:
@@ -50,7 +54,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int
     model's size is bounded by ``keep`` times the number of languages, itself at most ``most_langs`` (more is an error).
     Rows with a null text or lang are left out; without a labelled row the model has no language.
     """
-    picked = sample(docs, per_lang)
+    picked = sample(docs, per_lang, most_langs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -77,9 +81,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int
     words = picked.mapInArrow(count, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     grams = words.mapInArrow(cut, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("k", F.length("gram"))
     counted = words.withColumn("k", F.lit(0)).unionByName(grams).persist()
-    totals = {(r["lang"], r["k"]): (r["n"], r["v"]) for r in counted.groupBy("lang", "k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).limit(most_langs * (longest + 1) + 1).collect()}
-    if len(totals) > most_langs * (longest + 1):
-        raise ValueError(f"over {most_langs} languages")
+    totals = {(r["lang"], r["k"]): (r["n"], r["v"]) for r in counted.groupBy("lang", "k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     rank = F.row_number().over(W.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= keep).select("lang", "k", "gram", "n").toPandas()
     counted.unpersist()
