@@ -46,7 +46,7 @@ def sample(docs: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
     return docs.where(F.col("text").isNotNull() & (place < below)).select("lang", "text")
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int = 60_000, longest: int = 4, most_langs: int = 300) -> Model:
+def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int = 30_000, longest: int = 4, most_langs: int = 300) -> Model:
     """Learn from a bounded sample of labelled rows: about ``per_lang`` documents of a language, chosen by hash, and
     of each the words of one stretch of ``most_words`` at a place given by the same hash.
 
@@ -82,27 +82,29 @@ def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int
     grams = words.mapInArrow(cut, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("k", F.length("gram"))
     counted = words.withColumn("k", F.lit(0)).unionByName(grams).persist()
     totals = {(r["lang"], r["k"]): (r["n"], r["v"]) for r in counted.groupBy("lang", "k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    langs = sorted({lang for lang, _ in totals})
+    place = {lang: i for i, lang in enumerate(langs)}
     rank = F.row_number().over(W.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= keep).select("lang", "k", "gram", "n").toPandas()
+    number = F.array_position(F.array(*[F.lit(x) for x in langs]).cast("array<string>"), F.col("lang")) - 1
+    top = counted.withColumn("rank", rank).where(F.col("rank") <= keep).select(number.cast("int").alias("lang"), "k", "gram", "n").toArrow()
     counted.unpersist()
     words.unpersist()
-    langs = sorted({lang for lang, _ in totals})
-    place = {lang: i for i, lang in enumerate(langs)}
-    size = {k: np.array([totals.get((lang, k), (1, 1))[0] for lang in langs], float) for k in range(longest + 1)}
+    lang, kinds, n = (top.column(c).to_numpy() for c in ("lang", "k", "n"))
+    size = {k: np.array([totals.get((x, k), (1, 1))[0] for x in place], float) for k in range(longest + 1)}
     most = {k: max([v for (_, kk), (_, v) in totals.items() if kk == k], default=1) for k in range(longest + 1)}
+    total = np.array([size[i] + 0.5 * (most[i] + 1) for i in range(longest + 1)])
 
-    def logs(part) -> tuple[dict[str, int], np.ndarray]:
-        """Index and log frequencies of one kind's entries; 0.5 is added to each count."""
+    def logs(part: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+        """Index and log frequencies of some entries; 0.5 is added to each count."""
         index: dict[str, int] = {}
-        at = [index.setdefault(g, len(index)) for g in part["gram"]]
-        n = np.zeros((len(index), len(langs)))
-        n[at, [place[x] for x in part["lang"]]] = part["n"]
+        at = [index.setdefault(g, len(index)) for g in top.column("gram").filter(pa.array(part)).to_pylist()]
+        count = np.zeros((len(index), len(langs)))
+        count[at, lang[part]] = n[part]
         k = np.zeros(len(index), int)
-        k[at] = part["k"]
-        total = np.array([size[i] + 0.5 * (most[i] + 1) for i in range(longest + 1)])
-        return index, np.log((n + 0.5) / total[k]).astype(np.float32)
+        k[at] = kinds[part]
+        return index, np.log((count + 0.5) / total[k]).astype(np.float32)
 
-    return Model(langs, *logs(top[top["k"] == 0]), *logs(top[top["k"] > 0]), longest)
+    return Model(langs, *logs(kinds == 0), *logs(kinds > 0), longest)
 
 
 class Scorer:
@@ -111,7 +113,7 @@ class Scorer:
     def __init__(self, model: Model, cache: int = 100_000):
         self.model, self.most = model, len(model.words) + cache
         self.logs = np.zeros((self.most, max(1, len(model.langs))), np.float32)
-        self.logs[: len(model.words)] = model.word_logs
+        self.logs[: len(model.words), : len(model.langs)] = model.word_logs
         self.forget()
 
     def forget(self) -> None:
