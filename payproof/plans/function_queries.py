@@ -15,7 +15,7 @@ from ..sources.documents import unknown_keys
 from . import model
 from .audit import audit_requests
 from .model import table
-from .queries import CONFIG, ROW_SQL, RUNS_TABLE_SQL, day, docs_sql, query, runs
+from .queries import CONFIG, RUNS_TABLE_SQL, day, docs_sql, query
 
 
 @query(docs_sql("SELECT DISTINCT vendor, key FROM keyed WHERE vendor IS NOT NULL"))
