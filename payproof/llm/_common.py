@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,19 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referenced, before the next job writes its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: Python objects are made of few rows at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, sliced
 
 #: A walk takes this many steps per word of an item.
 STRETCH = 1.5
@@ -23,10 +23,10 @@ class Index:
     (n - e) // (e + 1) words untouched, so a window can only match if it shares such a run with the item: those windows,
     found by looking up every run of the text, are the candidates for the walks.  Each of ``walks`` random walks is
     sampled at ``sample`` places; as many walks are taken as copies of this block's items with e random edits
-    need for a share ``recall`` of them to agree with their item in all places of one walk.
+    need for a share ``recall`` of them to agree with their item in all places of one walk; given ``walks``, so many.
     """
 
-    def __init__(self, items: list[tuple[int, list[str]]], similarity: float = 0.8, recall: float = 0.99, sample: int = 2, most_walks: int = 48, seed: int = 11):
+    def __init__(self, items: list[tuple[int, list[str]]], similarity: float = 0.8, recall: float = 0.99, sample: int = 2, most_walks: int = 48, seed: int = 11, walks: int | None = None):
         rng = np.random.default_rng(seed)
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
@@ -39,12 +39,13 @@ class Index:
         for x, s in enumerate(self.seqs):
             self.table[x, : len(s)] = s
         self.runs = [self.run_table(g) for g in sorted({self.gram(n, e) for n, e in zip(self.n, self.edits)})]
-        self.bits = rng.integers(0, 2, (self.steps, most_walks, 8192)).astype(bool)
+        self.bits = rng.integers(0, 2, (self.steps, most_walks, 1024), dtype=np.int8).astype(bool)
         self.places = rng.random((most_walks, sample))
-        self.walks = most_walks
+        self.walks = walks or most_walks
+        self.bits, self.places = self.bits[:, : self.walks], self.places[: self.walks]
         self.own = self.keys(self.table, self.n, self.n)
         self.recall = 1.0
-        if items:
+        if items and walks is None:
             pick = rng.integers(0, len(items), 2000)
             copies = [self.edited(self.seqs[x], int(self.edits[x]), rng) for x in pick]
             m = np.array([len(c) for c in copies])
@@ -169,7 +170,7 @@ class Index:
         return np.where(inside, flat[np.minimum(at, max(0, len(flat) - 1))] if len(flat) else 0, 0), np.maximum(0, right - left)
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least: int = 8, recall: float = 0.99, block: int = 2000, at_once: int = 8192) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least: int = 8, recall: float = 0.99, block: int = 2000, at_once: int = 4096) -> DataFrame:
     """(doc_id, h, item_id, last_word, edits): matches of benchmark items in documents; h hashes the text.
 
     Words are lower-cased runs of letters and digits.  Items of fewer than ``least`` words say too little to tell a
@@ -185,12 +186,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k).collect()
         if part:
-            sent = spark.sparkContext.broadcast([(r["item_id"], list(r["words"])) for r in sorted(part, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["words"]))])
+            known = [(r["item_id"], list(r["words"])) for r in sorted(part, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["words"]))]
+            sent = spark.sparkContext.broadcast((known, Index(known, similarity, recall).walks))
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                index = Index(sent.value, similarity, recall)
+                index = Index(sent.value[0], similarity, recall, walks=sent.value[1])
                 get = index.vocabulary.get
-                for b in batches:
+                for b in sliced(batches, 1000):
                     seqs = [np.fromiter((get(w, 0) for w in ws.split()), np.int64) for ws in b.column(2).to_pylist()]
                     ends = np.cumsum([len(s) for s in seqs])
                     flat = np.concatenate([*seqs, np.empty(0, np.int64)])

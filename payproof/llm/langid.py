@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._common import sliced
+
 LETTER = re.compile(r"[^\W\d_]")
 TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -58,7 +60,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        for b in batches:
+        for b in sliced(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 toks = tokens(text)
                 at = len(text) * 7919 % max(1, len(toks) - most_words + 1)
@@ -182,7 +184,7 @@ def scoring(docs: DataFrame, model: Model, text: int, cache: int, every: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*sent.value), cache)
-        for b in batches:
+        for b in sliced(batches):
             out = [scorer.predict(t) for t in b.column(text).to_pylist()]
             n = b.num_columns if every else 1
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*b.schema.names[:n], "lang_pred", "score"])

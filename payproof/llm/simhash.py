@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, sliced
 from ._graph import components, spanning
 
 BITS = 64
@@ -41,7 +41,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of every row as a signed long.  Null and wordless texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
