@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._chunks import MESSAGE, Words, by_bucket, deal, pack, read_words, rows, unpack
-from ._common import materialize
+from ._chunks import MESSAGE, Words, by_bucket, deal, in_order, pack, read_words, rows, unpack
+from ._common import materialize, release
 
 K = 5
 END = b""
@@ -87,6 +87,7 @@ def seen_once(c: np.ndarray) -> np.ndarray:
 
 def words_of(t: pa.Table) -> tuple[Words, np.ndarray]:
     """The words of a chunk, and which tokens are of training documents."""
+    t = in_order(t)
     w = read_words(t.column("text").to_pylist(), True, END)
     return w, np.repeat(np.array(t.column("train").to_pylist(), bool), w.end - w.begin)
 
@@ -108,9 +109,7 @@ def ask_words(key: tuple, t: pa.Table, buckets: int) -> pa.Table:
 
 
 def word_places(w: Words, buckets: int) -> list[tuple[int, np.ndarray]]:
-    bucket = (w.hashes >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    return [(b, order[part]) for b, part in by_bucket(bucket[order], buckets)]
+    return in_buckets((w.hashes >> np.uint64(32)) % np.uint64(buckets), buckets)
 
 
 def count_words(key: tuple, told: pa.Table, buckets: int) -> pa.Table:
@@ -142,12 +141,15 @@ def ask_pairs(key: tuple, t: pa.Table, told: pa.Table, buckets: int, hot: float)
     for b, i in word_places(w, buckets):
         c[i], number[i] = unpack(said[b])
     number[-1] = START
-    out = [(chunk, b, ASK, pack(*runs(number[v]), number[x], n, c[x], np.unique(number[v[is_hot]]))) for b, v, x, n, is_hot in dealt_pairs(w, train, c, number, buckets, hot)]
+    out = []
+    for b, v, x, n, is_hot, _ in dealt_pairs(w, train, c, number, buckets, hot):
+        own, place = np.unique(x, return_inverse=True)
+        out.append((chunk, b, ASK, pack(*runs(number[v]), number[own], c[own], place.astype(np.uint64), n, np.unique(number[v[is_hot]]))))
     return rows([*out, (chunk, chunk % buckets, STATE, pack(c, number))])
 
 
 def dealt_pairs(w: Words, train: np.ndarray, c: np.ndarray, number: np.ndarray, buckets: int, hot: float):
-    """Per bucket: contexts, words, training counts and whether the context is hot, ordered by their numbers.
+    """Per bucket: contexts, words, training counts, whether the context is hot, and the pairs' places in the chunk.
 
     Only pairs whose context may have been seen in training are asked about.  All pairs of a context go to one bucket, those of a
     hot context to SPREAD buckets.
@@ -158,14 +160,20 @@ def dealt_pairs(w: Words, train: np.ndarray, c: np.ndarray, number: np.ndarray,
     v, x, n = v[known], x[known], n[known]
     is_hot = (v == len(w.words)) | (np.append(c, 0)[v] > hot)
     bucket = mixed(number[v] + np.where(is_hot, mixed(number[x]) % np.uint64(SPREAD) * MIX, np.uint64(0))) % np.uint64(buckets)
-    order = np.lexsort((number[x], number[v], bucket))
-    for b, part in by_bucket(bucket[order], buckets):
-        i = order[part]
-        yield b, v[i], x[i], n[i], is_hot[i]
+    at = np.flatnonzero(known)
+    for b, i in in_buckets(bucket, buckets):
+        yield b, v[i], x[i], n[i], is_hot[i], at[i]
+
+
+def in_buckets(bucket: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The places of each bucket's entries, in their order."""
+    bucket = bucket.astype(np.min_scalar_type(buckets))
+    order = np.argsort(bucket, kind="stable")
+    return [(b, order[part]) for b, part in by_bucket(bucket[order], buckets)]
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values once each, with their numbers."""
+    """Values of a list in which equal ones are neighbours, once each, with their numbers."""
     first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
     return x[first], np.diff(np.append(first, len(x))).astype(np.uint64)
 
@@ -179,7 +187,8 @@ def count_pairs(key: tuple, told: pa.Table) -> pa.Table:
     if not asked:
         return rows(out)
     v = np.concatenate([np.repeat(p[0].astype(np.uint64), p[1].astype(np.int64)) for _, p in asked])
-    x, n, c = (np.concatenate([p[i].astype(np.uint64) for _, p in asked]) for i in (2, 3, 4))
+    x, c = (np.concatenate([p[i].astype(np.uint64)[p[4]] for _, p in asked]) for i in (2, 3))
+    n = np.concatenate([p[5].astype(np.uint64) for _, p in asked])
     order = np.lexsort((x, v))
     v, x, c = v[order], x[order], c[order]
     new = np.ones(len(v), bool)
@@ -191,15 +200,15 @@ def count_pairs(key: tuple, told: pa.Table) -> pa.Table:
     contexts, member = np.unique(v[first], return_inverse=True)
     sums = context_sums(member, len(contexts), count, c[first])
     out.append((-1, bucket, BI, pack(seen_once(count).astype(np.uint64))))
-    hot = np.unique(np.concatenate([p[5].astype(np.uint64) for _, p in asked]))
+    hot = np.unique(np.concatenate([p[6].astype(np.uint64) for _, p in asked]))
     if len(hot):
         i = np.searchsorted(contexts, hot)
         out.append((-1, bucket, HOT, pack(hot, *sums[:, i])))
     at = 0
     for chunk, p in asked:
         i = np.searchsorted(contexts, p[0].astype(np.uint64))
-        out.append((chunk, bucket, ASK, pack(count[place[at : at + len(p[2])]], *sums[:, i])))
-        at += len(p[2])
+        out.append((chunk, bucket, ASK, pack(count[place[at : at + len(p[4])]], *sums[:, i])))
+        at += len(p[4])
     return rows(out)
 
 
@@ -219,20 +228,20 @@ SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 def score_texts(key: tuple, t: pa.Table, told: pa.Table, buckets: int, hot: float, totals: Totals) -> pa.Table:
     """The scores of a chunk's documents, token by token: the pair if it was seen, else the weight of its context and
     the word."""
+    t = in_order(t)
     w, train = words_of(t)
     kinds, raw = told.column("kind").to_pylist(), told.column("payload").to_pylist()
     c, number = next(unpack(p) for k, p in zip(kinds, raw) if k == STATE)
     c, number = c.astype(np.int64), number.astype(np.uint64)
     said = {b: p for b, k, p in zip(told.column("bucket").to_pylist(), kinds, raw) if k == ASK}
     v, x, place = pairs(w)
-    index = v * (len(w.words) + 1) + x
     ends = int(c[w.words.index(END)]) if END in w.words else 0
     context = np.append(c, ends)
     count = np.zeros(len(v), np.int64)
     sums = np.zeros((2 * K + 1, len(w.words) + 1), np.int64)
-    for b, vv, xx, _, _ in dealt_pairs(w, train, c.astype(np.uint64), number, buckets, hot):
+    for b, vv, _, _, _, at in dealt_pairs(w, train, c.astype(np.uint64), number, buckets, hot):
         got = unpack(said[b])
-        count[np.searchsorted(index, vv * (len(w.words) + 1) + xx)] = got[0]
+        count[at] = got[0]
         own = vv[np.flatnonzero(np.append(True, vv[1:] != vv[:-1]))]
         sums[:, own] = np.stack(got[1:])
     for i in np.flatnonzero((np.arange(len(context)) == len(w.words)) | (context > hot)):
@@ -255,7 +264,7 @@ def score_texts(key: tuple, t: pa.Table, told: pa.Table, buckets: int, hot: floa
     return pa.Table.from_arrays([t.column("doc_id").combine_chunks(), pa.array(w.end - w.begin, pa.int64()), pa.array(total((c > 0)[w.ids].astype(np.int64)), pa.int64()), pa.array(np.full(n, totals.n), pa.int64()), pa.array(total(base)), pa.array(total(each))], names=[x.split()[0] for x in SCORES.split(", ")])
 
 
-def score(docs: DataFrame, train: Column, chunk_mb: float = 8, bucket_mb: float = 24) -> DataFrame:
+def score(docs: DataFrame, train: Column, chunk_mb: float = 8, bucket_mb: float = 20) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     The model learns from all whole texts of the rows where ``train`` holds.  Tokens are the words of the text in lower case
@@ -276,6 +285,8 @@ def score(docs: DataFrame, train: Column, chunk_mb: float = 8, bucket_mb: float
     words = both.applyInArrow(lambda key, t: ask_words(key, t, buckets), MESSAGE).groupBy("bucket").applyInArrow(lambda key, t: count_words(key, t, buckets), MESSAGE)
     asked = both.cogroup(words.groupBy("chunk")).applyInArrow(lambda key, t, told: ask_pairs(key, t, told, buckets, hot), MESSAGE)
     tables = materialize(asked.groupBy("bucket").applyInArrow(count_pairs, MESSAGE))
+    del words, asked
+    release(docs.sparkSession)
     totals = add_up([(r["kind"], r["payload"]) for r in tables.where("chunk < 0").collect()])
     return both.cogroup(tables.where("chunk >= 0").groupBy("chunk")).applyInArrow(lambda key, t, told: score_texts(key, t, told, buckets, hot, totals), SCORES)
 

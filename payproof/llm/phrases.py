@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._chunks import MESSAGE, Words, by_bucket, deal, pack, read_words, rows, unpack
+from ._chunks import MESSAGE, Words, by_bucket, deal, in_order, pack, read_words, rows, unpack
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 ASK, STATE = 0, 1
@@ -173,6 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, chunk_mb
     dealt, _, buckets, _ = deal(docs, chunk_mb, bucket_mb)
 
     def texts(t: pa.Table) -> tuple[Words, np.ndarray]:
+        t = in_order(t)
         ids = np.array([NO_ID if x is None else x for x in t.column("doc_id").to_pylist()], np.int64)
         return read_words(t.column("text").to_pylist(), False), ids
 
