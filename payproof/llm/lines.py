@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +14,20 @@ from ._common import materialize
 def chunks(docs: DataFrame, window: int = 2, one_in: int = 3) -> DataFrame:
     """A row per chunk of two or more lines: (id, t, k, lines): document, text hash, number of the first line, lines.
 
-    A chunk ends after line i where the rolling hash over the hashes of the ``window`` lines up to i is 0 modulo
-    ``one_in``.  Boundaries depend on nearby lines alone, so lines put in or taken out elsewhere do not move them.
+    A chunk ends after line i where the rolling hash over the hashes of the ``window`` lines up to i is the least of
+    ``one_in`` neighbours with i in the middle, and less than those before it.  So ends are two or more lines apart, and one in
+    ``one_in`` lines is an end.  There is no end after the first line or before the last one: every line of a text of two
+    or more lines is in such a chunk.  Boundaries depend on nearby lines alone, so lines put in or taken out elsewhere do not
+    move them.
     """
     d = docs.select("id", "t", F.split("text", "\n").alias("lines"))
     d = d.withColumn("h", F.transform("lines", lambda s: F.xxhash64(s)))
-    rolling = lambda i: F.xxhash64(*[F.get("h", i - k) for k in range(window)])
-    n = F.size("lines")
-    last = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (F.pmod(rolling(i), F.lit(one_in)) == 0))
+    n, near = F.size("lines"), range(1, max(1, one_in // 2) + 1)
+    d = d.withColumn("r", F.transform("h", lambda _, i: F.xxhash64(*[F.get("h", i - k) for k in range(window)])))
+    before = lambda i, k: F.get("r", i - k).isNull() | (F.get("r", i) < F.get("r", i - k))
+    after = lambda i, k: F.get("r", i + k).isNull() | (F.get("r", i) <= F.get("r", i + k))
+    least = lambda i: reduce(and_, [f(i, k) for f in (before, after) for k in near])
+    last = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | ((i > 0) & (i < n - 2) & least(i)))
     d = d.select("id", "t", "lines", last.alias("last"))
     parts = F.transform("last", lambda e, j: F.struct(F.coalesce(F.get(F.col("last"), j - 1) + 1, F.lit(0)).alias("k"), e.alias("e")))
     d = d.select("id", "t", "lines", F.explode(F.filter(parts, lambda p: p["e"] > p["k"])).alias("p"))
@@ -36,7 +45,7 @@ def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3) -> DataFr
     the candidates and their first places by an aggregate with map-side minima; only candidates' texts are then
     shuffled to be compared.
     """
-    every = chunks(docs, window, one_in).select("id", "t", "k", F.xxhash64(chunk_text(F.col("lines")), F.size("lines")).alias("h"), F.length(chunk_text(F.col("lines"))).alias("n")).where("n > 1")
+    every = chunks(docs, window, one_in).select("id", "t", "k", F.xxhash64(chunk_text(F.col("lines")), F.size("lines")).alias("h"), F.length(chunk_text(F.col("lines"))).alias("n"))
     every = materialize(every)
     first = every.groupBy("h", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "t", "k")).alias("first")).where("c > 1").select("h", "n", "first")
     again = every.join(first, ["h", "n"]).groupBy("id", "t").agg(F.collect_list(F.struct("k", "h", "n", "first")).alias("found"))

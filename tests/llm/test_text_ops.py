@@ -145,6 +145,25 @@ def test_line_chunks_against_brute_force(spark):
     assert not hashes and any(gone.values())
 
 
+def test_line_chunks_hold_every_line_of_longer_texts(spark):
+    rows = [(n, "\n".join(f"line {j} of {n}" for j in range(n))) for n in range(1, 120)] + [(200, "a\n\n\n" * 20), (201, "same\n" * 50)]
+    parts = lines.chunks(documents(spark, rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text")).collect()
+    held = defaultdict(list)
+    for r in parts:
+        assert len(r["lines"]) >= 2
+        held[r["id"]] += range(r["k"], r["k"] + len(r["lines"]))
+    for i, t in rows:
+        n = len(t.split("\n"))
+        assert sorted(held[i]) == (list(range(n)) if n > 1 else [])
+    assert 2.5 < sum(len(v) for v in held.values()) / len(parts) < 4
+
+
+def test_line_dedup_takes_whole_copies_and_empty_lines_out(spark):
+    text = "\n".join(f"line {j}" for j in range(200))
+    out = {r["doc_id"]: r for r in lines.dedup_lines(documents(spark, [(1, text), (2, text), (3, "\n"), (4, "\n")])).collect()}
+    assert [out[i]["n_lines_removed"] for i in (1, 2, 3, 4)] == [0, 200, 0, 2] and out[2]["text"] == ""
+
+
 def katz_by_hand(rows, train):
     texts = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
     c, pairs, starts = Counter(), Counter(), 0
