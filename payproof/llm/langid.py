@@ -22,7 +22,7 @@ TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 @dataclass
 class Model:
-    """Log frequencies per language.  Bounded: it is fitted on at most ``most_words`` words of sampled documents."""
+    """Log frequencies per language.  Bounded by the sample of labelled documents that it is fitted on."""
 
     langs: list[str]
     words: dict[str, int]
@@ -48,12 +48,13 @@ def sample(docs: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
     return docs.where(F.col("text").isNotNull() & (place < below)).select("lang", "text")
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int = 30_000, longest: int = 4, most_langs: int = 300) -> Model:
-    """Learn from a bounded sample of labelled rows: about ``per_lang`` documents of a language, chosen by hash, and
-    of each the words of one stretch of ``most_words`` at a place given by the same hash.
+def fit(docs: DataFrame, per_lang: int = 1500, keep: int | None = None, longest: int = 4, most_langs: int = 300) -> Model:
+    """Learn from a bounded sample of labelled rows: about ``per_lang`` documents of a language, chosen by hash, each
+    read whole.
 
-    Spark counts words and n-grams per language and keeps the ``keep`` most frequent of each kind and language, so the
-    model's size is bounded by ``keep`` times the number of languages, itself at most ``most_langs`` (more is an error).
+    Spark counts words and n-grams per language, and all of them make the model; given ``keep``, so many of each kind and
+    language, the most frequent.  The bound is on rows: ``per_lang`` times the number of languages, itself at most
+    ``most_langs`` (more is an error).
     Rows with a null text or lang are left out; without a labelled row the model has no language.
     """
     picked = sample(docs, per_lang, most_langs)
@@ -62,9 +63,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int
         seen: dict[str, Counter] = {}
         for b in sliced(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                toks = tokens(text)
-                at = len(text) * 7919 % max(1, len(toks) - most_words + 1)
-                seen.setdefault(lang, Counter()).update(toks[at : at + most_words])
+                seen.setdefault(lang, Counter()).update(tokens(text))
         for lang, c in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "gram", "n"])
 
@@ -82,14 +81,16 @@ def fit(docs: DataFrame, per_lang: int = 1500, most_words: int = 1200, keep: int
     kind = "lang string, gram string, n long"
     words = picked.mapInArrow(count, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     grams = words.mapInArrow(cut, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("k", F.length("gram"))
-    counted = words.withColumn("k", F.lit(0)).unionByName(grams).persist()
+    counted = every = words.withColumn("k", F.lit(0)).unionByName(grams).persist()
     totals = {(r["lang"], r["k"]): (r["n"], r["v"]) for r in counted.groupBy("lang", "k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     langs = sorted({lang for lang, _ in totals})
     place = {lang: i for i, lang in enumerate(langs)}
-    rank = F.row_number().over(W.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
+    if keep is not None:
+        rank = F.row_number().over(W.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
+        counted = counted.withColumn("rank", rank).where(F.col("rank") <= keep)
     number = F.array_position(F.array(*[F.lit(x) for x in langs]).cast("array<string>"), F.col("lang")) - 1
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= keep).select(number.cast("int").alias("lang"), "k", "gram", "n").toArrow()
-    counted.unpersist()
+    top = counted.select(number.cast("int").alias("lang"), "k", "gram", "n").toArrow()
+    every.unpersist()
     words.unpersist()
     lang, kinds, n = (top.column(c).to_numpy() for c in ("lang", "k", "n"))
     size = {k: np.array([totals.get((x, k), (1, 1))[0] for x in place], float) for k in range(longest + 1)}

@@ -326,6 +326,13 @@ def test_language_held_out_accuracy(spark):
     assert none.langs == [] and {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_learns_whole_texts_and_all_words(spark):
+    texts = {lang: " ".join(f"{lang}{k:x}" for k in range(35_000)) for lang in ("ax", "by")}
+    model = langid.fit(documents(spark, [(i, t, lang) for i, (lang, t) in enumerate(texts.items())]))
+    assert set(model.words) == {w for t in texts.values() for w in t.split()}
+    assert {"^ax1", "88b$", "1", "by"} <= set(model.grams)
+
+
 def test_unseen_words_back_off(spark):
     docs = documents(spark, [(i, "abab cdcd" if i % 2 else "efef ghgh", "l1" if i % 2 else "l2") for i in range(40)])
     scorer = langid.Scorer(langid.fit(docs))
