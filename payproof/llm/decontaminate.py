@@ -19,20 +19,21 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 class Index:
     """A block of benchmark items as word ids, with the keys of their walks.
 
-    An item of n words is matched by text within e = floor(n * (1 - similarity)) word edits.  e edits leave a run of
+    An item of n words is matched by text within e = floor(n * (1 - similarity)) word edits, one of fewer than ``least``
+    words only by the same words.  e edits leave a run of
     (n - e) // (e + 1) words untouched, so a window can only match if it shares such a run with the item: those windows,
     found by looking up every run of the text, are the candidates for the walks.  Each of ``walks`` random walks is
     sampled at ``sample`` places; as many walks are taken as copies of this block's items with e random edits
     need for a share ``recall`` of them to agree with their item in all places of one walk; given ``walks``, so many.
     """
 
-    def __init__(self, items: list[tuple[int, list[str]]], similarity: float = 0.8, recall: float = 0.99, sample: int = 2, most_walks: int = 48, seed: int = 11, walks: int | None = None):
+    def __init__(self, items: list[tuple[int, list[str]]], similarity: float = 0.8, recall: float = 0.99, sample: int = 2, most_walks: int = 48, seed: int = 11, walks: int | None = None, least: int = 8):
         rng = np.random.default_rng(seed)
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.seqs = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in toks]) for _, toks in items]
         self.n = np.array([len(s) for s in self.seqs], np.int64)
-        self.edits = np.floor(self.n * (1 - similarity) + 1e-9).astype(np.int64)
+        self.edits = np.where(self.n < least, 0, np.floor(self.n * (1 - similarity) + 1e-9)).astype(np.int64)
         self.longest = int(self.n.max(initial=1))
         self.steps = int(STRETCH * self.longest)
         self.table = np.zeros((len(self.seqs), self.longest), np.int64)
@@ -173,13 +174,13 @@ class Index:
 def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least: int = 8, recall: float = 0.99, block: int = 2000, at_once: int = 4096) -> DataFrame:
     """(doc_id, h, item_id, last_word, edits): matches of benchmark items in documents; h hashes the text.
 
-    Words are lower-cased runs of letters and digits.  Items of fewer than ``least`` words say too little to tell a
-    leak from chance and are left out; so are null texts.  Items are taken ``block`` at a time, all of which is sent to the
+    Words are lower-cased runs of letters and digits.  Items of fewer than ``least`` words are matched only by
+    exactly their words; items without a word and null texts are left out.  Items are taken ``block`` at a time, all of which is sent to the
     tasks; a benchmark of any size is so many passes over the documents.
     """
     spark = docs.sparkSession
     words = lambda c: F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), NOT_WORD), "")
-    items = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("words")).where(F.size("words") >= least))
+    items = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("words")).where(F.size("words") > 0))
     blocks = max(1, -(-items.count() // block))
     schema = "doc_id long, h long, item_id long, last_word long, edits long"
     found = spark.createDataFrame([], schema)
@@ -187,10 +188,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         part = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k).collect()
         if part:
             known = [(r["item_id"], list(r["words"])) for r in sorted(part, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["words"]))]
-            sent = spark.sparkContext.broadcast((known, Index(known, similarity, recall).walks))
+            sent = spark.sparkContext.broadcast((known, Index(known, similarity, recall, least=least).walks))
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                index = Index(sent.value[0], similarity, recall, walks=sent.value[1])
+                index = Index(sent.value[0], similarity, recall, walks=sent.value[1], least=least)
                 get = index.vocabulary.get
                 for b in sliced(batches, 1000):
                     seqs = [np.fromiter((get(w, 0) for w in ws.split()), np.int64) for ws in b.column(2).to_pylist()]

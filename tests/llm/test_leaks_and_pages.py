@@ -52,6 +52,13 @@ def decontaminate_words(text):
     return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
 
 
+def test_short_items_match_word_by_word(spark):
+    docs = documents(spark, [(1, "so 42."), (2, "the Answer, is FORTY two"), (3, "the answer was forty two"), (4, "one two three four five six seven"), (5, "one two three four five six eight"), (6, "nothing")])
+    bench = spark.createDataFrame([(1, "42"), (2, "the answer is forty two"), (3, "one two three four five six seven"), (4, " ... ")], "item_id long, text string")
+    found = decontaminate.find_matches(docs, bench).select("doc_id", "item_id", "edits").distinct().collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 0), (2, 2, 0), (4, 3, 0)]
+
+
 def test_index_reaches_its_recall():
     items = [(i, prose(i, 20 + i, 500).split()) for i in range(30)]
     index = decontaminate.Index(items, recall=0.95)
