@@ -23,11 +23,13 @@ class Index:
     words only by the same words.  e edits leave a run of
     (n - e) // (e + 1) words untouched, so a window can only match if it shares such a run with the item: those windows,
     found by looking up every run of the text, are the candidates for the walks.  Each of ``walks`` random walks is
-    sampled at ``sample`` places; as many walks are taken as copies of this block's items with e random edits
-    need for a share ``recall`` of them to agree with their item in all places of one walk; given ``walks``, so many.
+    sampled at ``sample`` places.  Items are classed by the doubling of their length: as many walks are taken as copies of each
+    class's items with e random edits need for a share ``recall`` of them to have a candidate that agrees with their item in
+    all places of one walk.  Items of a class that ``most_walks`` are too few for, or of over ``most_walked`` words, are
+    ``direct``: all their candidates are verified exactly.  Given ``walks`` and ``direct``, those are used.
     """
 
-    def __init__(self, items: list[tuple[int, list[str]]], similarity: float = 0.8, recall: float = 0.99, sample: int = 2, most_walks: int = 48, seed: int = 11, walks: int | None = None, least: int = 8):
+    def __init__(self, items: list[tuple[int, list[str]]], similarity: float = 0.8, recall: float = 0.99, sample: int = 2, most_walks: int = 48, seed: int = 11, walks: int | None = None, least: int = 8, direct: np.ndarray | None = None, most_walked: int = 512):
         rng = np.random.default_rng(seed)
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
@@ -35,7 +37,8 @@ class Index:
         self.n = np.array([len(s) for s in self.seqs], np.int64)
         self.edits = np.where(self.n < least, 0, np.floor(self.n * (1 - similarity) + 1e-9)).astype(np.int64)
         self.longest = int(self.n.max(initial=1))
-        self.steps = int(STRETCH * self.longest)
+        self.direct = self.n > most_walked if direct is None else direct
+        self.steps = int(STRETCH * self.n[~self.direct].max(initial=1))
         self.table = np.zeros((len(self.seqs), self.longest), np.int64)
         for x, s in enumerate(self.seqs):
             self.table[x, : len(s)] = s
@@ -47,17 +50,33 @@ class Index:
         self.own = self.keys(self.table, self.n, self.n)
         self.recall = 1.0
         if items and walks is None:
-            pick = rng.integers(0, len(items), 2000)
-            copies = [self.edited(self.seqs[x], int(self.edits[x]), rng) for x in pick]
-            m = np.array([len(c) for c in copies])
-            rows = np.zeros((len(copies), self.longest), np.int64)
-            for r, c in zip(rows, copies):
-                r[: len(c)] = c[: self.longest]
-            met = np.logical_or.accumulate(self.keys(rows, np.minimum(m, self.longest), self.n[pick]) == self.own[pick], axis=1).mean(0)
-            self.walks = min(most_walks, int(np.searchsorted(met, recall)) + 1)
-            self.recall = float(met[self.walks - 1])
+            need, reached = [1], [1.0]
+            kind = np.frexp(self.n)[1]
+            for c in np.unique(kind[~self.direct]):
+                members = np.flatnonzero((kind == c) & ~self.direct)
+                met = np.logical_or.accumulate(self.agreeing(members[rng.integers(0, len(members), 400)], rng), axis=1).mean(0)
+                enough = int(np.searchsorted(met, recall))
+                if enough < most_walks:
+                    need.append(enough + 1)
+                    reached.append(float(met[enough]))
+                else:
+                    self.direct = self.direct | (kind == c)
+            self.walks, self.recall = max(need), min(reached)
             self.bits, self.places, self.own = self.bits[:, : self.walks], self.places[: self.walks], self.own[:, : self.walks]
 
+    def agreeing(self, pick: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """For an edited copy of each picked item and each walk, whether a candidate window agrees with the item."""
+        out = np.zeros((len(pick), self.walks), bool)
+        for r, x in enumerate(pick):
+            copy = np.array(self.edited(self.seqs[x], int(self.edits[x]), rng), np.int64)
+            item, start = self.candidates(copy)
+            start = start[item == x]
+            if len(start):
+                n = np.full(len(start), self.n[x])
+                rows, inside = self.cut(copy, np.maximum(0, start), np.minimum(len(copy), start + n), int(self.n[x]))
+                out[r] = (self.keys(rows, inside, n) == self.own[x]).any(0)
+        return out
+
     @staticmethod
     def gram(n: int, e: int) -> int:
         return int(min(4, max(1, (n - e) // (e + 1))))
@@ -75,7 +94,7 @@ class Index:
         code, item, offset = [], [], []
         for x, s in enumerate(self.seqs):
             if self.gram(self.n[x], self.edits[x]) == g:
-                c = self.codes(s, g)
+                c, _ = self.codes(s, g)
                 code.append(c)
                 item.append(np.full(len(c), x))
                 offset.append(np.arange(len(c)))
@@ -84,15 +103,16 @@ class Index:
         values, start = np.unique(code[order], return_index=True)
         return g, values, np.append(start, len(code)), item[order], offset[order]
 
-    def codes(self, ids: np.ndarray, g: int) -> np.ndarray:
-        """A number for each run of g words; those with a word unknown to the items get -1."""
+    def codes(self, ids: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each run of g words, and whether all its words are known to the items."""
         out = np.zeros(max(0, len(ids) - g + 1), np.uint64)
         known = np.ones(len(out), bool)
         for k in range(g):
             part = ids[k : k + len(out)]
-            out = out * np.uint64(len(self.vocabulary) + 1) + part.astype(np.uint64)
+            out = (out ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
             known &= part > 0
-        return np.where(known, out.astype(np.int64), -1)
+        return out, known
 
     def keys(self, rows: np.ndarray, lengths: np.ndarray, n: np.ndarray) -> np.ndarray:
         """For each row and walk, a number for the words that the walk puts out at its sampled places.
@@ -105,7 +125,7 @@ class Index:
         when = (self.places[None] * np.floor(STRETCH * n)[:, None, None]).astype(np.int64)
         out = np.zeros(at.shape, np.int64)
         every, last = np.arange(len(rows))[:, None], lengths[:, None]
-        for j in range(self.steps):
+        for j in range(min(self.steps, int(STRETCH * n.max(initial=1)))):
             inside = at < last
             w = np.where(inside, rows[every, np.minimum(at, rows.shape[1] - 1)], 0)
             for k in range(when.shape[2]):
@@ -117,8 +137,8 @@ class Index:
         """Items and window starts for the runs that a text shares with the items."""
         items, starts = [], []
         for g, values, first, item, offset in self.runs:
-            code = self.codes(ids, g)
-            at = np.flatnonzero(code >= 0)
+            code, known = self.codes(ids, g)
+            at = np.flatnonzero(known)
             if not len(at) or not len(values):
                 continue
             place = np.minimum(np.searchsorted(values, code[at]), len(values) - 1)
@@ -136,13 +156,17 @@ class Index:
     def matches(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which candidates match, with the place after their last word and their edits.
 
-        A candidate is an item and a window start inside the text flat[begin:end].  Those that agree with their item in a walk
-        are verified by the exact edit distance between the item and the best stretch of the window and e words around it.
+        A candidate is an item and a window start inside the text flat[begin:end].  Those that agree with their item in a walk,
+        and all of direct items, are verified by the exact edit distance between the item and the best stretch of the window and e words around it.
         """
         n, e = self.n[item], self.edits[item]
-        left = np.maximum(begin, start)
-        rows, inside = self.cut(flat, left, np.minimum(end, start + n), self.longest)
-        met = np.flatnonzero((self.keys(rows, inside, n) == self.own[item]).any(1))
+        held = self.direct[item]
+        walked = np.flatnonzero(~held)
+        if len(walked):
+            left, right = np.maximum(begin, start)[walked], np.minimum(end, start + n)[walked]
+            rows, inside = self.cut(flat, left, right, int(n[walked].max()))
+            held[walked] = (self.keys(rows, inside, n[walked]) == self.own[item[walked]]).any(1)
+        met = np.flatnonzero(held)
         item, n, e = item[met], n[met], e[met]
         left = np.maximum(begin[met], start[met] - e)
         wide = self.longest + 2 * int(self.edits.max(initial=0))
@@ -188,10 +212,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         part = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k).collect()
         if part:
             known = [(r["item_id"], list(r["words"])) for r in sorted(part, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["words"]))]
-            sent = spark.sparkContext.broadcast((known, Index(known, similarity, recall, least=least).walks))
+            own = Index(known, similarity, recall, least=least)
+            sent = spark.sparkContext.broadcast((known, own.walks, own.direct))
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                index = Index(sent.value[0], similarity, recall, walks=sent.value[1], least=least)
+                index = Index(sent.value[0], similarity, recall, walks=sent.value[1], least=least, direct=sent.value[2])
+                together = max(16, min(at_once, 2_000_000 // index.longest))
                 get = index.vocabulary.get
                 for b in sliced(batches, 1000):
                     seqs = [np.fromiter((get(w, 0) for w in ws.split()), np.int64) for ws in b.column(2).to_pylist()]
@@ -203,8 +229,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
                     def close() -> None:
                         row, item, start = (np.concatenate(v) for v in zip(*queue))
                         queue.clear()
-                        for a in range(0, len(row), at_once):
-                            r, x, s = row[a : a + at_once], item[a : a + at_once], start[a : a + at_once]
+                        for a in range(0, len(row), together):
+                            r, x, s = row[a : a + together], item[a : a + together], start[a : a + together]
                             begin = ends[r] - np.array([len(seqs[i]) for i in r])
                             good, last, edits = index.matches(flat, begin, ends[r], x, begin + s)
                             out.append([r[good], np.array(index.ids, object)[x[good]], last - begin[good], edits])

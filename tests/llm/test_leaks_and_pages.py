@@ -65,6 +65,23 @@ def test_index_reaches_its_recall():
     assert index.recall >= 0.95 and index.bits.shape[1] == index.walks
 
 
+def test_long_items_and_large_vocabularies_are_found():
+    rng = np.random.default_rng(6)
+    items = [(0, [f"a{k}" for k in range(1000)]), *((i, [f"u{i}x{k}" for k in range(300)]) for i in range(1, 251)), (300, prose(1, 30).split())]
+    index = decontaminate.Index(items)
+    assert len(index.vocabulary) > 70_000 and index.recall >= 0.99
+    met = []
+    for x in [0] * 5 + [*range(1, 251, 5)]:
+        copy = np.array(index.edited(index.seqs[x], int(index.edits[x]), rng), np.int64)
+        item, start = index.candidates(copy)
+        assert x in item
+        zero = np.zeros(len(item), np.int64)
+        found, _, edits = index.matches(copy, zero, zero + len(copy), item, start)
+        assert (edits <= index.edits[item[found]]).all()
+        met.append(x in item[found])
+    assert all(met[:5]) and np.mean(met) >= 0.95
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body><nav><ul><li>menu one</ul></nav><!-- <p>no</p> --><div class="ad">buy this</div>%s<footer>&copy; us</footer></body></html>'
 
 
