@@ -1,13 +1,16 @@
-"""Main text of web pages: the page's structure where it names its article, else a suffix array over the host's pages."""
+"""Main text of web pages: suffix arrays over each host's pages find the boilerplate that markup does not name."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,11 +94,12 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def suffix_array(x: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffixes of x in order, and for each doubled length the ranks of the suffixes by so many first numbers."""
+def suffix_array(x: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Suffixes of x in order, by their first ``depth`` numbers at least, and for each doubled length the ranks of the
+    suffixes by so many first numbers."""
     rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    ranks, k = {1: rank}, 1
-    while True:
+    ranks, k, order = {1: rank}, 1, np.argsort(rank, kind="stable")
+    while len(x) and k < (depth or len(x)) and rank.max() < len(x) - 1:
         after = np.full(len(x), -1, np.int64)
         after[: len(x) - k] = rank[k:]
         order = np.lexsort((after, rank))
@@ -104,78 +108,220 @@ def suffix_array(x: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         new[order] = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         k *= 2
         rank = ranks[k] = new
-        if k >= len(x) or rank.max() == len(x) - 1:
-            return order, ranks
+    return order, ranks
 
 
-def repeated(streams: list[list[str]], length: int, pages: int) -> list[np.ndarray]:
-    """For each page's tokens, which lie in a run of ``length`` or more that is in ``pages`` or more pages.
+class Shard:
+    """The distinct contents of some of a host's pages as one stream of tokens, each page closed by a number of its own.
 
-    Suffixes that share their first ``length`` tokens are neighbours in the suffix array of all streams, each closed by a
-    number of its own; a group of them from enough pages makes boilerplate of those tokens.
+    ``group`` numbers the suffixes of the stream: those that share their first ``length`` tokens, neighbours in its suffix
+    array, have one number.  ``pages`` counts the distinct contents of each group, none for those that a page's end cuts short;
+    ``article_pages`` counts only where it begins inside an article; ``block_pages`` counts those of each text of a whole block
+    outside an article.  Contents that are not ``counted`` here are counted
+    in another shard.
     """
-    index: dict[str, int] = {}
-    ids = [np.fromiter((index.setdefault(w, len(index)) for w in s), np.int64, len(s)) for s in streams]
-    flat = np.concatenate([np.append(s, -1 - i) for i, s in enumerate(ids)])
-    page = np.repeat(np.arange(len(ids)), [len(s) + 1 for s in ids])
-    order, ranks = suffix_array(flat)
-    group = ranks.get(length, ranks[max(ranks)])
-    met = np.unique(np.stack((group[order], page[order]), axis=1), axis=0)[:, 0]
-    often = np.bincount(met, minlength=group.max() + 1) >= pages
-    edge = np.zeros(len(flat) + 1, np.int64)
-    at = np.flatnonzero(often[group])
-    np.add.at(edge, at, 1)
-    np.add.at(edge, np.minimum(at + length, len(flat)), -1)
-    cover = np.cumsum(edge)[:-1] > 0
-    begin = np.cumsum([0, *[len(s) + 1 for s in ids]])
-    return [cover[b : b + len(s)] for b, s in zip(begin, ids)]
-
-
-PARSED = "page_id long, url string, host string, sure boolean, blocks array<string>"
+
+    def __init__(self, bodies: list[bytes], counted: np.ndarray, length: int):
+        self.length = length
+        self.blocks = [unpacked(b) for b in bodies]
+        index: dict[str, int] = {}
+        texts: dict[str, int] = {}
+        ids, inside, block, held = [], [], [], []
+        for i, x in enumerate(self.blocks):
+            for text, within in x:
+                toks = text.split(" ")
+                ids.append(np.fromiter((index.setdefault(w, len(index)) for w in toks), np.int64, len(toks)))
+                held.append(len(toks))
+                inside.append(within)
+                block.append(-1 if within else texts.setdefault(text, len(texts)))
+            ids.append(np.array([-1 - i]))
+            held.append(1)
+            inside.append(False)
+            block.append(-1)
+        self.flat = np.concatenate([*ids, np.empty(0, np.int64)])
+        self.inside, self.block = np.repeat(np.array(inside, bool), held), np.array(block, np.int64)
+        self.held = np.array(held, np.int64)
+        last = self.flat < 0
+        page = np.cumsum(last) - last
+        order, ranks = suffix_array(self.flat, length)
+        self.group = ranks.get(length, ranks[max(ranks)])
+        self.pages = distinct_pages(self.group[order], page[order], counted)
+        begun = self.inside[order]
+        self.article_pages = np.zeros(len(self.pages), np.int64)
+        within = distinct_pages(self.group[order][begun], page[order][begun], counted)
+        self.article_pages[: len(within)] = within
+        ends = np.flatnonzero(last)
+        short = self.group[ends[page] - np.arange(len(page)) < length]
+        self.pages[short] = self.article_pages[short] = 0
+        self.block_pages = distinct_pages(self.block[self.block >= 0], page[np.cumsum(self.held) - self.held][self.block >= 0], counted)
+        self.words, self.texts = index, texts
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.pages, self.article_pages, self.block_pages
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """64-bit names of what is counted that mean the same in every shard."""
+        h = np.array([xxhash.xxh64_intdigest(w, 3) for w in self.words] or [0], np.uint64)
+        token = np.where(self.flat >= 0, h[np.maximum(self.flat, 0)], self.flat.astype(np.uint64))
+        out = np.zeros(len(token), np.uint64)
+        for k in range(self.length):
+            out[: len(token) - k] = (out[: len(token) - k] ^ token[k:]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        named = np.zeros(len(self.pages), np.uint64)
+        named[self.group] = out
+        return named.astype(np.int64), (named * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64), np.array([xxhash.xxh64_intdigest(t, 4) for t in self.texts], np.uint64).astype(np.int64)
+
+    def boilerplate(self, pages: np.ndarray, article_pages: np.ndarray, block_pages: np.ndarray, outside: int, within: int) -> np.ndarray:
+        """Which tokens of the stream lie in a run or block that is in enough pages of the host."""
+        covers = []
+        for often in ((pages >= outside)[self.group], (article_pages >= within)[self.group] & self.inside):
+            edge = np.zeros(len(self.flat) + 1, np.int64)
+            at = np.flatnonzero(often)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, np.minimum(at + self.length, len(self.flat)), -1)
+            covers.append(np.cumsum(edge)[:-1] > 0)
+        whole = np.repeat((self.block >= 0) & np.append(block_pages >= outside, False)[self.block], self.held)
+        return np.where(self.inside, covers[1], covers[0] | whole)
+
+    def kept(self, gone: np.ndarray) -> list[str]:
+        """The text of each content without the tokens that are gone."""
+        out, k, at = [], 0, 0
+        for x in self.blocks:
+            left = []
+            for text, _ in x:
+                part = gone[at : at + self.held[k]]
+                if not part.any():
+                    left.append(text)
+                elif not part.all():
+                    left.append(" ".join(w for w, g in zip(text.split(" "), part) if not g))
+                at, k = at + self.held[k], k + 1
+            at, k = at + 1, k + 1
+            out.append("\n\n".join(left))
+        return out
+
+
+def distinct_pages(group: np.ndarray, page: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """For each group, the number of its counted pages."""
+    met = np.unique(np.stack((group, page), axis=1), axis=0)
+    return np.bincount(met[counted[met[:, 1]], 0], minlength=int(group.max(initial=-1)) + 1)
+
+
+def packed(found: list[tuple[str, bool]]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(f"{within:d}{text}" for text, within in found).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(body: bytes) -> list[tuple[str, bool]]:
+    raw = zstandard.ZstdDecompressor().decompress(body).decode("utf-8", "surrogatepass")
+    return [(x[1:], x[0] == "1") for x in raw.split("\n")] if raw else []
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, sure, blocks): the article's blocks where the page names one (sure), else all candidates."""
+    """(page_id, url, host, c, size, body): a page's blocks outside menus, forms, scripts and the like, packed; their hash c and
+    characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             found = [blocks(h or "") for h in b.column(2).to_pylist()]
-            sure = [any(s for _, s in x) for x in found]
-            text = [[t for t, s in x if s or not all_] for x, all_ in zip(found, sure)]
-            host = [host_of(u) for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(host, pa.string()), pa.array(sure, pa.bool_()), pa.array(text, pa.list_(pa.string()))], names=["page_id", "url", "host", "sure", "blocks"])
+            host = pa.array([host_of(u) for u in b.column(1).to_pylist()], pa.string())
+            body = [packed(x) for x in found]
+            c = np.array([xxhash.xxh64_intdigest("\n".join(f"{w:d}{t}" for t, w in x).encode("utf-8", "surrogatepass")) for x in found], np.uint64).astype(np.int64)
+            size = pa.array([sum(len(t) for t, _ in x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), host, pa.array(c), size, pa.array(body, pa.binary())], names=["page_id", "url", "host", "c", "size", "body"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, host string, c long, size long, body binary")
+
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, PARSED)
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table, marked for broadcast only if it has so few rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def main_text(pages: DataFrame, length: int = 8, in_pages: int = 2, shard: int = 200) -> DataFrame:
+def deal(parsed: DataFrame, shard_mb: float, few: int) -> tuple[DataFrame, DataFrame]:
+    """The pages with their shard, and (host, shards, pages) of every host.
+
+    A host's pages are dealt by content into shards of about ``shard_mb`` of text; pages counts its distinct contents.  Copies
+    of a content beyond ``few`` spread over more shards; the content is counted in the first, where one of them always is.
+    """
+    parsed = parsed.withColumn("at", F.xxhash64("page_id", "url", F.spark_partition_id()))
+    contents = materialize(parsed.groupBy("host", "c").agg(F.count("*").alias("n"), F.min("at").alias("least"), F.max("size").alias("size")))
+    hosts = materialize(contents.groupBy("host").agg(F.count("*").alias("pages"), F.sum("size").alias("size")).select("host", "pages", F.greatest(F.lit(1), F.ceil(F.col("size") / (shard_mb * 1e6))).cast("long").alias("shards")))
+    copied = materialize(contents.where(F.col("n") > few).select("host", "c", "least", F.ceil(F.col("n") / few).cast("long").alias("slots")))
+    slot = F.when(F.col("slots").isNull() | (F.col("at") == F.col("least")), F.lit(0).cast("long")).otherwise(F.pmod("at", "slots"))
+    dealt = parsed.join(small(hosts), "host").join(small(copied), ["host", "c"], "left").withColumn("slot", slot)
+    shard = F.pmod(F.pmod(F.xxhash64("c"), F.col("shards")) + F.col("slot"), F.col("shards"))
+    return dealt.select("host", shard.alias("shard"), "shards", "pages", (F.col("slot") == 0).alias("first"), "c", "page_id", "url", "body"), hosts
+
+
+def main_text(pages: DataFrame, length: int = 8, share: float = 0.01, article_share: float = 0.5, shard_mb: float = 8, few: int = 1000) -> DataFrame:
     """(page_id, url, text) for every row of ``pages`` (page_id, url, html).
 
-    Where a page has an article or main element, its blocks are the text.  On other pages, runs of ``length`` (a power of two) or more tokens that
-    ``in_pages`` or more distinct pages of the host share are boilerplate: they are removed, and what is unique
-    stays.  Hosts are compared in shards of about ``shard`` pages, so a host of any size is many bounded groups.  Null html and pages
-    without text give an empty text; a null url is a host of its own; repeated rows are separate pages, so
-    outside articles they are each other's boilerplate; extra columns are ignored; no rows give no rows.
+    Menus, headers, footers, sidebars, forms, adverts, notices and comments that the markup names are left out at once.  The
+    rest of every page goes through the suffix arrays of its host: a run of ``length`` (a power of two) or more tokens, or a
+    whole block, that is in ``share`` of the host's distinct contents, and in two at least, is boilerplate and removed; what is
+    unique stays.  Articles quote and repeat each other, so inside an article or main element only runs that the articles of over
+    ``article_share`` of the contents, and of five at least, have are boilerplate.
+
+    A host is dealt by content into shards of about ``shard_mb`` of text.  A run that is in enough contents of the host is in
+    its share of them in some shard, so shards propose such runs, each shard of the host then counts all that may still
+    be in enough, and the sums decide: results do not depend on how a host is dealt.
+
+    Null html and pages without text give an empty text; a null url is a host of its own; equal pages of a host are one content and
+    get equal texts; extra columns are ignored; no rows give no rows.
     """
-    parsed = materialize(parse(pages))
-    sure = parsed.where("sure").select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
-    open_ = parsed.where("not sure")
-    shards = open_.groupBy("host").agg(F.ceil(F.count("*") / shard).alias("shards"))
-    dealt = open_.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "blocks"), F.col("shards"))).select("host", "shard", "page_id", "url", "blocks")
-
-    def clean(key: tuple, t: pa.Table) -> pa.Table:
-        found = t.column("blocks").to_pylist()
-        covered = repeated([[w for b in x for w in b.split(" ")] for x in found], length, in_pages)
-        texts = []
-        for x, gone in zip(found, covered):
-            kept, at = [], 0
-            for b in x:
-                toks = b.split(" ")
-                left = [w for w, g in zip(toks, gone[at : at + len(toks)]) if not g]
-                at += len(toks)
-                if left:
-                    kept.append(" ".join(left))
-            texts.append("\n\n".join(kept))
-        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string())})
-
-    return sure.unionByName(dealt.groupBy("host", "shard").applyInArrow(clean, "page_id long, url string, text string"))
+    dealt, hosts = deal(parse(pages), shard_mb, few)
+    shards = dealt.groupBy("host", "shard")
+    each = hosts.where("shards > 1").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+
+    def opened(t: pa.Table) -> tuple[Shard, np.ndarray]:
+        """A shard, and the place of each row's content in it."""
+        c, row, place = np.unique(t.column("c").to_numpy(), return_index=True, return_inverse=True)
+        first = np.zeros(len(c), bool)
+        np.logical_or.at(first, place, t.column("first").to_numpy(zero_copy_only=False).astype(bool))
+        return Shard([t.column("body")[int(i)].as_py() for i in row], first, length), place
+
+    def told(host: str, keys: np.ndarray, n: np.ndarray) -> pa.Table:
+        return pa.table({"host": pa.array([host] * len(keys), pa.string()), "k": pa.array(keys.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    def enough(t: pa.Table) -> int:
+        return max(2, math.ceil(share * t.column("pages")[0].as_py()))
+
+    def propose(key: tuple, t: pa.Table) -> pa.Table:
+        if t.column("shards")[0].as_py() == 1:
+            return told("", np.empty(0), np.empty(0))
+        s, _ = opened(t)
+        least = -(-enough(t) // t.column("shards")[0].as_py())
+        met = [(k[n >= least], n[n >= least]) for k, n in zip(s.keys(), s.counts())]
+        return told(key[0].as_py(), *map(np.concatenate, zip(*met)))
+
+    def count(key: tuple, t: pa.Table, asked: pa.Table) -> pa.Table:
+        if not t.num_rows or not asked.num_rows:
+            return told("", np.empty(0), np.empty(0))
+        s, _ = opened(t)
+        keys, n = np.concatenate(s.keys()), np.concatenate(s.counts())
+        met = np.isin(keys, asked.column("k").to_numpy()) & (n > 0)
+        return told(key[0].as_py(), keys[met], n[met])
+
+    def clean(key: tuple, t: pa.Table, sums: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return t.select(["page_id", "url"]).append_column("text", pa.array([], pa.string()))
+        s, place = opened(t)
+        found = s.counts()
+        if t.column("shards")[0].as_py() > 1:
+            known, n = sums.column("k").to_numpy(), sums.column("n").to_numpy()
+            order = np.argsort(known)
+            known, n = np.append(known[order], 0), np.append(n[order], 0)
+            at = [np.searchsorted(known[:-1], k) for k in s.keys()]
+            found = tuple(np.where(known[i] == k, n[i], 0) for i, k in zip(at, s.keys()))
+        all_ = t.column("pages")[0].as_py()
+        gone = s.boilerplate(*found, outside=enough(t), within=max(5, math.floor(article_share * all_) + 1))
+        text = s.kept(gone)
+        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array([text[i] for i in place], pa.string())})
+
+    kind = "host string, k long, n long"
+    need = F.greatest(F.lit(2), F.ceil(F.col("pages") * share))
+    most = F.col("n") + (F.col("shards") - F.col("of")) * (F.ceil(need / F.col("shards")) - 1)
+    proposed = shards.applyInArrow(propose, kind).groupBy("host", "k").agg(F.sum("n").alias("n"), F.count("*").alias("of"))
+    asked = proposed.join(hosts, "host").where(most >= need).select("host", "k").join(each, "host")
+    counted = shards.cogroup(asked.groupBy("host", "shard")).applyInArrow(count, kind)
+    sums = counted.groupBy("host", "k").agg(F.sum("n").alias("n")).where("n > 1").join(each, "host")
+    return shards.cogroup(sums.groupBy("host", "shard")).applyInArrow(clean, "page_id long, url string, text string")

@@ -1,3 +1,6 @@
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 
@@ -116,6 +119,49 @@ def test_boilerplate_of_hosts(spark):
     assert html.main_text(pages.where("false")).count() == 0
 
 
+def main_text_by_hand(rows, length=8, share=0.01, article_share=0.5):
+    hosts = defaultdict(set)
+    found = [(html.host_of(u), tuple(html.blocks(h or ""))) for _, u, h in rows]
+    for host, x in found:
+        hosts[host].add(x)
+    texts = []
+    for host, x in found:
+        runs, own, whole = Counter(), Counter(), Counter()
+        for y in hosts[host]:
+            toks = [(w, b) for t, b in y for w in t.split(" ")]
+            cut = [(tuple(w for w, _ in toks[j : j + length]), toks[j][1]) for j in range(len(toks) - length + 1)]
+            runs.update({r for r, _ in cut})
+            own.update({r for r, b in cut if b})
+            whole.update({t for t, within in y if not within})
+        outside, within_ = max(2, math.ceil(share * len(hosts[host]))), max(5, math.floor(article_share * len(hosts[host])) + 1)
+        toks = [(w, b, k) for k, (t, b) in enumerate(x) for w in t.split(" ")]
+        cut = [tuple(w for w, _, _ in toks[j : j + length]) for j in range(len(toks))]
+        often = [(runs[r] >= outside, own[r] >= within_ and b) if len(r) == length else (False, False) for r, (_, b, _) in zip(cut, toks)]
+        kept = defaultdict(list)
+        for j, (w, b, k) in enumerate(toks):
+            if not any(o[b] for o in often[max(0, j - length + 1) : j + 1]) and (b or whole[x[k][0]] < outside):
+                kept[k].append(w)
+        texts.append("\n\n".join(" ".join(kept[k]) for k in sorted(kept)))
+    return texts
+
+
+@pytest.mark.parametrize("shard_mb,few", [(0.005, 2), (8, 1000)])
+def test_main_text_matches_brute_force(spark, shard_mb, few):
+    notice, quote, banner, label = prose(1, 14, 9000), prose(2, 30, 9000), prose(3, 12, 9000), "Read more"
+    rows = []
+    for i in range(90):
+        own = f"<h1>{prose(100 + i, 5, 9000)}</h1><p>{prose(200 + i, 25, 9000)}" + (f"<p>{quote}" if i % 5 == 0 else "") + (f"<p>{notice}" if i % 3 else "") + f"<p>{banner}"
+        inner = f"<article>{own}</article>" if i % 2 else f"<div>{own}</div>"
+        rows.append((i, f"http://h{i % 2 if i < 80 else 2}.example.com/{i}", f"<body><div>{notice} {i}</div>{inner}<div>{label}</div><p>{prose(300 + i % 40, 9, 9000)}"))
+    rows += [(500 + i, f"http://h0.example.com/copy{i}", rows[2][2]) for i in range(12)] + [(600, rows[4][1], rows[4][2])] * 3
+    rows += [(700, None, "<p>a b c"), (701, None, "<p>a b c"), (702, "http://h1.example.com/short", "<p>two words"), (703, "x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["url"] or "", r["text"]) for r in html.main_text(pages, shard_mb=shard_mb, few=few, share=0.05).collect())
+    want = sorted((i, u or "", t) for (i, u, _), t in zip(rows, main_text_by_hand(rows, share=0.05)))
+    assert got == want
+    assert not any(label in t or notice in t for i, _, t in got if i < 80 and not i % 2) and any(quote in t for _, _, t in got)
+
+
 def test_suffix_array_orders_suffixes():
     x = np.array([2, 1, 2, 1, 0, 2, 1])
     order, ranks = html.suffix_array(x)
