@@ -48,7 +48,10 @@ def deal(docs: DataFrame, chunk_mb: float, bucket_mb: float, *more: str) -> tupl
 
 @dataclass
 class Words:
-    """The words of a chunk's texts: numbers in one row, where each text begins and ends, and each number's word and hash."""
+    """The words of a chunk's texts: numbers in one row, where each text begins and ends, and each number's word and hash.
+
+    The hash is that of Spark's ``xxhash64`` on the word.
+    """
 
     ids: np.ndarray
     begin: np.ndarray
@@ -71,7 +74,7 @@ def read_words(texts: list[bytes], lower: bool, closing: bytes | None = None) ->
         parts.append(np.fromiter(map(number, toks), np.int32, len(toks)))
         ends.append(len(toks))
     end = np.cumsum(ends, dtype=np.int64)
-    hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in index], np.uint64)
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in index], np.uint64)
     return Words(np.concatenate([*parts, np.empty(0, np.int32)]), end - np.array(ends, np.int64), end, list(index), hashes)
 
 

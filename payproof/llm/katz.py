@@ -1,4 +1,4 @@
-"""Katz backoff: Good-Turing discounted counts, exactly normalised backoff weights, tables spread over buckets.
+"""Katz backoff: Good-Turing discounted counts, exactly normalised backoff weights, count tables spread over buckets.
 
 p(w | v) = d(c(v, w)) / c(v)                 if v w was seen in training
          = alpha(v) * p(w)                   if v was seen, v w was not
@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._chunks import MESSAGE, Words, by_bucket, deal, in_order, pack, read_words, rows, unpack
-from ._common import materialize, release
+from ._common import materialize, release, words
 
 K = 5
 END = b""
 START = np.uint64(1 << 62)
-ASK, STATE, UNI, BI, HOT = range(5)
+ASK, STATE, UNI, BI, HOT, WORDS, PAIRS = range(7)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A context with over one in HOT_SHARE of the bytes as occurrences is spread over this many buckets.
 HOT_SHARE, SPREAD = 8000, 16
@@ -123,7 +123,8 @@ def count_words(key: tuple, told: pa.Table, buckets: int) -> pa.Table:
     number = np.empty(len(words), np.uint64)
     number[np.lexsort((words, -c.astype(np.int64)))] = np.arange(len(words), dtype=np.uint64)
     number = number * np.uint64(buckets) + np.uint64(bucket)
-    out, at = [(-1, bucket, UNI, pack(np.array([c.sum(), (c > 0).sum(), *seen_once(c)], np.uint64)))], 0
+    known = c > 0
+    out, at = [(-1, bucket, UNI, pack(np.array([c.sum(), known.sum(), *seen_once(c)], np.uint64))), (-1, bucket, WORDS, pack(words[known], c[known], number[known]))], 0
     for (chunk, _), p in zip(asked, parts):
         i = place[at : at + len(p[0])]
         out.append((chunk, bucket, ASK, pack(c[i], number[i])))
@@ -178,14 +179,44 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.append(first, len(x))).astype(np.uint64)
 
 
+TABLE = f"{MESSAGE}, context long, words array<long>, counts array<long>, sums array<long>"
+
+
+def table_rows(bucket: int, kind: int, context: np.ndarray, held: np.ndarray, *lists: np.ndarray) -> pa.Table:
+    """Rows of the count tables: a context and lists with so many entries as it holds; the last has any length."""
+    n = len(held)
+    edges = pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32())
+    made = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int64))) for x in lists[:2]]
+    wide = np.arange(n + 1) * (len(lists[2]) // max(1, n))
+    made.append(pa.ListArray.from_arrays(pa.array(wide, pa.int32()), pa.array(lists[2].astype(np.int64))))
+    same = [pa.array(np.full(n, -1), pa.int64()), pa.array(np.full(n, bucket), pa.int64()), pa.array(np.full(n, kind), pa.int32()), pa.nulls(n, pa.binary())]
+    return pa.Table.from_arrays([*same, pa.array(context.astype(np.int64)), *made], names=TABLE_NAMES)
+
+
+def messages(found: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    t = rows(found)
+    for name in TABLE_NAMES[4:]:
+        t = t.append_column(name, pa.nulls(t.num_rows, pa.int64() if name == "context" else pa.list_(pa.int64())))
+    return t
+
+
+TABLE_NAMES = [c.split()[0] for c in TABLE.split(", ")]
+
+
 def count_pairs(key: tuple, told: pa.Table) -> pa.Table:
-    """Adds up the pairs of one bucket; answers each message with its pairs' counts and its contexts' sums."""
+    """Adds up the pairs of one bucket; answers each message with its pairs' counts and its contexts' sums.
+
+    Rows of kind PAIRS are the bucket's count table: the words after each context and how often; those of kind WORDS the
+    hashes, counts and numbers of words.
+    """
     bucket = key[0].as_py()
     every = sorted(zip(told.column("chunk").to_pylist(), told.column("kind").to_pylist(), told.column("payload").to_pylist()))
-    out = [(c, bucket, k, p) for c, k, p in every if k != ASK]
+    out = [(c, bucket, k, p) for c, k, p in every if k not in (ASK, WORDS)]
     asked = [(c, unpack(p)) for c, k, p in every if k == ASK]
+    held = [unpack(p) for _, k, p in every if k == WORDS]
+    made = [table_rows(bucket, WORDS, np.zeros(1), np.array([len(p[0])]), *p) for p in held]
     if not asked:
-        return rows(out)
+        return pa.concat_tables([messages(out), *made])
     v = np.concatenate([np.repeat(p[0].astype(np.uint64), p[1].astype(np.int64)) for _, p in asked])
     x, c = (np.concatenate([p[i].astype(np.uint64)[p[4]] for _, p in asked]) for i in (2, 3))
     n = np.concatenate([p[5].astype(np.uint64) for _, p in asked])
@@ -200,6 +231,9 @@ def count_pairs(key: tuple, told: pa.Table) -> pa.Table:
     contexts, member = np.unique(v[first], return_inverse=True)
     sums = context_sums(member, len(contexts), count, c[first])
     out.append((-1, bucket, BI, pack(seen_once(count).astype(np.uint64))))
+    seen = count > 0
+    learned = np.unique(member[seen])
+    made.append(table_rows(bucket, PAIRS, contexts[learned], np.bincount(member[seen], minlength=len(contexts))[learned], x[first][seen], count[seen], sums[:, learned].T.ravel()))
     hot = np.unique(np.concatenate([p[6].astype(np.uint64) for _, p in asked]))
     if len(hot):
         i = np.searchsorted(contexts, hot)
@@ -209,7 +243,7 @@ def count_pairs(key: tuple, told: pa.Table) -> pa.Table:
         i = np.searchsorted(contexts, p[0].astype(np.uint64))
         out.append((chunk, bucket, ASK, pack(count[place[at : at + len(p[4])]], *sums[:, i])))
         at += len(p[4])
-    return rows(out)
+    return pa.concat_tables([messages(out), *made])
 
 
 def context_sums(member: np.ndarray, n: int, count: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -264,8 +298,63 @@ def score_texts(key: tuple, t: pa.Table, told: pa.Table, buckets: int, hot: floa
     return pa.Table.from_arrays([t.column("doc_id").combine_chunks(), pa.array(w.end - w.begin, pa.int64()), pa.array(total((c > 0)[w.ids].astype(np.int64)), pa.int64()), pa.array(np.full(n, totals.n), pa.int64()), pa.array(total(base)), pa.array(total(each))], names=[x.split()[0] for x in SCORES.split(", ")])
 
 
+@dataclass
+class Model:
+    """A trained model: its count tables in the shared folder and the sums that all tasks share."""
+
+    tables: DataFrame
+    totals: Totals
+
+    def words(self) -> DataFrame:
+        """(h, number, n): hash, number and training count of each word."""
+        kept = self.tables.where(F.col("kind") == WORDS)
+        return kept.select(F.explode(F.arrays_zip("words", "counts", "sums")).alias("w")).select(F.col("w.words").alias("h"), F.col("w.sums").alias("number"), F.col("w.counts").alias("n"))
+
+    def pairs(self) -> DataFrame:
+        """(context, word, n): how often a word follows a context, by their numbers."""
+        kept = self.tables.where(F.col("kind") == PAIRS)
+        return kept.select("context", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("context", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+
+    def contexts(self) -> DataFrame:
+        """(context, shrink, alpha): what pairs of a context are multiplied by, and what words not seen after it are."""
+        t, r = self.totals, range(1, K + 1)
+        kept = self.tables.where(F.col("kind") == PAIRS)
+        every = kept.groupBy("context").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("held"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 * K + 1)])
+        weigh = lambda w, at: sum((F.lit(float(x)) * F.col(f"s{at + i}") for i, x in enumerate(w)), F.lit(0.0))
+        free = weigh([(1 - d) * k for k, d in zip(r, t.d_bi)], 0) / F.col("held")
+        mass = (weigh([d * k for k, d in zip(r, t.d_uni)], K) + F.col(f"s{2 * K}")) * t.scale
+        full = free <= 0
+        return every.select("context", (F.when(full, F.col("held") / (F.col("held") + 1)).otherwise(1.0) / F.col("held")).alias("shrink"), (F.when(full, 1 / (F.col("held") + 1)).otherwise(free) / F.greatest(1 - mass, F.lit(1e-300))).alias("alpha"))
+
+
+def score_new(model: Model, docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, score) for rows that need not be of the training table, from the model's tables by joins.
+
+    Texts are read as in ``score``; every row is scored, repeated ones too.
+    """
+    t = model.totals
+    disc = lambda c, d: F.when(c > K, c.cast("double")).otherwise(F.element_at(F.array(*[F.lit(float(k * x)) for k, x in enumerate(d, 1)]), F.least(c, F.lit(K)).cast("int")))
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hashes = F.transform(F.concat(words(lower), F.array(F.lit(""))), lambda w: F.xxhash64(w))
+    rows_ = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), hashes.alias("hs")))
+    known = model.words()
+    toks = rows_.select("row", "doc_id", F.posexplode("hs").alias("at", "h"), "hs").select("row", "doc_id", "h", F.when(F.col("at") > 0, F.get("hs", F.col("at") - 1)).alias("before"))
+    toks = toks.join(known.select("h", F.col("number").alias("word"), F.col("n").alias("c")), "h", "left")
+    toks = toks.join(known.select(F.col("h").alias("before"), F.col("number").alias("context")), "before", "left")
+    toks = toks.withColumn("context", F.when(F.col("before").isNull(), F.lit(int(START))).otherwise(F.col("context")))
+    toks = toks.join(model.pairs(), ["context", "word"], "left").join(model.contexts(), "context", "left")
+    alone = F.when(F.col("c") > 0, disc(F.col("c"), t.d_uni) * t.scale).otherwise(F.lit(t.unknown))
+    p = F.when(F.col("n") > 0, F.col("shrink") * disc(F.col("n"), t.d_bi)).otherwise(F.coalesce("alpha", F.lit(1.0)) * alone)
+    return toks.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_tokens"), F.count("c").alias("n_known"), F.sum(F.log10(p)).alias("score")).drop("row")
+
+
 def score(docs: DataFrame, train: Column, chunk_mb: float = 8, bucket_mb: float = 20) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
+    """The scores of ``train_and_score``."""
+    return train_and_score(docs, train, chunk_mb, bucket_mb)[0]
+
+
+def train_and_score(docs: DataFrame, train: Column, chunk_mb: float = 8, bucket_mb: float = 20) -> tuple[DataFrame, Model]:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``, and the model.
 
     The model learns from all whole texts of the rows where ``train`` holds.  Tokens are the words of the text in lower case
     (A-Z), then one end.  score is the model's log10 probability of the text, base_score that of an add-half unigram model;
@@ -275,20 +364,22 @@ def score(docs: DataFrame, train: Column, chunk_mb: float = 8, bucket_mb: float
 
     1. Chunks send their distinct words to buckets, which add up the counts and number the words.
     2. Chunks send their distinct pairs with training counts to buckets by context (those of very frequent contexts to
-       several); buckets add up pairs and contexts and answer.  The answers are the count tables, a slice for each
-       bucket and chunk, and are written to the shared folder.
+       several), which add up pairs and contexts.  Their count tables, which score other documents too, and their answers
+       to the chunks are written to the shared folder.
     3. The driver adds up the buckets' counts of counts and hot contexts; chunks score their texts.
     """
     sized, _, buckets, total = deal(docs.withColumn("train", F.coalesce(train, F.lit(False))), chunk_mb, bucket_mb, "train")
     hot = total / HOT_SHARE
     both = sized.groupBy("chunk")
-    words = both.applyInArrow(lambda key, t: ask_words(key, t, buckets), MESSAGE).groupBy("bucket").applyInArrow(lambda key, t: count_words(key, t, buckets), MESSAGE)
-    asked = both.cogroup(words.groupBy("chunk")).applyInArrow(lambda key, t, told: ask_pairs(key, t, told, buckets, hot), MESSAGE)
-    tables = materialize(asked.groupBy("bucket").applyInArrow(count_pairs, MESSAGE))
-    del words, asked
+    counted = both.applyInArrow(lambda key, t: ask_words(key, t, buckets), MESSAGE).groupBy("bucket").applyInArrow(lambda key, t: count_words(key, t, buckets), MESSAGE)
+    asked = both.cogroup(counted.groupBy("chunk")).applyInArrow(lambda key, t, told: ask_pairs(key, t, told, buckets, hot), MESSAGE)
+    tables = materialize(asked.groupBy("bucket").applyInArrow(count_pairs, TABLE), compression="zstd")
+    del counted, asked
     release(docs.sparkSession)
-    totals = add_up([(r["kind"], r["payload"]) for r in tables.where("chunk < 0").collect()])
-    return both.cogroup(tables.where("chunk >= 0").groupBy("chunk")).applyInArrow(lambda key, t, told: score_texts(key, t, told, buckets, hot, totals), SCORES)
+    totals = add_up([(r["kind"], r["payload"]) for r in tables.where("chunk < 0 and payload is not null").select("kind", "payload").collect()])
+    told = tables.where("chunk >= 0").select(*[c.split()[0] for c in MESSAGE.split(", ")])
+    scored = both.cogroup(told.groupBy("chunk")).applyInArrow(lambda key, t, told: score_texts(key, t, told, buckets, hot, totals), SCORES)
+    return scored, Model(tables, totals)
 
 
 def add_up(stats: list[tuple[int, bytes]]) -> Totals:

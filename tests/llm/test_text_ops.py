@@ -202,7 +202,8 @@ def test_katz_scores_match_brute_force(spark, chunk_mb):
     rows = [(i, t) for i, t, *_ in awkward()] + [(100 + i, prose(i, 150, 60)) for i in range(40)]
     train = [i is not None and i % 4 != 1 for i, _ in rows]
     docs = documents(spark, rows)
-    got = katz.score(docs, F.col("doc_id").isNotNull() & (F.col("doc_id") % 4 != 1), chunk_mb=chunk_mb, bucket_mb=chunk_mb).collect()
+    scored, model = katz.train_and_score(docs, F.col("doc_id").isNotNull() & (F.col("doc_id") % 4 != 1), chunk_mb=chunk_mb, bucket_mb=chunk_mb)
+    got = scored.collect()
     assert len(got) == len(rows)
     texts, c, n, p = katz_by_hand(rows, train)
     want = defaultdict(list)
@@ -213,6 +214,14 @@ def test_katz_scores_match_brute_force(spark, chunk_mb):
     for i, vals in want.items():
         own = sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got if r["doc_id"] == i)
         assert np.allclose(own, sorted(vals), rtol=1e-9)
+    new = [(7000, "never seen w1 W2 w1"), (7001, None), (7002, rows[1][1]), (None, "é")]
+    by_joins = {r["doc_id"]: r for r in katz.score_new(model, documents(spark, new)).collect()}
+    for i, t in new:
+        toks = (t or "").encode().lower().split() + [b""]
+        r = by_joins[i]
+        assert (r["n_tokens"], r["n_known"]) == (len(toks), sum(c[w] > 0 for w in toks))
+        assert math.isclose(r["score"], sum(math.log10(p(v, w)) for v, w in zip([b"\n", *toks], toks)), rel_tol=1e-9)
+    assert model.pairs().count() > 1000 and model.words().count() == len(c)
     for v in (b"\n", b"w1", b"w2"):
         assert abs(sum(p(v, w) for w in c) + p(v, b"never seen") - 1) < 1e-9
 
