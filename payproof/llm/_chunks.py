@@ -26,15 +26,15 @@ MESSAGE = "chunk long, bucket long, kind int, payload binary"
 ARROW_MESSAGE = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
-def deal(docs: DataFrame, chunk_mb: float, bucket_mb: float, *more: str) -> tuple[DataFrame, int, int, int]:
+def deal(docs: DataFrame, chunk_mb: float, bucket_mb: float, *more: str, spread: bool = False) -> tuple[DataFrame, int, int, int]:
     """(chunk, doc_id, text, more boolean columns), the numbers of chunks and buckets, and the bytes of all texts.
 
-    Texts are compressed before they are shuffled.
+    Texts are compressed before they are shuffled.  ``spread``: repeated rows are dealt by the partition they come from, too.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n, b = max(1, round(total / chunk_mb / 1e6)), max(1, round(total / bucket_mb / 1e6))
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
-    chunk = F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), text), F.lit(n))
+    chunk = F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), text, *[F.spark_partition_id()] * spread), F.lit(n))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)

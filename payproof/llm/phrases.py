@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from ._chunks import MESSAGE, Words, by_bucket, deal, in_order, pack, read_words, rows, unpack
@@ -58,17 +61,28 @@ def anchors(w: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([*at, np.empty(0, np.int64)]), np.concatenate([*keys, np.empty(0, np.uint64)])
 
 
-def least_by_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the least document of each, whether it has others, and the place of every input in them."""
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
+@dataclass
+class Keys:
+    """Distinct keys, each of two 64-bit hashes: the least document of each, whether it has others, and the place of every
+    input in them."""
+
+    key: np.ndarray
+    check: np.ndarray
+    least: np.ndarray
+    several: np.ndarray
+    place: np.ndarray
+
+
+def distinct_keys(keys: np.ndarray, check: np.ndarray, docs: np.ndarray) -> Keys:
+    order = np.lexsort((docs, check, keys))
+    k, c, d = keys[order], check[order], docs[order]
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(k)) - 1
+    last = np.append(first, len(k))[1:] - 1
     place = np.empty(len(k), np.int64)
     place[order] = np.cumsum(new) - 1
-    return k[first], d[first], d[last] != d[first], place
+    return Keys(k[first], c[first], d[first], d[last] != d[first], place)
 
 
 def owner(w: Words, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -82,12 +96,12 @@ def places(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     return [(b, order[part]) for b, part in by_bucket(bucket[order], buckets)]
 
 
-def ask(chunk: int, buckets: int, keys: np.ndarray, docs: np.ndarray, more: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+def ask(chunk: int, buckets: int, k: Keys) -> list[tuple[int, int, int, bytes]]:
     """Messages with keys and their least documents, one for each bucket."""
     out = []
-    for b, i in places(keys, buckets):
-        held, place = np.unique(docs[i], return_inverse=True)
-        out.append((chunk, b, ASK, pack(keys[i], held, place.astype(np.uint64), more[i])))
+    for b, i in places(k.key, buckets):
+        held, place = np.unique(k.least[i], return_inverse=True)
+        out.append((chunk, b, ASK, pack(k.key[i], held, place.astype(np.uint64), k.several[i], k.check[i])))
     return out
 
 
@@ -102,12 +116,12 @@ def answer(key: tuple, told: pa.Table, repeated: bool) -> pa.Table:
         keys = np.concatenate([p[0].astype(np.uint64) for p in parts])
         docs = np.concatenate([p[1][p[2]] for p in parts])
         more = np.concatenate([p[3].astype(bool) for p in parts])
-        _, least, several, place = least_by_key(keys, docs)
+        k = distinct_keys(keys, np.concatenate([p[4].astype(np.uint64) for p in parts]), docs)
         if repeated:
-            np.logical_or.at(several, place[more], True)
-            said = several[place]
+            np.logical_or.at(k.several, k.place[more], True)
+            said = k.several[k.place]
         else:
-            said = least[place] < docs
+            said = k.least[k.place] < docs
         at = 0
         for x, p in zip(asked, parts):
             n = len(p[0])
@@ -164,13 +178,22 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, chunk_mb
     removed.  ``spans`` holds the first word and length of each removed run; ``text`` joins the words that stay by a space.
     Windows are those of the whole input text.  Null texts have no words; a null doc_id is smaller than all; rows of one
     doc_id never remove each other's words, so repeated rows are alike; extra columns are ignored; no rows give no rows.
+    Windows are told apart by 128 bits: two hashes of their words' two hashes.
 
     1. Chunks winnow anchors, phrases of ``phrase`` words, and buckets tell which recur in several documents.
     2. Each chunk compiles its recurring phrases to an automaton, streams all of its texts through it and takes the
        windows that hold a phrase; buckets tell, for each such window, if it begins in a smaller document.
     3. Chunks remove what the windows cover.
     """
-    dealt, _, buckets, _ = deal(docs, chunk_mb, bucket_mb)
+    dealt, _, buckets, _ = deal(docs, chunk_mb, bucket_mb, spread=True)
+
+    def phrases(w: Words, ids: np.ndarray) -> tuple[np.ndarray, Keys]:
+        at, keys = anchors(w, window, phrase)
+        return at, distinct_keys(keys, np.zeros(len(keys), np.uint64), owner(w, ids, at))
+
+    def windows(w: Words, ids: np.ndarray, starts: np.ndarray) -> Keys:
+        other = np.array([xxhash.xxh64_intdigest(x, 7) for x in w.words], np.uint64)
+        return distinct_keys(run_hash(w.hashes[w.ids], starts, window), run_hash(other[w.ids], starts, window), owner(w, ids, starts))
 
     def texts(t: pa.Table) -> tuple[Words, np.ndarray]:
         t = in_order(t)
@@ -179,24 +202,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, chunk_mb
 
     def first(key: tuple, t: pa.Table) -> pa.Table:
         w, ids = texts(t)
-        at, keys = anchors(w, window, phrase)
-        k, d, more, _ = least_by_key(keys, owner(w, ids, at))
-        return rows(ask(key[0].as_py(), buckets, k, d, more))
+        return rows(ask(key[0].as_py(), buckets, phrases(w, ids)[1]))
 
     def second(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
         w, ids = texts(t)
         chunk = key[0].as_py()
-        at, keys = anchors(w, window, phrase)
-        k, d, more, place = least_by_key(keys, owner(w, ids, at))
-        several = heard(k, buckets, told)
-        one = np.empty(len(k), np.int64)
-        one[place] = at
-        found = one[several]
-        starts = recurring(w, found, window, phrase)
+        at, k = phrases(w, ids)
+        one = np.empty(len(k.key), np.int64)
+        one[k.place] = at
+        starts = recurring(w, one[heard(k.key, buckets, told)], window, phrase)
         held = np.zeros(len(w.ids), bool)
         held[starts] = True
-        k, d, more, _ = least_by_key(run_hash(w.hashes[w.ids], starts, window), owner(w, ids, starts)) if len(starts) else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool), None)
-        return rows([*ask(chunk, buckets, k, d, more), (chunk, chunk % buckets, STATE, np.packbits(held).tobytes())])
+        return rows([*ask(chunk, buckets, windows(w, ids, starts)), (chunk, chunk % buckets, STATE, np.packbits(held).tobytes())])
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))), ("text", pa.string())])
 
@@ -208,9 +225,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, chunk_mb
         starts = np.flatnonzero(held)
         gone = np.zeros(len(w.ids) + 1, np.int32)
         if len(starts):
-            own = owner(w, ids, starts)
-            k, d, more, place = least_by_key(run_hash(w.hashes[w.ids], starts, window), own)
-            drop = starts[heard(k, buckets, bits)[place] | (own > d[place])]
+            k = windows(w, ids, starts)
+            drop = starts[heard(k.key, buckets, bits)[k.place] | (owner(w, ids, starts) > k.least[k.place])]
             np.add.at(gone, drop, 1)
             np.add.at(gone, drop + window, -1)
         covered = np.cumsum(gone)[:-1] > 0
@@ -223,6 +239,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, phrase: int = 16, chunk_mb
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     both = dealt.groupBy("chunk")
-    phrases = both.applyInArrow(first, MESSAGE).groupBy("bucket").applyInArrow(lambda key, t: answer(key, t, True), MESSAGE)
-    windows = both.cogroup(phrases.groupBy("chunk")).applyInArrow(second, MESSAGE).groupBy("bucket").applyInArrow(lambda key, t: answer(key, t, False), MESSAGE)
-    return both.cogroup(windows.groupBy("chunk")).applyInArrow(third, "doc_id long, n_words long, n_removed long, spans array<struct<first: long, words: long>>, text string")
+    known = both.applyInArrow(first, MESSAGE).groupBy("bucket").applyInArrow(lambda key, t: answer(key, t, True), MESSAGE)
+    judged = both.cogroup(known.groupBy("chunk")).applyInArrow(second, MESSAGE).groupBy("bucket").applyInArrow(lambda key, t: answer(key, t, False), MESSAGE)
+    return both.cogroup(judged.groupBy("chunk")).applyInArrow(third, "doc_id long, n_words long, n_removed long, spans array<struct<first: long, words: long>>, text string")

@@ -275,6 +275,21 @@ def test_passage_removal_matches_brute_force(spark, chunk_mb):
     assert phrases.remove_repeats(documents(spark, rows).where("false")).count() == 0
 
 
+def test_passages_of_short_null_and_repeated_rows(spark):
+    def of(rows):
+        return sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["text"]) for r in phrases.remove_repeats(documents(spark, rows)).collect())
+
+    assert of([(1, "short text"), (2, None)]) == [(1, 2, 0, "short text"), (2, 0, 0, "")]
+    assert of([(1, None), (None, None), (3, "")]) == [(0, 0, 0, ""), (1, 0, 0, ""), (3, 0, 0, "")]
+    long_text = prose(1, 70)
+    assert of([(1, long_text)] * 3 + [(2, long_text)] * 2) == [(1, 70, 0, long_text)] * 3 + [(2, 70, 70, "")] * 2
+
+
+def test_windows_of_equal_hashes_are_told_apart():
+    k = phrases.distinct_keys(np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64), np.array([3, 1, 2, 4]))
+    assert k.key.tolist() == [5, 5, 9] and k.least.tolist() == [2, 1, 4] and k.several.tolist() == [True, False, False] and k.place.tolist() == [0, 1, 0, 2]
+
+
 def test_simhash_matches_brute_force(spark):
     base = prose(5, 300, 3000).split()
     rows = [(i, t) for i, t, *_ in awkward()]
