@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -114,23 +116,20 @@ def suffix_array(x: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, d
 class Shard:
     """The distinct contents of some of a host's pages as one stream of tokens, each page closed by a number of its own.
 
-    ``group`` numbers the suffixes of the stream: those that share their first ``length`` tokens, neighbours in its suffix
-    array, have one number.  ``pages`` counts the distinct contents of each group, none for those that a page's end cuts short;
-    ``article_pages`` counts only where it begins inside an article; ``block_pages`` counts those of each text of a whole block
-    outside an article.  Contents that are not ``counted`` here are counted
-    in another shard.
+    Three kinds of units occur in it: runs of ``length`` tokens of one page, those that begin inside an article, and whole
+    blocks outside articles.  ``at`` holds the places of each kind's occurrences, ``page`` their pages.
     """
 
     def __init__(self, bodies: list[bytes], counted: np.ndarray, length: int):
-        self.length = length
+        self.length, self.counted = length, counted
         self.blocks = [unpacked(b) for b in bodies]
-        index: dict[str, int] = {}
+        index: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         texts: dict[str, int] = {}
         ids, inside, block, held = [], [], [], []
         for i, x in enumerate(self.blocks):
             for text, within in x:
                 toks = text.split(" ")
-                ids.append(np.fromiter((index.setdefault(w, len(index)) for w in toks), np.int64, len(toks)))
+                ids.append(np.fromiter(map(index.__getitem__, toks), np.int64, len(toks)))
                 held.append(len(toks))
                 inside.append(within)
                 block.append(-1 if within else texts.setdefault(text, len(texts)))
@@ -138,50 +137,54 @@ class Shard:
             held.append(1)
             inside.append(False)
             block.append(-1)
-        self.flat = np.concatenate([*ids, np.empty(0, np.int64)])
-        self.inside, self.block = np.repeat(np.array(inside, bool), held), np.array(block, np.int64)
+        self.flat = np.concatenate(ids)
         self.held = np.array(held, np.int64)
-        last = self.flat < 0
-        page = np.cumsum(last) - last
-        order, ranks = suffix_array(self.flat, length)
-        self.group = ranks.get(length, ranks[max(ranks)])
-        self.pages = distinct_pages(self.group[order], page[order], counted)
-        begun = self.inside[order]
-        self.article_pages = np.zeros(len(self.pages), np.int64)
-        within = distinct_pages(self.group[order][begun], page[order][begun], counted)
-        self.article_pages[: len(within)] = within
-        ends = np.flatnonzero(last)
-        short = self.group[ends[page] - np.arange(len(page)) < length]
-        self.pages[short] = self.article_pages[short] = 0
-        self.block_pages = distinct_pages(self.block[self.block >= 0], page[np.cumsum(self.held) - self.held][self.block >= 0], counted)
+        self.inside, self.block = np.repeat(np.array(inside, bool), self.held), np.array(block, np.int64)
         self.words, self.texts = index, texts
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.pages, self.article_pages, self.block_pages
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """64-bit names of what is counted that mean the same in every shard."""
+        last = self.flat < 0
+        page, ends = np.cumsum(last) - last, np.flatnonzero(last)
+        whole = ends[page] - np.arange(len(page)) >= length
+        self.at = [np.flatnonzero(whole), np.flatnonzero(whole & self.inside), np.flatnonzero(self.block >= 0)]
+        self.page = [page[self.at[0]], page[self.at[1]], page[(np.cumsum(self.held) - self.held)[self.at[2]]]]
+
+    def numbers(self) -> list[np.ndarray]:
+        """A number for each occurrence, the same for equal units: suffixes that share their first ``length`` tokens are
+        neighbours in the suffix array of the stream and have one rank by so many tokens."""
+        ranks = suffix_array(self.flat, self.length)[1]
+        group = ranks.get(self.length, ranks[max(ranks)])
+        return [group[self.at[0]], group[self.at[1]], self.block[self.at[2]]]
+
+    def names(self) -> list[np.ndarray]:
+        """64 bits for each occurrence that mean the same in every shard."""
         h = np.array([xxhash.xxh64_intdigest(w, 3) for w in self.words] or [0], np.uint64)
-        token = np.where(self.flat >= 0, h[np.maximum(self.flat, 0)], self.flat.astype(np.uint64))
-        out = np.zeros(len(token), np.uint64)
+        token = h[np.maximum(self.flat, 0)]
+        run = np.zeros(len(self.at[0]), np.uint64)
         for k in range(self.length):
-            out[: len(token) - k] = (out[: len(token) - k] ^ token[k:]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        named = np.zeros(len(self.pages), np.uint64)
-        named[self.group] = out
-        return named.astype(np.int64), (named * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64), np.array([xxhash.xxh64_intdigest(t, 4) for t in self.texts], np.uint64).astype(np.int64)
-
-    def boilerplate(self, pages: np.ndarray, article_pages: np.ndarray, block_pages: np.ndarray, outside: int, within: int) -> np.ndarray:
-        """Which tokens of the stream lie in a run or block that is in enough pages of the host."""
+            run = (run ^ token[self.at[0] + k]) * np.uint64(0x9E3779B97F4A7C15)
+            run ^= run >> np.uint64(29)
+        within = run[self.inside[self.at[0]]] * np.uint64(0xD6E8FEB86659FD93)
+        text = np.array([xxhash.xxh64_intdigest(t, 4) for t in self.texts], np.uint64)
+        return [run.astype(np.int64), within.astype(np.int64), text[self.block[self.at[2]]].astype(np.int64)]
+
+    def tally(self, units: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct units and how many of the counted pages have each."""
+        units, page = units[self.counted[page]], page[self.counted[page]]
+        order = np.lexsort((page, units))
+        u, p = units[order], page[order]
+        new = np.append(True, (u[1:] != u[:-1]) | (p[1:] != p[:-1])) if len(u) else np.empty(0, bool)
+        return np.unique(u[new], return_counts=True)
+
+    def boilerplate(self, often: list[np.ndarray]) -> np.ndarray:
+        """Which tokens of the stream the units cover that are ``often`` enough."""
         covers = []
-        for often in ((pages >= outside)[self.group], (article_pages >= within)[self.group] & self.inside):
+        for at in (self.at[0][often[0]], self.at[1][often[1]]):
             edge = np.zeros(len(self.flat) + 1, np.int64)
-            at = np.flatnonzero(often)
             np.add.at(edge, at, 1)
-            np.add.at(edge, np.minimum(at + self.length, len(self.flat)), -1)
+            np.add.at(edge, at + self.length, -1)
             covers.append(np.cumsum(edge)[:-1] > 0)
-        whole = np.repeat((self.block >= 0) & np.append(block_pages >= outside, False)[self.block], self.held)
-        return np.where(self.inside, covers[1], covers[0] | whole)
+        whole = np.zeros(len(self.held), bool)
+        whole[self.at[2][often[2]]] = True
+        return np.where(self.inside, covers[1], covers[0] | np.repeat(whole, self.held))
 
     def kept(self, gone: np.ndarray) -> list[str]:
         """The text of each content without the tokens that are gone."""
@@ -200,10 +203,12 @@ class Shard:
         return out
 
 
-def distinct_pages(group: np.ndarray, page: np.ndarray, counted: np.ndarray) -> np.ndarray:
-    """For each group, the number of its counted pages."""
-    met = np.unique(np.stack((group, page), axis=1), axis=0)
-    return np.bincount(met[counted[met[:, 1]], 0], minlength=int(group.max(initial=-1)) + 1)
+def looked_up(units: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n of each unit among the known ones, which are sorted; 0 for others."""
+    if not len(known):
+        return np.zeros(len(units), np.int64)
+    at = np.minimum(np.searchsorted(known, units), len(known) - 1)
+    return np.where(known[at] == units, n[at], 0)
 
 
 def packed(found: list[tuple[str, bool]]) -> bytes:
@@ -252,7 +257,7 @@ def deal(parsed: DataFrame, shard_mb: float, few: int) -> tuple[DataFrame, DataF
     return dealt.select("host", shard.alias("shard"), "shards", "pages", (F.col("slot") == 0).alias("first"), "c", "page_id", "url", "body"), hosts
 
 
-def main_text(pages: DataFrame, length: int = 8, share: float = 0.01, article_share: float = 0.5, shard_mb: float = 8, few: int = 1000) -> DataFrame:
+def main_text(pages: DataFrame, length: int = 8, share: float = 0.01, article_share: float = 0.5, shard_mb: float = 2, few: int = 1000) -> DataFrame:
     """(page_id, url, text) for every row of ``pages`` (page_id, url, html).
 
     Menus, headers, footers, sidebars, forms, adverts, notices and comments that the markup names are left out at once.  The
@@ -290,30 +295,36 @@ def main_text(pages: DataFrame, length: int = 8, share: float = 0.01, article_sh
             return told("", np.empty(0), np.empty(0))
         s, _ = opened(t)
         least = -(-enough(t) // t.column("shards")[0].as_py())
-        met = [(k[n >= least], n[n >= least]) for k, n in zip(s.keys(), s.counts())]
-        return told(key[0].as_py(), *map(np.concatenate, zip(*met)))
+        found = []
+        for number, name, page in zip(s.numbers(), s.names(), s.page):
+            units, n = s.tally(number, page)
+            every, first = np.unique(number, return_index=True)
+            found.append((name[first[np.searchsorted(every, units[n >= least])]], n[n >= least]))
+        return told(key[0].as_py(), *map(np.concatenate, zip(*found)))
 
     def count(key: tuple, t: pa.Table, asked: pa.Table) -> pa.Table:
         if not t.num_rows or not asked.num_rows:
             return told("", np.empty(0), np.empty(0))
         s, _ = opened(t)
-        keys, n = np.concatenate(s.keys()), np.concatenate(s.counts())
-        met = np.isin(keys, asked.column("k").to_numpy()) & (n > 0)
-        return told(key[0].as_py(), keys[met], n[met])
+        wanted = np.sort(asked.column("k").to_numpy())
+        found = []
+        for name, page in zip(s.names(), s.page):
+            met = looked_up(name, wanted, np.ones(len(wanted), np.int64)) > 0
+            found.append(s.tally(name[met], page[met]))
+        return told(key[0].as_py(), *map(np.concatenate, zip(*found)))
 
     def clean(key: tuple, t: pa.Table, sums: pa.Table) -> pa.Table:
         if not t.num_rows:
             return t.select(["page_id", "url"]).append_column("text", pa.array([], pa.string()))
         s, place = opened(t)
-        found = s.counts()
+        least = [enough(t), max(5, math.floor(article_share * t.column("pages")[0].as_py()) + 1), enough(t)]
         if t.column("shards")[0].as_py() > 1:
-            known, n = sums.column("k").to_numpy(), sums.column("n").to_numpy()
-            order = np.argsort(known)
-            known, n = np.append(known[order], 0), np.append(n[order], 0)
-            at = [np.searchsorted(known[:-1], k) for k in s.keys()]
-            found = tuple(np.where(known[i] == k, n[i], 0) for i, k in zip(at, s.keys()))
-        all_ = t.column("pages")[0].as_py()
-        gone = s.boilerplate(*found, outside=enough(t), within=max(5, math.floor(article_share * all_) + 1))
+            order = np.argsort(sums.column("k").to_numpy())
+            known, n = (sums.column(c).to_numpy()[order] for c in ("k", "n"))
+            found = [looked_up(name, known, n) for name in s.names()]
+        else:
+            found = [looked_up(number, *s.tally(number, page)) for number, page in zip(s.numbers(), s.page)]
+        gone = s.boilerplate([n >= m for n, m in zip(found, least)])
         text = s.kept(gone)
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array([text[i] for i in place], pa.string())})
 
