@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new temporary one only where that is unset and
+    driver and executors are one process."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(at)
     return at

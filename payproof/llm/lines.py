@@ -42,14 +42,16 @@ def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3) -> DataFr
     """(id, t, cuts): for documents (id, t, text) with chunks to remove, the first line and number of lines of each.
 
     A chunk is removed if the same lines, byte by byte, are a chunk of an earlier place: a smaller (id, t, k).  Hashes find
-    the candidates and their first places by an aggregate with map-side minima; only candidates' texts are then
-    shuffled to be compared.
+    the candidates and their first places by an aggregate with map-side minima; only candidates' texts, repeated rows
+    once, are then shuffled to be compared.  What is joined on a chunk is a written table on both sides, so that Spark may
+    split a chunk that very many documents share.
     """
     every = chunks(docs, window, one_in).select("id", "t", "k", F.xxhash64(chunk_text(F.col("lines")), F.size("lines")).alias("h"), F.length(chunk_text(F.col("lines"))).alias("n"))
     every = materialize(every)
-    first = every.groupBy("h", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "t", "k")).alias("first")).where("c > 1").select("h", "n", "first")
-    again = every.join(first, ["h", "n"]).groupBy("id", "t").agg(F.collect_list(F.struct("k", "h", "n", "first")).alias("found"))
-    texts = chunks(docs.join(again.select("id", "t"), ["id", "t"], "left_semi"), window, one_in)
+    place = F.struct("id", "t", "k")
+    first = materialize(every.groupBy("h", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "n", "first"))
+    again = every.join(first, ["h", "n"]).groupBy("id", "t").agg(F.collect_set(F.struct("k", "h", "n", "first")).alias("found"))
+    texts = chunks(docs.join(again.select("id", "t"), ["id", "t"], "left_semi").dropDuplicates(["id", "t"]), window, one_in)
     held = materialize(texts.withColumn("text", chunk_text(F.col("lines"))).select("id", "t", "k", F.size("lines").alias("m"), "text").join(again.select("id", "t", F.explode("found").alias("f")).select("id", "t", "f.*"), ["id", "t", "k"]))
     origin = held.where(F.struct("id", "t", "k") == F.col("first")).select("h", "n", F.col("text").alias("original"))
     same = held.where(F.struct("id", "t", "k") != F.col("first")).join(origin, ["h", "n"]).where(F.col("text") == F.col("original"))

@@ -88,8 +88,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction =
     ``docs`` has doc_id, text and ``sources``, an array of the sources that a document belongs to (null: the one source
     null; empty: none, so it is never taken).  Returns
 
-    * the selection, a row per row of ``docs``: doc_id, sources, size, copies, taken (copies times size) and ``given_to``,
-      the source that each copy counts for;
+    * the selection, a row per row of ``docs``: h (its place in the order), doc_id, sources, size, copies, taken
+      (copies times size) and ``given_to``, the source that each copy counts for;
     * the targets: source, source_size (all words of its documents), target.
 
     Documents with one set of sources form a pattern.  Patterns and their words are all that reaches the driver, at
@@ -100,8 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction =
     """
     spark = docs.sparkSession
     own = F.array_sort(F.array_distinct(F.coalesce("sources", F.array(F.lit(None).cast("string")))))
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("sources"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text).alias("h"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("sources"), word_count(F.col("text")).alias("size"), selection_hash(seed, F.col("doc_id").cast("long"), F.col("text")).alias("h"))
     sized = materialize(sized.withColumn("pattern", F.to_json("sources")).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int")))
     slices = materialize(sized.groupBy("pattern", "sources", "slice").agg(F.sum("size").alias("words")))
     patterns = slices.groupBy("pattern", "sources").agg(F.sum("words").alias("n")).limit(most_patterns + 1).collect()
@@ -127,13 +126,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction =
     middle = F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0)) + F.col("size") / 2
     uses = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda u: middle + u * F.col("supply")), lambda at: (at <= F.col("upto")) & (F.col("size") > 0))
     given = F.transform(uses, lambda at: F.get(F.filter("ends", lambda e: e["upto"] >= at), F.lit(0))["source"])
-    chosen = placed.select("doc_id", "sources", "size", F.size(uses).alias("copies"), (F.size(uses) * F.col("size")).cast("long").alias("taken"), given.alias("given_to"))
+    chosen = placed.select("h", "doc_id", "sources", "size", F.size(uses).alias("copies"), (F.size(uses) * F.col("size")).cast("long").alias("taken"), given.alias("given_to"))
     targets = spark.createDataFrame([(s, sizes[s], float(t)) for s, t in wanted.items()], "source string, source_size long, target double")
     return chosen, targets
 
 
 def mix_by_source(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, source): the mix of documents that have one ``source`` each."""
+    """(doc_id, size, source_size, target, taken, copies, source, h): the mix of documents that have one ``source`` each."""
     chosen, targets = mix(docs.select("doc_id", "text", F.array("source").alias("sources")), **options)
     one = chosen.withColumn("source", F.get("sources", F.lit(0)))
-    return one.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    return one.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "size", "source_size", "target", "taken", "copies", "source", "h")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """All rows and columns of ``docs``, each with the words that the mix takes of it and how often: ``size``, ``source_size``,
+    ``target``, ``taken`` and ``copies`` (columns of these names give way).  Repeated rows share out their copies."""
+    made = ["size", "source_size", "target", "taken", "copies"]
+    id_ = F.col("doc_id").cast("long")
+    number = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.lit(0)))
+    mixed = mix_by_source(docs, seed=seed, **options).select(F.col("h").alias("_h"), F.col("source").alias("_s"), *made)
+    mixed = mixed.withColumn("_n", number("_h", "_s"))
+    own = docs.drop(*made).withColumn("_h", selection_hash(seed, id_, F.col("text"))).withColumn("_n", number("_h", "source"))
+    same = (own["_h"] == mixed["_h"]) & own["source"].eqNullSafe(F.col("_s")) & (own["_n"] == mixed["_n"])
+    return own.join(mixed, same).select(*[own[c] for c in docs.columns if c not in made], *made)
+
+
+def selection_hash(seed: int, doc_id: Column, text: Column) -> Column:
+    """What the order of documents in a pattern is seeded by."""
+    return F.xxhash64(F.lit(seed), F.coalesce(doc_id, F.lit(-1)), F.xxhash64(F.coalesce(text, F.lit(""))))

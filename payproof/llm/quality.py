@@ -59,10 +59,10 @@ class DecisionList:
 def learn(labelled: DataFrame, most_rows: int = 200_000, edges: int = 40, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9, least: int = 15) -> DecisionList:
     """Sequential covering over ``labelled`` (the columns of ``features`` and a boolean ``bad``).
 
-    A rule grows on two thirds of the rows, by the condition with the best information gain each time, and is pruned on
-    the other third to the prefix of conditions with the best share of bad rows less good ones.  It is kept if at least
-    ``precision`` of what it covers there is bad; rows it covers leave; learning stops when no such rule covers ``least``
-    bad rows.  The driver sees only counts per feature, quantile bin and label.  Above ``most_rows`` labelled rows, a
+    A rule grows on half of the rows, by the condition with the best information gain each time, and is pruned on a
+    quarter to the prefix of conditions with the best share of bad rows less good ones.  It is kept if at least
+    ``precision`` of what it covers in the last quarter is bad; rows it covers leave; learning stops when no such rule covers
+    ``least`` bad rows.  The driver sees only counts per feature, quantile bin and label.  Above ``most_rows`` labelled rows, a
     part chosen by hash is used: the documented bound of the sample.
     """
     n = labelled.count()
@@ -75,7 +75,8 @@ def learn(labelled: DataFrame, most_rows: int = 200_000, edges: int = 40, most_r
     def bin_of(f: str) -> Column:
         return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[f]]), lambda e: e < F.col(f"r_{f}"))) if cuts[f] else F.lit(0)
 
-    rows = materialize(rows.select(F.array(*[bin_of(f) for f in RATIOS]).alias("bins"), "bad", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) < 2).alias("grow")))
+    rows = materialize(rows.select(F.array(*[bin_of(f) for f in RATIOS]).alias("bins"), "bad", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).alias("part")))
+    grow, prune, accept = F.col("part") < 2, F.col("part") == 2, F.col("part") == 3
 
     def test(condition: tuple[int, bool, int]) -> Column:
         f, above, j = condition
@@ -91,17 +92,17 @@ def learn(labelled: DataFrame, most_rows: int = 200_000, edges: int = 40, most_r
     for _ in range(most_rules):
         rule: list[tuple[int, bool, int]] = []
         while len(rule) < most_conditions:
-            seen = rows.where(left & every(rule) & F.col("grow")).select(F.posexplode("bins").alias("f", "b"), "bad").groupBy("f", "b").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("q")).collect()
+            seen = rows.where(left & every(rule) & grow).select(F.posexplode("bins").alias("f", "b"), "bad").groupBy("f", "b").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("q")).collect()
             best = condition_of({(r["f"], r["b"]): (r["p"], r["q"]) for r in seen}, [len(cuts[f]) for f in RATIOS], least)
             if best is None:
                 break
             rule.append(best)
         if not rule:
             break
-        held = rows.where(left & ~F.col("grow")).agg(*[F.count_if(every(rule[:k]) & F.col("bad")).alias(f"p{k}") for k in range(1, len(rule) + 1)], *[F.count_if(every(rule[:k]) & ~F.col("bad")).alias(f"q{k}") for k in range(1, len(rule) + 1)]).first()
+        held = rows.where(left & prune).agg(*[F.count_if(every(rule[:k]) & F.col("bad")).alias(f"p{k}") for k in range(1, len(rule) + 1)], *[F.count_if(every(rule[:k]) & ~F.col("bad")).alias(f"q{k}") for k in range(1, len(rule) + 1)]).first()
         k = max(range(1, len(rule) + 1), key=lambda k: ((held[f"p{k}"] - held[f"q{k}"]) / max(1, held[f"p{k}"] + held[f"q{k}"]), held[f"p{k}"]))
-        p, q = held[f"p{k}"], held[f"q{k}"]
-        if p < max(1, least // 3) or p < precision * (p + q):
+        p, q = rows.where(left & accept & every(rule[:k])).agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
+        if p < max(1, least // 4) or p < precision * (p + q):
             break
         rules.append([(RATIOS[f], above, float(cuts[RATIOS[f]][j - 1])) for f, above, j in rule[:k]])
         left = left & ~every(rule[:k])
@@ -133,11 +134,11 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, Dec
 
     ``labels`` has doc_id and quality (1 good, 0 bad; null: not used); a document with several labels counts with each.
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows.  kept is false for those, else
-    what the first rule that holds says.  Null and empty texts fail; repeated rows get equal results; extra columns are
+    what the first rule that holds says; rules are learned from labelled documents that pass the base.  Null and empty texts fail; repeated rows get equal results; extra columns are
     ignored; without labels there are no rules and only base_failed decides; no rows give no rows.
     """
     rows = materialize(features(docs))
     good = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("bad"))
-    rules = learn(rows.join(good, "doc_id"), **options)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    rules = learn(rows.where(~failed).join(good, "doc_id"), **options)
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & rules.keeps()), rules

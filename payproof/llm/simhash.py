@@ -38,14 +38,19 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long.  Null and wordless texts have fingerprint zero."""
+    """(doc_id, h, fp): id, hash of the text and fingerprint, a signed long, of every row.  Null and wordless texts have
+    fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps)], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def block_keys(fp: Column, distance: int, blocks: int) -> Column:
@@ -108,22 +113,27 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, blo
     Repeated rows get the same class; empty tables give no rows.  Rows of one fingerprint are counted as one value, so
     groups of copies of any size add one value.
     """
-    fp = materialize(with_fingerprint(docs, shingle))
-    values = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(values, distance, blocks))
-    rooted = values.join(found, values["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    fp, rooted = rooted_fingerprints(docs, shingle, distance, blocks)
+    ids = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     return fp.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def rooted_fingerprints(docs: DataFrame, shingle: int, distance: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row, and (fp, root, first) of every fingerprint: the root of its component and its first row,
+    by id, nulls last, then by text hash."""
+    fp = materialize(with_fingerprint(docs, shingle))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    values = materialize(fp.groupBy("fp").agg(F.min(place).alias("first")))
+    found = components(links(values.select("fp"), distance, blocks))
+    return fp, values.join(found, values["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_first(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest (doc_id, text).
+    """``docs`` with one row of each component: that of the smallest (doc_id, text hash), null ids last.
 
-    A component is found as in ``simhash_components``; of repeated rows one stays.  Rows without any id are compared by
-    text.
+    A component is found as in ``simhash_components``; of repeated rows one stays; all columns stay.
     """
-    fp = F.xxhash64(F.coalesce("text", F.lit("")))
-    classes = simhash_components(docs, shingle, distance, blocks)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    return one.withColumn("_h", fp).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    _, rooted = rooted_fingerprints(docs, shingle, distance, blocks)
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_h"))
+    return docs.join(keep, same).drop("_id").dropDuplicates(["doc_id", "_h"]).drop("_h")
