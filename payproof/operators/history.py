@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
-from ..functions.similarity import jaro_winkler, may_reach
+from ..functions.similarity import jaro_winkler, letters, may_reach
 from .rows import cat, evidence, finding, money, say
 
 LEDGER_FROM = 1 << 50
@@ -118,6 +118,15 @@ def split_pairs(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame
     return near_days(band(docs), band(priors), ["key"], config.split_window_days).where(other() & admitted(config))
 
 
+def near_limit_frame(docs: DataFrame, config: Config) -> DataFrame:
+    """(id, docs, amount): documents and amounts of a supplier near the limit around each document, by a frame of days, without a
+    join.  Where every date is within the lookback this is what P-011 compares."""
+    limit = money(config.approval_limit)
+    near = docs.where((F.col("key") != "") & F.col("date").isNotNull() & F.col("total").between(F.lit(config.approval_limit * config.split_proximity).cast("decimal(18,6)"), limit)).withColumn("day", F.unix_date("date"))
+    frame = W.partitionBy("key").orderBy("day").rangeBetween(-config.split_window_days, config.split_window_days)
+    return near.select("id", F.count("*").over(frame).alias("docs"), F.sum("total").over(frame).alias("amount"))
+
+
 def splitting(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
     """P-011: documents of one supplier just below the limit within the window."""
     hit = split_pairs(docs, priors, config).groupBy("id", "total").agg(F.sum("p_total").alias("rest"), F.array_sort(F.collect_list(in_order(config))).alias("found"))
@@ -141,17 +150,24 @@ def amount_cells(total: Column, ratio: Decimal) -> Column:
 
 
 def near_pairs(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
-    """Pairs close in amount and date with unlike or differing details, before names are compared."""
+    """Pairs close in amount and date with unlike or differing details whose names may be alike.
+
+    A document's own cell and its neighbours hold every amount within tolerance and its block of days and the neighbours
+    every date, so a pair meets once per kind of cell; where both amounts lie on both grids, only the logarithmic one counts.
+    """
     days, ratio = config.near_dup_window_days, config.near_dup_amount_ratio
     usable = lambda d: d.where("key <> '' and total is not null and date is not null")
     block = lambda: F.floor(F.unix_date("date") / (days + 1))
     cells = lambda: amount_cells(F.col("total"), ratio)
-    left = usable(docs).where("total <> 0").withColumn("c", F.explode(cells())).withColumn("cell", F.explode(F.array(F.col("c.cell") - 1, F.col("c.cell"), F.col("c.cell") + 1))).withColumn("day", F.explode(F.array(block() - 1, block(), block() + 1)))
-    right = as_prior(usable(priors).withColumn("c", F.explode(cells())).withColumn("day", block()))
+    spelled = lambda d: usable(d).withColumn("letters", letters(F.col("key"))).withColumn("grids", F.size(cells()))
+    left = spelled(docs).where("total <> 0").withColumn("c", F.explode(cells())).withColumn("cell", F.explode(F.array(F.col("c.cell") - 1, F.col("c.cell"), F.col("c.cell") + 1))).withColumn("day", F.explode(F.array(block() - 1, block(), block() + 1)))
+    right = as_prior(spelled(priors).withColumn("c", F.explode(cells())).withColumn("day", block()))
     pairs = left.join(right, (F.col("c.kind") == F.col("p_c.kind")) & (F.col("cell") == F.col("p_c.cell")) & (F.col("day") == F.col("p_day")))
-    pairs = close_pairs(pairs, config).where((F.col("key") == F.col("p_key")) | may_reach(F.col("key"), F.col("p_key"), config.near_dup_vendor_similarity))
+    twice = (F.col("c.kind") == 0) & (F.col("grids") == 2) & (F.col("p_grids") == 2)
+    may_be = may_reach(F.col("key"), F.col("p_key"), F.col("letters"), F.col("p_letters"), config.near_dup_vendor_similarity)
+    pairs = close_pairs(pairs.where(~twice), config).where((F.col("key") == F.col("p_key")) | may_be)
     kept = ["id", "input_idx", "key", "total", "date", "anchor", "p_id", "p_input_idx", "p_key", "p_total", "p_date"]
-    return pairs.select(*kept).dropDuplicates(["input_idx", "p_input_idx"])
+    return pairs.select(*kept)
 
 
 def close_pairs(pairs: DataFrame, config: Config) -> DataFrame:
@@ -167,12 +183,9 @@ def close_pairs(pairs: DataFrame, config: Config) -> DataFrame:
 
 
 def near_hits(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
-    """The pairs whose names are alike enough, with the similarity: computed once per pair of distinct names."""
-    pairs = near_pairs(docs, priors, config)
-    names = pairs.where("key <> p_key").select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct()
-    alike = names.withColumn("sim", jaro_winkler("a", "b")).where(F.col("sim") >= config.near_dup_vendor_similarity)
-    unlike = pairs.where("key <> p_key").withColumn("a", F.least("key", "p_key")).withColumn("b", F.greatest("key", "p_key")).join(alike, ["a", "b"]).drop("a", "b")
-    return pairs.where("key = p_key").withColumn("sim", F.lit(1.0)).unionByName(unlike)
+    """The pairs whose names are alike enough, with the similarity."""
+    named = near_pairs(docs, priors, config).withColumn("sim", jaro_winkler(F.least("key", "p_key"), F.greatest("key", "p_key")))
+    return named.where(F.col("sim") >= config.near_dup_vendor_similarity)
 
 
 def near_duplicates(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:

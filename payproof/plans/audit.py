@@ -98,28 +98,41 @@ def request_findings(requests: DataFrame, ledger: DataFrame | None, config: Conf
     Requests are kept apart by a tag on the keys that all these controls join on, so one join serves all requests.
     Everything given counts as history: the lookback is as long as dates go.
     """
+    past = None
     given = requests.select(F.col("id").alias("request"), F.posexplode("history").alias("at", "p")).select("request", "at", F.col("p.document_id").alias("document_id"), "p.vendor", "p.total", "p.date", "p.invoice_number")
     if ledger is not None:
         named = requests.select(F.col("id").alias("request"), T.vendor_key(F.col("vendor")).alias("_k"))
-        rows = ledger.withColumn("_k", T.vendor_key(F.col("vendor"))).join(named, "_k").withColumn("at", F.lit(1 << 30) + F.col("document_id"))
+        past = history.with_keys(ledger.withColumnRenamed("document_id", "id").withColumn("input_idx", F.lit(LEDGER_AT) + F.col("id")))
+        rows = ledger.withColumn("_k", T.vendor_key(F.col("vendor"))).join(named, "_k").withColumn("at", F.lit(LEDGER_AT - (1 << 40)) + F.col("document_id"))
         given = given.unionByName(rows.select(given.columns))
     blank = given.withColumn("id", F.col("document_id")).withColumn("input_idx", F.col("at").cast("long") + (1 << 40)).withColumn("today", F.lit(None).cast("date"))
     every = replace(config, lookback_days=100_000)
     docs, _ = history.keyed(requests, None, every, today)
+    named = docs.where("named")
     priors = history.with_keys(blank, "request")
     tag = lambda d, of: d.withColumn("key", F.when(F.col("key") != "", F.concat(F.col("key"), F.lit("\n"), F.col(of).cast("string"))).otherwise(""))
-    docs, priors = tag(docs.where("named"), "id"), tag(priors, "request").drop("request")
-    priors = priors.unionByName(docs.select(priors.columns))
+    docs, priors = tag(named, "id"), tag(priors, "request").drop("request")
     rules = {k: v for k, v in history.RULES.items() if k != "P-016"}
-    found = [rule(docs, priors, every) for rule in rules.values()]
-    return reduce(DataFrame.unionByName, [*found, near_in_requests(docs, priors, every)])
+    found = [rule(docs, priors.unionByName(docs.select(priors.columns)), every) for rule in rules.values()]
+    near = near_in_requests(docs, priors.where(F.col("input_idx") < LEDGER_AT), every)
+    if past is not None:
+        near = near.unionByName(history.near_hits(named, past, every).select(near.columns))
+    return reduce(DataFrame.unionByName, [*found, history.near_findings(near, every)])
+
+
+#: Where ledger rows stand in the order of a request's priors: after all that it brings.
+LEDGER_AT = (1 << 40) + (1 << 30)
 
 
 def near_in_requests(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
-    """P-016 where names are compared inside a request: a join on the request instead of on amounts."""
+    """The near-duplicates among what requests bring themselves: a join on the request instead of on amounts.
+
+    The ledger, which may hold the payment under another spelling, is searched by ``history.near_hits``.
+    """
     own = lambda d: d.where("key <> ''").withColumn("request", F.substring_index("key", "\n", -1)).withColumn("name", F.substring_index("key", "\n", 1))
     left, right = own(docs), history.as_prior(own(priors))
-    return history.near_findings(history.close_pairs(left.join(right, F.col("request") == F.col("p_request")), config).withColumn("sim", F.when(F.col("name") == F.col("p_name"), F.lit(1.0)).otherwise(jaro_winkler("name", "p_name"))).where(F.col("sim") >= config.near_dup_vendor_similarity), config)
+    pairs = history.close_pairs(left.join(right, F.col("request") == F.col("p_request")), config).withColumn("sim", jaro_winkler("name", "p_name"))
+    return pairs.where(F.col("sim") >= config.near_dup_vendor_similarity).select("id", "total", "date", "anchor", F.col("name").alias("key"), "p_id", "p_input_idx", F.col("p_name").alias("p_key"), "p_total", "p_date", "sim")
 
 
 def audit_requests(requests: DataFrame, ledger: DataFrame | None = None, config: Config = Config(), today: dt.date | None = None) -> DataFrame:

@@ -11,7 +11,8 @@ from ..functions.money import lenient_money, receipt_money, strict_money
 from ..operators import metrics, search
 from ..operators.rows import line_item_total, with_findings
 from ..policies import POLICIES, policies
-from ..sources.documents import unknown_keys
+from ..sources.corpora import group_spending
+from ..sources.documents import repeated_ids, unknown_keys
 from . import model
 from .audit import audit_requests
 from .model import table
@@ -68,9 +69,9 @@ def strict_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amounts(spark, sf_dir).select("id", strict_money(F.col("text")).alias("amount"))
 
 
-@query(f"WITH {MONEY_SQL} SELECT id, CAST(CASE WHEN form IN (0, 1, 5) THEN p WHEN form IN (2, 7) THEN -p WHEN form = 3 AND whole < 1000 THEN whole * 100 + part WHEN form = 3 AND whole < 1000000 THEN whole // 1000 + (whole % 1000) / 1000.0 + part / 100000.0 WHEN form = 4 AND whole < 1000 THEN whole WHEN form = 4 AND whole < 1000000 THEN whole // 1000 + (whole % 1000) / 1000.0 END AS DECIMAL(18,4)) AS amount FROM m WHERE form <> 3")
+@query(f"WITH {MONEY_SQL} SELECT id, CAST(CASE WHEN form IN (0, 1, 5) THEN p WHEN form IN (2, 7) THEN -p WHEN form = 3 AND whole < 1000 THEN whole * 100 + part WHEN form = 3 AND whole < 1000000 THEN ((whole * 100 + part + 5) // 10) / 10000.0 WHEN form = 4 AND whole < 1000 THEN whole WHEN form = 4 AND whole < 1000000 THEN whole // 1000 + (whole % 1000) / 1000.0 END AS DECIMAL(18,4)) AS amount FROM m")
 def lenient_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return amounts(spark, sf_dir).where("id % 8 <> 3").select("id", lenient_money(F.col("text")).alias("amount"))
+    return amounts(spark, sf_dir).select("id", lenient_money(F.col("text")).alias("amount"))
 
 
 @query(f"WITH {MONEY_SQL} SELECT id, CAST(CASE WHEN form IN (0, 1, 2, 3, 5) THEN p WHEN form = 4 THEN whole WHEN form = 7 THEN -p END AS DECIMAL(18,4)) AS amount FROM m")
@@ -122,14 +123,17 @@ def unknown_keys_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return repeated_ids(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT l_orderkey AS transaction, sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS net, sum(round(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)), 2)) AS vat, min(CAST(l_shipdate AS DATE)) AS first_date FROM lineitem GROUP BY 1")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS transaction, 'Supplier ' || arg_min(l_suppkey, l_linenumber * 100000000 + l_suppkey) AS vendor, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) + round(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)), 2)) AS DECIMAL(18,4)) AS total FROM lineitem GROUP BY l_orderkey")
 def net_vat_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a transaction added up, net and tax apart."""
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("transaction")).agg(F.sum(price).alias("net"), F.sum(F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2)).alias("vat"), F.min(F.col("l_shipdate").cast("date")).alias("first_date"))
+    """A spending list with net and tax rows, one document per transaction."""
+    price, place = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_linenumber") * 100_000_000 + F.col("l_suppkey")
+    row = lambda amount: F.struct(amount.cast("string").alias("amount"))
+    both = F.explode(F.array(row(price), row(F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2))))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("key"), place.alias("input_idx"), F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("supplier"), F.col("l_shipdate").cast("date").cast("string").alias("date"), both.alias("x")).select("*", "x.amount")
+    return group_spending(rows, "key", "amount", "supplier", "date").select("transaction", "vendor", "total")
 
 
 @query(docs_sql("SELECT DISTINCT vendor FROM keyed WHERE vendor IS NOT NULL AND id % 7 <> 3"))
@@ -156,7 +160,7 @@ TERMS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: lengt
 QUOTED = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in p) + ")" for p in POLICIES)
 SEARCH_SQL = f"""pol(id, title, severity, category, body, tags) AS (VALUES {QUOTED}
 ), asked AS (SELECT event_type AS qid, event_type || ' ' || (SELECT string_agg(n_name, ' ' ORDER BY n_name) FROM nation WHERE n_nationkey < 3) || ' duplicate invoice amount' AS q FROM events GROUP BY 1
-  UNION ALL SELECT 'doc' || id, summary FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 'no supplier name' WHEN id % 4 = 1 THEN 'unsigned, amount above limit' WHEN id % 4 = 2 THEN 'dated after audit date, future' ELSE 'amount is a round multiple' END AS summary FROM keyed WHERE key <> '' AND id % 4 = length(key) % 4)
+  UNION ALL SELECT 'doc' || id, summary FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 'no supplier name' WHEN id % 4 = 1 THEN 'unsigned, amount above limit' WHEN id % 4 = 2 THEN 'dated after audit date, future' ELSE 'amount is a round multiple' END AS summary FROM keyed)
 ), pterm AS (SELECT id AS doc, unnest(list_concat(list_concat({TERMS.format('title')}, {TERMS.format('title')}), list_concat({TERMS.format('title')}, {TERMS.format('tags')}), list_concat({TERMS.format('tags')}, {TERMS.format('tags')}), list_concat({TERMS.format('category')}, {TERMS.format('category')}), {TERMS.format('body')})) AS term FROM pol
 ), df AS (SELECT term, count(DISTINCT doc) AS df FROM pterm GROUP BY 1
 ), ptf AS (SELECT doc, term, (1 + ln(count(*))) * (ln(19.0 / (any_value(df.df) + 1)) + 1) AS w FROM pterm JOIN df USING (term) GROUP BY doc, term
@@ -173,7 +177,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "nation").where("n_nationkey < 3").agg(F.array_join(F.sort_array(F.collect_list("n_name")), " ").alias("names"))
     events = table(spark, sf_dir, "events").select("event_type").distinct().crossJoin(F.broadcast(names))  # one row
     first = events.select(F.col("event_type").alias("query_id"), F.concat("event_type", F.lit(" "), "names", F.lit(" duplicate invoice amount")).alias("query"))
-    d = model.documents(spark, sf_dir).withColumn("key", T.vendor_key(F.col("vendor"))).where("key <> '' and id % 4 = length(key) % 4")
+    d = model.documents(spark, sf_dir)
     k = F.col("id") % 4
     remark = F.when(k == 0, "no supplier name").when(k == 1, "unsigned, amount above limit").when(k == 2, "dated after audit date, future").otherwise("amount is a round multiple")
     return first.unionByName(d.select(F.concat(F.lit("doc"), F.col("id").cast("string")).alias("query_id"), remark.alias("query")))

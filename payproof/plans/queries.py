@@ -12,7 +12,7 @@ from ..operators import history, population, reports
 from ..operators.rows import RULES, intake_rejected, prepared, with_findings
 from ..policies import POLICIES
 from . import model
-from .audit import BatchReport, audit_batch
+from .audit import BatchReport, audit_batch, audit_requests
 from .model import DOCUMENTS_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,12 +202,7 @@ def history_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(docs_sql("SELECT id, count(*) OVER w AS docs, sum(total) OVER w AS amount FROM keyed WHERE key <> '' AND date IS NOT NULL AND total BETWEEN 9000 AND 10000 WINDOW w AS (PARTITION BY key ORDER BY date RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 14 DAY FOLLOWING)"))
 def split_window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and amounts near the limit around each document: a frame of days, without a join."""
-    docs, _ = sides(spark, sf_dir)
-    from pyspark.sql import Window as W
-
-    near = docs.where("key <> '' and date is not null and total between 9000 and 10000").withColumn("day", F.unix_date("date"))
-    frame = W.partitionBy("key").orderBy("day").rangeBetween(-14, 14)
-    return near.select("id", F.count("*").over(frame).alias("docs"), F.sum("total").over(frame).alias("amount"))
+    return history.near_limit_frame(sides(spark, sf_dir)[0], CONFIG)
 
 
 # --- the population ---------------------------------------------------------------------------------------------------
@@ -254,6 +249,26 @@ def verdict_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).results.select("id", "verdict", "worst_severity", F.array_join("findings.rule_id", " ").alias("controls"))
 
 
+@query(all_sql("SELECT id, rule_id FROM found WHERE id % 5 <> 0 AND rule_id IN ('P-002', 'P-011', 'P-016', 'P-017', 'P-018')"))
+def ledger_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the history controls find where four documents of five are audited against a ledger of the fifth: the same as
+    if all were one batch."""
+    docs = model.documents(spark, sf_dir)
+    past = docs.where("id % 5 = 0").select(F.col("id").alias("document_id"), "vendor", "total", "date", "invoice_number")
+    found = audit_batch(docs.where("id % 5 <> 0"), past, CONFIG, day()).findings()
+    return found.where(F.col("rule_id").isin(*history.RULES)).select("id", "rule_id")
+
+
+@query(docs_sql("SELECT d.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS related FROM keyed d JOIN ledger_hits p ON d.id = p.of GROUP BY 1", NEAR_SQL, "ledger_hits AS (SELECT id AS of, pid AS id FROM hits WHERE id % 5 <> 0 AND pid % 5 = 0 AND id NOT IN (SELECT id FROM keyed WHERE ingestion_status <> 'accepted'))"))
+def request_ledger_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-016 of single requests against a ledger that may spell suppliers otherwise."""
+    docs = model.documents(spark, sf_dir)
+    past = docs.where("id % 5 = 0").select(F.col("id").alias("document_id"), "vendor", "total", "date", "invoice_number")
+    none = F.lit(None).cast("array<struct<document_id: bigint, vendor: string, total: decimal(18,4), date: date, invoice_number: string>>")
+    found = audit_requests(docs.where("id % 5 <> 0").withColumn("history", none), past, CONFIG, day()).select("id", F.explode("findings").alias("f")).where("f.rule_id = 'P-016'")
+    return found.select("id", F.array_join(F.sort_array("f.related").cast("array<string>"), ",").alias("related"))
+
+
 @query(all_sql("SELECT count(*) AS documents, count(*) FILTER (verdict = 'pass') AS pass, count(*) FILTER (verdict = 'review') AS review, count(*) FILTER (verdict = 'blocked') AS blocked FROM results"))
 def verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).summary()
@@ -292,10 +307,10 @@ def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review decisions from the event stream: runs are order keys."""
-    e = table(spark, sf_dir, "events")
+    """Review decisions from the event stream: run numbers below the number of orders."""
+    e = table(spark, sf_dir, "events").crossJoin(F.broadcast(table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))))  # one row
     kind = F.when(F.col("event_type") == "purchase", "approved").when(F.col("event_type") == "error", "rejected").otherwise("needs_info")
-    return e.select((F.col("event_id") % 1000).cast("string").alias("run_id"), F.col("event_id").alias("decision_id"), F.col("user_id").cast("string").alias("reviewer"), kind.alias("decision"), F.col("ts").alias("decided_at"))
+    return e.select((F.col("event_id") % F.col("n")).cast("string").alias("run_id"), F.col("event_id").alias("decision_id"), F.col("user_id").cast("string").alias("reviewer"), kind.alias("decision"), F.col("ts").alias("decided_at"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +321,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("id").cast("string").alias("run_id"), "id", verdict(F.col("findings")).alias("verdict"), "findings")
 
 
-REVIEWS_SQL = "reviews AS (SELECT CAST(event_id % 1000 AS VARCHAR) AS run_id, event_id AS decision_id, CAST(user_id AS VARCHAR) AS reviewer, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'needs_info' END AS decision, ts AS decided_at FROM events), latest AS (SELECT run_id, arg_max(decision_id, (decided_at, decision_id)) AS decision_id FROM reviews GROUP BY 1), last AS (SELECT r.* FROM reviews r JOIN latest USING (run_id, decision_id))"
+REVIEWS_SQL = "reviews AS (SELECT CAST(event_id % (SELECT count(*) FROM orders) AS VARCHAR) AS run_id, event_id AS decision_id, CAST(user_id AS VARCHAR) AS reviewer, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'needs_info' END AS decision, ts AS decided_at FROM events), latest AS (SELECT run_id, arg_max(decision_id, (decided_at, decision_id)) AS decision_id FROM reviews GROUP BY 1), last AS (SELECT r.* FROM reviews r JOIN latest USING (run_id, decision_id))"
 RUNS_TABLE_SQL = "rowfound AS (" + " UNION ALL ".join([f"SELECT id, '{r}' AS rule_id, '{SEVERITY[r]}' AS severity FROM keyed WHERE ingestion_status = 'accepted' AND ({w})" for r, _, w, _ in ROW_SQL] + ["SELECT id, 'P-014', 'high' FROM keyed WHERE ingestion_status <> 'accepted'"]) + "), runs AS (SELECT CAST(keyed.id AS VARCHAR) AS run_id, keyed.id, CASE WHEN bool_or(severity = 'high') THEN 'blocked' WHEN bool_or(severity IN ('medium', 'low')) THEN 'review' ELSE 'pass' END AS verdict FROM keyed LEFT JOIN rowfound ON keyed.id = rowfound.id GROUP BY keyed.id)"
 
 

@@ -36,9 +36,14 @@ def numbered(df: DataFrame) -> DataFrame:
     return blocks.join(F.broadcast(before), ["_f", "_b"]).withColumn("input_idx", F.col("_before") + F.col("_m") - F.col("_first") + 1).drop("_f", "_b", "_m", "_n", "_first", "_before")
 
 
+def repeated_ids(rows: DataFrame, *ids: str) -> DataFrame:
+    """(ids..., n): ids that occur more than once."""
+    return rows.groupBy(*ids).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def require_unique(docs: DataFrame) -> DataFrame:
     """The documents, or an error that names an id that occurs twice."""
-    twice = docs.groupBy("id").count().where("count > 1").select("id").limit(1).collect()
+    twice = repeated_ids(docs, "id").limit(1).collect()
     if twice:
         raise ValueError(f"duplicate document id {twice[0]['id']}")
     return docs
@@ -110,12 +115,28 @@ def map_headers(headers: list[str], profile: Profile) -> dict[str, int]:
     return out
 
 
+MAX_HASHED = 1 << 29
+
+
+def file_hash(spark: SparkSession, path: str) -> str | None:
+    """The sha256 of the one file at ``path``."""
+    files = spark.read.format("binaryFile").load(path)
+    if files.select("path", "length").where(F.col("length") <= MAX_HASHED).limit(2).count() != 1 or files.select("path").limit(2).count() != 1:
+        return None
+    return files.select(F.sha2("content", 256).alias("h")).first()["h"]
+
+
 def read_csv(spark: SparkSession, path: str, profile: Profile = Profile(), sha256: str | None = None) -> DataFrame:
     """Documents of a CSV file.  Amounts and dates are read leniently, blank rows are skipped, texts are cut to 512
     characters; ids that are missing or not unique make the whole file count from 1.  Files that are not UTF-8 are read as
-    ISO-8859-1."""
+    ISO-8859-1.  A file with line breaks inside quotes is read by one task, others are split.  ``sha256`` is that of the file, of
+    up to MAX_HASHED bytes, unless given; a folder of several files has none."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+    sha256 = sha256 or file_hash(spark, path)
+
     def read(encoding: str) -> DataFrame:
-        return spark.read.option("header", False).option("encoding", encoding).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+        return spark.read.option("header", False).option("multiLine", broken).option("encoding", encoding).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
 
     raw = read("UTF-8")
     if raw.where(F.concat_ws("", *raw.columns).contains("�")).limit(1).count():
@@ -133,7 +154,7 @@ def read_csv(spark: SparkSession, path: str, profile: Profile = Profile(), sha25
     counted = order.withColumn("input_idx", F.col("line") - 1)
     made = {"id": F.coalesce(get("id").try_cast("bigint"), F.col("input_idx")), "input_idx": F.col("input_idx"), "vendor": cap("vendor"), "date": lenient_date(get("date"), profile.date_formats), "total": lenient_money(get("total")), "subtotal": lenient_money(get("subtotal")), "tax": lenient_money(get("tax")), "line_items": F.array(), "confidence": F.when(conf.between(0.0, 1.0), conf).otherwise(1.0), "invoice_number": cap("invoice_number"), "currency": F.coalesce(cap("currency"), F.lit(profile.currency)), "today": lenient_date(get("today"), profile.date_formats), "ingestion_status": F.lit("accepted"), "source": F.struct(F.lit(label).alias("file"), F.col("line").alias("row"), F.lit(sha256).alias("sha256"), F.lit(None).cast("string").alias("url"))}
     docs = counted.select(*[made.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns(DOCUMENT).items()])
-    if docs.groupBy("id").count().where("count > 1").limit(1).count():
+    if repeated_ids(docs, "id").limit(1).count():
         docs = docs.withColumn("id", F.col("input_idx"))
     return docs
 

@@ -19,10 +19,9 @@ def audit_micro_batch(batch: DataFrame, batch_id: int, ledger: Ledger, config: C
     done = ledger.read("audit_runs").where(f"run_id like '{name}-%'").limit(1).count()
     if done or batch.isEmpty():
         return
-    cutoff = today - dt.timedelta(days=config.lookback_days + 3650)
     docs = batch.persist()
     ids = docs.select("id")
-    past = ledger.history(cutoff).join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
+    past = ledger.history(dt.date.min).join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
     report = audit_batch(docs, past, config, today)
     ledger.record(docs, report.results, dt.datetime.now(), name)
     report.release()

@@ -2,14 +2,17 @@
 
 import datetime as dt
 import itertools
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from payproof.config import Config
+from payproof.functions.similarity import jaro_winkler, letters, may_reach
 from payproof.operators import history, population, reports
 from payproof.plans.audit import audit_batch, audit_requests
 
-from .helpers import D, TODAY, docs, fired
+from .helpers import D, TODAY, docs, fired, schema
 
 DAY = dt.date(2026, 6, 20)
 BOUNDS = [
@@ -132,6 +135,25 @@ def test_requests_with_and_without_history(spark):
     assert [f["rule_id"] for f in got[4]["findings"]] == [] or got[4]["findings"][0]["rule_id"] == "P-016"
 
 
+def test_requests_find_misspelt_suppliers_in_the_ledger(spark):
+    d = docs(spark, {"id": 10, "vendor": "Northwind Traders", "total": D("412.73"), "date": dt.date(2026, 6, 20)}, {"id": 11, "vendor": "Elsewhere"}, history=True)
+    past = spark.createDataFrame([(1, "Northwind Tradres", D("412.80"), dt.date(2026, 6, 14), None), (2, "Northwind Traders", D("412.73"), dt.date(2026, 6, 20), None)], schema(spark, "document_id long, vendor string, total decimal(18,4), date date, invoice_number string"))
+    single = {r["id"]: {f["rule_id"]: f["related"] for f in r["findings"]} for r in audit_requests(d, past, Config(), TODAY).collect()}
+    batch = {r["id"]: {f["rule_id"]: f["related"] for f in r["findings"]} for r in audit_batch(d.drop("history"), past, Config(), TODAY).results.collect()}
+    assert single[10]["P-016"] == batch[10]["P-016"] == [1] and single[10]["P-002"] == [2] and "P-016" not in single[11]
+
+
+def test_name_bound_spares_no_alike_names(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 14))).strip() or "a" for _ in range(150)]
+    names += [n[:2] + n[3:] for n in names] + [n[:1] + n[1:3][::-1] + n[3:] for n in names if len(n) > 6]
+    names = [n for n in names if n]
+    one = spark.createDataFrame([(n,) for n in names], "a string").withColumn("la", letters(F.col("a")))
+    pairs = one.join(one.toDF("b", "lb"), F.col("a") < F.col("b"))
+    lost = pairs.where((jaro_winkler("a", "b") >= 0.92) & ~may_reach(F.col("a"), F.col("b"), F.col("la"), F.col("lb"), 0.92))
+    assert lost.count() == 0 and pairs.where(may_reach(F.col("a"), F.col("b"), F.col("la"), F.col("lb"), 0.92)).count() < pairs.count() / 2
+
+
 def test_benford(spark):
     series = [D(str(round(10 * 1.01**i, 2))) for i in range(1000)]
     close = population.benford(docs(spark, *[{"total": t} for t in series]), Config()).first()

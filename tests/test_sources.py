@@ -57,6 +57,14 @@ def test_csv_headers_and_fallbacks(spark, tmp_path):
         Profile.of({"colums": {}})
 
 
+def test_csv_with_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text('ID,Supplier,Date,Amount\n7,"Acme\nWorks, ""North""",2026-01-02,10.50\n8,Plain,2026-01-03,11\n')
+    got = {r["id"]: r for r in documents.read_csv(spark, str(path)).collect()}
+    assert set(got) == {7, 8} and got[7]["vendor"] == 'AcmeWorks, "North"' and str(got[7]["total"]) == "10.5000"
+    assert got[8]["source"]["sha256"] == hashlib.sha256(path.read_bytes()).hexdigest()
+
+
 def test_ledger_reviews_and_stream(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     assert ledger.read("audit_runs").count() == 0
