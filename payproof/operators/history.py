@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
-from ..functions.similarity import jaro_winkler, letters, may_reach
+from ..functions.similarity import jaro_winkler, may_reach
 from .rows import cat, evidence, finding, money, say
 
 LEDGER_FROM = 1 << 50
@@ -159,12 +159,12 @@ def near_pairs(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
     usable = lambda d: d.where("key <> '' and total is not null and date is not null")
     block = lambda: F.floor(F.unix_date("date") / (days + 1))
     cells = lambda: amount_cells(F.col("total"), ratio)
-    spelled = lambda d: usable(d).withColumn("letters", letters(F.col("key"))).withColumn("grids", F.size(cells()))
+    spelled = lambda d: usable(d).withColumn("grids", F.size(cells()))
     left = spelled(docs).where("total <> 0").withColumn("c", F.explode(cells())).withColumn("cell", F.explode(F.array(F.col("c.cell") - 1, F.col("c.cell"), F.col("c.cell") + 1))).withColumn("day", F.explode(F.array(block() - 1, block(), block() + 1)))
     right = as_prior(spelled(priors).withColumn("c", F.explode(cells())).withColumn("day", block()))
     pairs = left.join(right, (F.col("c.kind") == F.col("p_c.kind")) & (F.col("cell") == F.col("p_c.cell")) & (F.col("day") == F.col("p_day")))
     twice = (F.col("c.kind") == 0) & (F.col("grids") == 2) & (F.col("p_grids") == 2)
-    may_be = may_reach(F.col("key"), F.col("p_key"), F.col("letters"), F.col("p_letters"), config.near_dup_vendor_similarity)
+    may_be = may_reach(F.col("key"), F.col("p_key"), config.near_dup_vendor_similarity)
     pairs = close_pairs(pairs.where(~twice), config).where((F.col("key") == F.col("p_key")) | may_be)
     kept = ["id", "input_idx", "key", "total", "date", "anchor", "p_id", "p_input_idx", "p_key", "p_total", "p_date"]
     return pairs.select(*kept)

@@ -50,9 +50,11 @@ class Ledger:
         runs = self.read("audit_runs").select("run_id", "verdict")
         self.append("review_decisions", decisions.join(runs, "run_id", "left").withColumn("overrides_verdict", F.coalesce((F.col("decision") == "approved") & (F.col("verdict") == "blocked"), F.lit(False))))
 
-    def history(self, cutoff: dt.date, exclude: int | None = None) -> DataFrame:
-        """Past documents with a supplier and a date from ``cutoff`` on: filters that reach the scan."""
-        rows = self.read("extractions").where(F.col("vendor").isNotNull() & F.col("date").isNotNull() & (F.col("date") >= F.lit(cutoff)))
+    def history(self, cutoff: dt.date | None, exclude: int | None = None) -> DataFrame:
+        """Past documents with a supplier and a date, from ``cutoff`` on if that is given: filters that reach the scan."""
+        rows = self.read("extractions").where(F.col("vendor").isNotNull() & F.col("date").isNotNull())
+        if cutoff is not None:
+            rows = rows.where(F.col("date") >= F.lit(cutoff))
         if exclude is not None:
             rows = rows.where(F.col("document_id") != exclude)
         return rows.select("document_id", "vendor", "total", "date", "invoice_number")

@@ -21,7 +21,7 @@ def audit_micro_batch(batch: DataFrame, batch_id: int, ledger: Ledger, config: C
         return
     docs = batch.persist()
     ids = docs.select("id")
-    past = ledger.history(dt.date.min).join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
+    past = ledger.history(None).join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
     report = audit_batch(docs, past, config, today)
     ledger.record(docs, report.results, dt.datetime.now(), name)
     report.release()
