@@ -64,6 +64,11 @@ def id_list(ids: Column) -> Column:
     return F.when(F.size(ids) > 5, F.concat(shown, F.lit(" (+"), (F.size(ids) - 5).cast("string"), F.lit(" more)"))).otherwise(shown)
 
 
+def source_ref(source: Column) -> Column:
+    """``file:row`` of where a document came from, as much of it as is known."""
+    return F.concat(F.coalesce(source["file"], F.lit("")), F.when(source["row"].isNotNull(), F.concat(F.lit(":"), source["row"].cast("string"))).otherwise(""))
+
+
 def plain_words(text: Column) -> Column:
     """Lower case, each run of anything but a-z and 0-9 one space."""
     return F.trim(F.regexp_replace(F.lower(text), "[^0-9a-z]+", " "))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import digits_only, plain_words
+
+#: Fields whose values are compared by their digits alone.
+MONEY_FIELDS = ("total",)
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -78,15 +83,68 @@ def multiset_score(predicted: DataFrame, golden: DataFrame, on: list[str]) -> Da
     return c.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def fresh_findings(injected: DataFrame, results: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(id, kind, fresh): what each injected document (id, kind, orig_id, replaces) raises that the document it was made from
+    did not, or that names that document.  ``replaces`` may be absent: the document that it stands for instead of joining it."""
+    had = baseline.select(F.col("id").alias("made_from"), F.col("findings.rule_id").alias("before"))
+    made = injected.withColumn("made_from", F.coalesce("orig_id", "replaces") if "replaces" in injected.columns else F.col("orig_id"))
+    rows = made.join(results.select("id", "findings"), "id").join(had, "made_from", "left")
+    before = F.coalesce("before", F.array().cast("array<string>"))
+    new = lambda f: ~F.array_contains(before, f["rule_id"]) | F.coalesce(F.array_contains(f["related"], F.col("orig_id")), F.lit(False))
+    return rows.select("id", "kind", F.filter("findings", new).alias("fresh"))
+
+
 def injected_detection(injected: DataFrame, results: DataFrame, baseline: DataFrame) -> DataFrame:
-    """(kind, n, automatic, assisted): of injected documents (id, kind, orig_id), those held, and those with a finding
-    that their original lacks."""
-    own = results.select("id", "verdict", F.col("findings.rule_id").alias("fired"))
-    old = baseline.select(F.col("id").alias("orig_id"), F.col("findings.rule_id").alias("before"))
-    rows = injected.join(own, "id").join(old, "orig_id", "left")
-    fresh = F.array_except("fired", F.coalesce("before", F.array().cast("array<string>")))
-    held = F.size(F.array_intersect(fresh, F.array(*[F.lit(x) for x in ("P-002", "P-006", "P-007", "P-011", "P-017")]))) > 0
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(held & (F.col("verdict") == "blocked")).alias("automatic"), F.count_if(F.size(fresh) > 0).alias("assisted"))
+    """(kind, n, automatic, assisted): how many injected documents raise something new of high severity, or anything new."""
+    high = F.exists("fresh", lambda f: f["severity"] == "high")
+    return fresh_findings(injected, results, baseline).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(high).alias("automatic"), F.count_if(F.size("fresh") > 0).alias("assisted"))
+
+
+def injected_rules(injected: DataFrame, results: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(kind, rule_id, n): which controls the injected documents raise anew."""
+    return fresh_findings(injected, results, baseline).select("kind", F.explode("fresh.rule_id").alias("rule_id")).groupBy("kind", "rule_id").agg(F.count("*").alias("n"))
+
+
+def false_alarms(results: DataFrame, adjusted: DataFrame, rule: str = "P-007") -> DataFrame:
+    """One row about clean documents: how many raise ``rule``, and how many of those are not in ``adjusted`` (id)."""
+    marked = results.select("id", F.array_contains("findings.rule_id", rule).alias("fires")).join(adjusted.select("id", F.lit(True).alias("adjusted")).distinct(), "id", "left")
+    plain = F.col("adjusted").isNull()
+    return marked.agg(F.count("*").alias("documents"), F.count_if(~plain).alias("adjusted"), F.count_if("fires").alias("fired"), F.count_if(F.col("fires") & plain).alias("fired_unadjusted"), F.count_if(plain).alias("unadjusted"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share with one decimal and a percent sign, ``n/a`` of nothing."""
+    return F.when(whole != 0, F.concat(F.format_string("%.1f", F.lit(100.0) * part / F.nullif(whole, F.lit(0))), F.lit("%"))).otherwise("n/a")
+
+
+def comparable(field: Column, value: Column) -> Column:
+    """A read value as it is compared: digits of money, lower-case words of the rest; null if nothing is left."""
+    return F.nullif(F.when(field.isin(*MONEY_FIELDS), digits_only(value)).otherwise(plain_words(value)), F.lit(""))
+
+
+def scalar_scores(values: DataFrame) -> DataFrame:
+    """``values`` (field, predicted, golden, ...) with tp, fp, fn: a wrong value counts as both false and missed."""
+    p, g = comparable(F.col("field"), F.col("predicted")), comparable(F.col("field"), F.col("golden"))
+    same = F.coalesce(p == g, F.lit(False))
+    return values.withColumns({"tp": same.cast("int"), "fp": (p.isNotNull() & ~same).cast("int"), "fn": (g.isNotNull() & ~same).cast("int")})
+
+
+def field_report(values: DataFrame) -> DataFrame:
+    """(field, documents, tp, fp, fn, precision, recall, f1, support, scored) per field, and over all as field null.
+
+    Values without a label (golden null) are not scored; a field that no document labels is listed as not scored.
+    """
+    counted = F.col("golden").isNotNull()
+    one = lambda c: F.coalesce(F.sum(F.when(counted, F.col(c))), F.lit(0)).alias(c)
+    rows = scalar_scores(values).rollup("field").agg(F.count_if(counted).alias("documents"), *[one(c) for c in ("tp", "fp", "fn")], F.grouping("field").alias("all"))
+    kept = rows.where("all = 1 or field is not null")
+    return kept.select("field", "documents", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")), (F.col("tp") + F.col("fn")).alias("support"), (F.col("documents") > 0).alias("scored"))
+
+
+def trajectories(routes: DataFrame) -> DataFrame:
+    """scenarios, successes, success_rate from (expected, visited): arrays of steps that must be equal."""
+    good = F.count_if(F.col("expected") == F.col("visited"))
+    return routes.agg(F.count("*").alias("scenarios"), good.alias("successes"), ratio(good, F.count("*")).alias("success_rate"))
 
 
 def expected_route(cases: DataFrame) -> DataFrame:
@@ -107,3 +165,11 @@ def citations(checks: DataFrame) -> DataFrame:
 def usage(calls: DataFrame) -> DataFrame:
     """Calls, tokens and cost; calls of models without a price are counted apart."""
     return calls.agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.coalesce(F.sum("cost_usd"), F.lit(0).cast("decimal(18,6)")).alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_calls"))
+
+
+def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """``calls`` (model, input_tokens, output_tokens, ...) with cost_usd to a millionth, half to even; null for a model
+    without a price, for an unknown cost is not none.  ``prices`` has model, input_price, output_price per million tokens."""
+    tokens = lambda c: F.col(c).cast("decimal(12,0)")
+    cost = (tokens("input_tokens") * F.col("input_price") + tokens("output_tokens") * F.col("output_price")).cast("decimal(28,4)") * F.lit("0.000001").cast("decimal(7,6)")
+    return calls.join(prices, "model", "left").withColumn("cost_usd", F.bround(cost, 6).cast("decimal(18,6)")).drop("input_price", "output_price")

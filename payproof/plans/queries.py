@@ -357,7 +357,7 @@ def queue_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import function_queries  # noqa: F401  adds its own
+    from . import function_queries, source_queries  # noqa: F401  add their own
 
     return dict(QUERIES)
 

@@ -17,12 +17,13 @@ FINDING = "struct<rule_id: string, severity: string, summary: string, evidence:
 
 #: The audit ledger: append-only tables.
 TABLES = {
-    "documents": "document_id bigint, filename string, ingestion_status string, reject_reason string, sha256 string, created_at timestamp",
-    "extractions": f"document_id bigint, vendor string, date date, total {MONEY}, subtotal {MONEY}, tax {MONEY}, line_items string, signature_present boolean, confidence double, invoice_number string, currency string",
-    "audit_runs": "run_id string, document_id bigint, verdict string, worst_severity string, fields string, config string, not_evaluated array<string>, started_at timestamp, finished_at timestamp",
-    "findings": "run_id string, document_id bigint, rule_id string, policy_title string, policy_text string, severity string, summary string, evidence string, related array<bigint>",
-    "trace_steps": "run_id string, step_index int, tool string, args string, result string, ok boolean, error string, duration_ms double, note string",
+    "documents": "document_id bigint, filename string, ingestion_status string, reject_reason string, sha256 string, created_at timestamp, attempt string",
+    "extractions": f"document_id bigint, vendor string, date date, total {MONEY}, subtotal {MONEY}, tax {MONEY}, line_items string, signature_present boolean, confidence double, invoice_number string, currency string, attempt string",
+    "audit_runs": "run_id string, document_id bigint, verdict string, worst_severity string, fields string, config string, not_evaluated array<string>, started_at timestamp, finished_at timestamp, attempt string",
+    "findings": "run_id string, document_id bigint, rule_id string, policy_title string, policy_text string, severity string, summary string, evidence string, related array<bigint>, attempt string",
+    "trace_steps": "run_id string, step_index int, tool string, args string, result string, ok boolean, error string, duration_ms double, note string, attempt string",
     "review_decisions": "run_id string, decision_id bigint, reviewer string, decision string, note string, overrides_verdict boolean, decided_at timestamp",
+    "commits": "attempt string, batch string, at timestamp",
 }
 
 

@@ -1,4 +1,4 @@
-"""The audit ledger: six append-only tables of Parquet files, or a database over JDBC."""
+"""The audit ledger: append-only tables of Parquet files, or a database over JDBC."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from ..schema import TABLES, columns
 
 
 class Ledger:
-    """Tables under one folder.  A batch is written under its own run folder name; readers see whole files only."""
+    """Tables under one folder.  Rows carry the attempt that wrote them, and an attempt counts once it is in ``commits``, which
+    is written last: what a lost driver left behind, or a retry wrote twice, is never read."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -30,29 +31,52 @@ class Ledger:
                 return self.spark.createDataFrame([], TABLES[table])
             raise
 
-    def record(self, documents: DataFrame, results: DataFrame, at: dt.datetime, batch: str | None = None) -> str:
-        """Documents, extractions, runs and findings of one batch, with the controls' texts as they were.  Rejected files
-        have no extraction.  Runs come last: a batch counts once its runs are there."""
-        batch = batch or uuid.uuid4().hex
+    def committed(self, table: str) -> DataFrame:
+        """The rows of attempts that were finished.  Spark broadcasts the attempts while they are few."""
+        return self.read(table).join(self.read("commits").select("attempt").distinct(), "attempt", "left_semi")
+
+    def holds(self, batch: str) -> bool:
+        return self.read("commits").where(F.col("batch") == batch).limit(1).count() > 0
+
+    def record(self, documents: DataFrame, results: DataFrame, at: dt.datetime, batch: str | None = None, steps: DataFrame | None = None) -> str:
+        """Documents, extractions, runs, findings and ``steps`` (document_id, step_index, tool, ...) of one batch, with the
+        controls' texts as they were.  Rejected files have no extraction."""
+        batch, attempt = batch or uuid.uuid4().hex, F.lit(uuid.uuid4().hex).alias("attempt")
         run = F.concat_ws("-", F.lit(batch), F.col("id").cast("string"))
         stamp = F.lit(at).cast("timestamp")
-        docs = documents.withColumn("document_id", F.col("id"))
-        self.append("documents", docs.select("document_id", F.col("source.file").alias("filename"), "ingestion_status", "reject_reason", F.col("source.sha256").alias("sha256"), stamp.alias("created_at")))
+        docs = documents.withColumn("document_id", F.col("id")).withColumn("attempt", attempt)
+        self.append("documents", docs.select("document_id", F.col("source.file").alias("filename"), "ingestion_status", "reject_reason", F.col("source.sha256").alias("sha256"), stamp.alias("created_at"), "attempt"))
         self.append("extractions", docs.where("ingestion_status = 'accepted'").withColumn("line_items", F.to_json("line_items")))
-        found = results.select(run.alias("run_id"), F.col("id").alias("document_id"), F.explode("findings").alias("f")).select("run_id", "document_id", "f.rule_id", "f.severity", "f.summary", F.to_json("f.evidence").alias("evidence"), "f.related")
+        found = results.select(run.alias("run_id"), F.col("id").alias("document_id"), F.explode("findings").alias("f")).select("run_id", "document_id", "f.rule_id", "f.severity", "f.summary", F.to_json("f.evidence").alias("evidence"), "f.related", attempt)
         texts = policies(self.spark).select(F.col("policy_id").alias("rule_id"), F.col("title").alias("policy_title"), F.col("text").alias("policy_text"))
         self.append("findings", found.join(F.broadcast(texts), "rule_id", "left"))
-        self.append("audit_runs", results.select(run.alias("run_id"), F.col("id").alias("document_id"), "verdict", "worst_severity", "not_evaluated", stamp.alias("started_at"), stamp.alias("finished_at")))
+        self.append("audit_runs", results.select(run.alias("run_id"), F.col("id").alias("document_id"), "verdict", "worst_severity", "not_evaluated", stamp.alias("started_at"), stamp.alias("finished_at"), attempt))
+        if steps is not None:
+            self.append("trace_steps", steps.withColumn("run_id", F.concat_ws("-", F.lit(batch), F.col("document_id").cast("string"))).withColumn("attempt", attempt))
+        self.append("commits", self.spark.range(1).select(attempt, F.lit(batch).alias("batch"), stamp.alias("at")))
         return batch
 
     def review(self, decisions: DataFrame) -> None:
         """Append decisions (run_id, decision_id, reviewer, decision, note, decided_at) with overrides_verdict."""
-        runs = self.read("audit_runs").select("run_id", "verdict")
+        runs = self.committed("audit_runs").select("run_id", "verdict")
         self.append("review_decisions", decisions.join(runs, "run_id", "left").withColumn("overrides_verdict", F.coalesce((F.col("decision") == "approved") & (F.col("verdict") == "blocked"), F.lit(False))))
 
+    def runs(self) -> DataFrame:
+        """A row per run with its findings, steps and decisions as arrays, worst finding first, steps and decisions in order."""
+        rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).when(F.col("severity") == "low", 2).otherwise(3)
+        lists = {
+            "findings": self.committed("findings").select("run_id", F.struct(rank.alias("place"), "rule_id", "severity", "summary", "evidence", "policy_title", "policy_text", "related").alias("x")),
+            "steps": self.committed("trace_steps").select("run_id", F.struct("step_index", "tool", "ok", "error", "duration_ms", "note").alias("x")),
+            "reviews": self.read("review_decisions").select("run_id", F.struct("decided_at", "decision_id", "reviewer", "decision", "note", "overrides_verdict").alias("x")),
+        }
+        out = self.committed("audit_runs").drop("attempt")
+        for name, rows in lists.items():
+            out = out.join(rows.groupBy("run_id").agg(F.sort_array(F.collect_list("x")).alias(name)), "run_id", "left")
+        return out
+
     def history(self, cutoff: dt.date | None, exclude: int | None = None) -> DataFrame:
         """Past documents with a supplier and a date, from ``cutoff`` on if that is given: filters that reach the scan."""
-        rows = self.read("extractions").where(F.col("vendor").isNotNull() & F.col("date").isNotNull())
+        rows = self.committed("extractions").where(F.col("vendor").isNotNull() & F.col("date").isNotNull())
         if cutoff is not None:
             rows = rows.where(F.col("date") >= F.lit(cutoff))
         if exclude is not None:

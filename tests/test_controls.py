@@ -175,7 +175,10 @@ def test_empty_batch_and_reports(spark):
     text = reports.compact_batch(rep, 1)
     assert text.startswith("2 docs: 0 pass, 1 review, 1 blocked") and "+1 more flagged" in text and "P-010x1" in text
     page = reports.html_report(rep, "<x>")
-    assert "<script" not in page and "&lt;b&gt;" in page and page.index('id="d2"') < page.index('id="d1"')
+    assert "<script" not in page and "&lt;b&gt;" in page and page.index('id="doc-2"') < page.index('id="doc-1"') and "Not evaluated: 1 amounts" in page and '<b class="blocked">1</b>' in page
+    twin = audit_batch(docs(spark, {"id": 1, "vendor": "V"}, {"id": 2, "vendor": "V"}), None, Config(), TODAY)
+    linked = reports.html_report(twin, "x")
+    assert '<a href="#doc-2">#2</a>' in linked and '<a href="#doc-1">#1</a>' in linked and "<blockquote>" in linked and "P-002" in linked
     assert reports.export(rep.results).where("id = 1").first()["vendor"].startswith("'=")
     assert reports.compact(rep.results).where("id = 2").first()["text"] == "BLOCKED findings=1\nP-001 high: no amount readable"
 
