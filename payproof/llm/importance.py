@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ class Features:
                 crc = np.fromiter(map(zlib.crc32, spaced[n - 1 :], crc[:-1].tolist()), np.uint32, max(0, len(found) - n + 1))
             if n >= self.shortest:
                 inside = text[: len(crc)] == text[n - 1 :]
-                buckets.append(crc[inside] % self.buckets)
+                buckets.append(crc[inside].astype(np.int64) % self.buckets)
                 owners.append(text[: len(crc)][inside])
         return np.concatenate(buckets), np.concatenate(owners), np.bincount(text, minlength=len(texts))
 
@@ -60,7 +61,7 @@ def joined(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[t
     """Batches cut to about ``most`` bytes of text (a longer text stands alone), and their texts; null is empty."""
     for b in batches:
         texts = b.column("text").cast(pa.large_binary())
-        size = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) + 1)
+        size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) + 1)
         at = 0
         while at < b.num_rows:
             end = max(at + 1, int(np.searchsorted(size, most + (size[at - 1] if at else 0), "right")))

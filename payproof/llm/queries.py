@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, importance, interactions, katz, langid, lines, mixing, phrases, quality, simhash
+from . import chat, decontaminate, html, importance, interactions, katz, langid, lines, mixing, phrases, pii, quality, simhash
 from ._common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,17 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document: counts and digest of what strict patterns find, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_private(docs, pii.fit(docs))
+    base = F.filter("found", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
+
+
 OP5_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -178,7 +189,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op4_lm_scoring, op5_chat_formatting, op6_substring_dedup, op7_html_extraction, op8_simhash, op9_decontamination, op10_language_id, op11_filter_interactions, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op4_lm_scoring, op5_chat_formatting, op6_substring_dedup, op7_html_extraction, op8_simhash, op9_decontamination, op10_language_id, op11_filter_interactions, op12_importance_resampling, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
