@@ -7,8 +7,11 @@ condition on top (see ``admitted``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,16 +19,19 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
-from ..functions.similarity import jaro_winkler, may_reach
+from ..functions.similarity import jaro_winkler, may_match, signature
 from .rows import cat, evidence, finding, money, say
 
 LEDGER_FROM = 1 << 50
+#: Priors from here on are no documents of the batch.
+ELSEWHERE = 1 << 40
 
 
 def with_keys(rows: DataFrame, *more: str | Column) -> DataFrame:
-    """What the controls read of a document: id, place, amount, date, supplier key, parts of the invoice number."""
+    """What the controls read of a document: id, place, amount, date, supplier key and its signature, parts of the invoice number."""
     key = T.invoice_key(F.col("invoice_number"))
-    return rows.select("id", "input_idx", "total", "date", T.vendor_key(F.col("vendor")).alias("key"), key.alias("ikey"), T.invoice_prefix(key).alias("prefix"), T.invoice_serial(key).alias("serial"), *more)
+    rows = rows.withColumn("_name", T.vendor_key(F.col("vendor")))
+    return rows.select("id", "input_idx", "total", "date", F.col("_name").alias("key"), signature(F.col("_name")).alias("sig"), key.alias("ikey"), T.invoice_prefix(key).alias("prefix"), T.invoice_serial(key).alias("serial"), *more)
 
 
 def keyed(documents: DataFrame, ledger: DataFrame | None, config: Config, today) -> tuple[DataFrame, DataFrame]:
@@ -52,27 +58,49 @@ def tolerance(total: Column, config: Config) -> Column:
     return F.abs(total) * F.lit(wide).cast("decimal(12,6)") + F.lit(Decimal("0.01"))
 
 
-def by_supplier(config: Config) -> Column:
+Prior = Callable[[str], Column]
+
+
+def joined_prior(c: str) -> Column:
+    """A prior's column in a row of ``as_prior``."""
+    return F.col(f"p_{c}")
+
+
+def member(m: Column) -> Prior:
+    """A prior as an element of a list."""
+    return lambda c: m[c]
+
+
+def by_supplier(config: Config, p: Prior = joined_prior) -> Column:
     """Admitted by supplier: dated no earlier than the lookback before the anchor."""
-    return F.coalesce(F.col("p_date") >= F.date_sub("anchor", config.lookback_days), F.lit(False))
+    return F.coalesce(p("date") >= F.date_sub("anchor", config.lookback_days), F.lit(False))
 
 
-def by_amount(config: Config) -> Column:
-    return F.coalesce(F.abs(F.col("p_total") - F.col("total")) <= tolerance(F.col("total"), config), F.lit(False))
+def by_amount(config: Config, p: Prior = joined_prior) -> Column:
+    return F.coalesce(F.abs(p("total") - F.col("total")) <= tolerance(F.col("total"), config), F.lit(False))
 
 
-def admitted(config: Config) -> Column:
-    return by_supplier(config) | by_amount(config)
+def admitted(config: Config, p: Prior = joined_prior) -> Column:
+    return by_supplier(config, p) | by_amount(config, p)
 
 
-def other() -> Column:
-    return (F.col("p_input_idx") != F.col("input_idx")) & (F.col("p_id") != F.col("id"))
+def other(p: Prior = joined_prior) -> Column:
+    return (p("input_idx") != F.col("input_idx")) & (p("id") != F.col("id"))
 
 
-def in_order(config: Config, *more: Column) -> Column:
+def in_order(late: Column, p: Prior, *more: Column) -> Column:
     """A struct that sorts priors in history order: by supplier in input order, then by amount."""
-    late = ~(by_supplier(config) & (F.col("p_key") == F.col("key")))
-    return F.struct(late.alias("late"), F.when(late, F.col("p_total")).alias("amount"), F.col("p_input_idx").alias("idx"), F.col("p_id").alias("id"), *more)
+    return F.struct(late.alias("late"), F.when(late, p("total")).alias("amount"), p("input_idx").alias("idx"), p("id").alias("id"), *more)
+
+
+def members(config: Config, found: Column) -> Column:
+    """Of a list of one supplier's priors (id, input_idx, total, date) those that a document's history admits, in its order."""
+    mine = F.filter(found, lambda m: other(member(m)) & admitted(config, member(m)))
+    return F.array_sort(F.transform(mine, lambda m: in_order(~by_supplier(config, member(m)), member(m), m["total"].alias("total"))))
+
+
+def listed() -> Column:
+    return F.struct("id", "input_idx", "total", "date")
 
 
 def ids(found: Column) -> Column:
@@ -83,39 +111,32 @@ def id_text(found: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(ids(found).cast("array<string>"), ","), F.lit("]"))
 
 
+def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join with a group's row per key: their hash as one more key gives the groups an exchange of their own, so
+    that Spark may split a key that many rows of ``left`` share."""
+    tagged = lambda d: d.withColumn("_tag", F.xxhash64(*on))
+    return tagged(left).join(tagged(right), [*on, "_tag"]).drop("_tag")
+
+
 def duplicates(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
     """P-002: same supplier, amount and date as another document; the first such is named.
 
-    Per group only its first document and the first with another id are kept, so a group of any size costs two minima.
+    Per group only its first document and the first with another id matter.  Ranks are cut to two before rows meet, so
+    a group of any size sends two rows from each task.
     """
     same = ["key", "total", "date"]
-    held = priors.where("key <> '' and total is not null and date is not null").select(*same, F.struct("input_idx", "id").alias("at"))
-    groups = held.groupBy(*same).agg(F.count("*").alias("n"), F.min("at").alias("one")).where("n > 1").select(*same, "one")
-    second = held.join(groups, same).where("at.id <> one.id").groupBy(*same).agg(F.min("at").alias("two"))
-    pair = groups.join(second, same)
-    hit = docs.where("key <> ''").join(pair, same).withColumn("match", F.when(F.col("one.id") != F.col("id"), F.col("one.id")).otherwise(F.col("two.id")))
+    held = priors.where("key <> '' and total is not null and date is not null").groupBy(*same, "id").agg(F.min("input_idx").alias("idx"))
+    place = F.row_number().over(W.partitionBy(*same).orderBy("idx", "id"))
+    two = held.withColumn("place", place).where("place <= 2")
+    pair = two.groupBy(*same).agg(F.min_by("id", "place").alias("one"), F.max_by("id", "place").alias("two"), F.count("*").alias("n")).where("n = 2").drop("n")
+    hit = meet(docs.where("key <> ''"), pair, same).withColumn("match", F.when(F.col("one") != F.col("id"), F.col("one")).otherwise(F.col("two")))
     said = cat("same supplier, amount ", say(F.col("total")), " and date ", F.col("date").cast("string"), " as #", F.col("match").cast("string"))
     return hit.select("id", finding("P-002", said, evidence(matched_document_id=F.col("match"), total=say(F.col("total")), date=F.col("date")), F.array("match")).alias("finding"))
 
 
-def near_days(docs: DataFrame, priors: DataFrame, on: list[str], days: int) -> DataFrame:
-    """Pairs with equal ``on`` and dates at most ``days`` apart: joined on blocks of days, so that one key's pairs spread over time."""
-    block = max(1, days)
-    number = lambda c: F.floor(F.unix_date(c) / block)
-    left = docs.withColumn("_block", F.explode(F.array(number("date") - 1, number("date"), number("date") + 1)))
-    right = as_prior(priors.withColumn("_block", number("date")))
-    same = (F.col("_block") == F.col("p__block")) & (F.abs(F.date_diff("p_date", "date")) <= days)
-    for c in on:
-        same = same & (F.col(c) == F.col(f"p_{c}"))
-    return left.join(right, same).drop("_block", "p__block")
-
-
-def split_pairs(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
-    """Pairs of one supplier's documents near below the approval limit, close in time."""
-    limit = money(config.approval_limit)
-    floor = F.lit(config.approval_limit * config.split_proximity).cast("decimal(18,6)")
-    band = lambda d: d.where((F.col("total") >= floor) & (F.col("total") <= limit) & (F.col("key") != "") & F.col("date").isNotNull())
-    return near_days(band(docs), band(priors), ["key"], config.split_window_days).where(other() & admitted(config))
+def blocks(day: Column, reach: int, size: int) -> Column:
+    """The blocks of ``size`` days within ``reach`` days of a day: one or two where size is over twice the reach."""
+    return F.sequence(F.floor((day - reach) / size), F.floor((day + reach) / size))
 
 
 def near_limit_frame(docs: DataFrame, config: Config) -> DataFrame:
@@ -128,46 +149,80 @@ def near_limit_frame(docs: DataFrame, config: Config) -> DataFrame:
 
 
 def splitting(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
-    """P-011: documents of one supplier just below the limit within the window."""
-    hit = split_pairs(docs, priors, config).groupBy("id", "total").agg(F.sum("p_total").alias("rest"), F.array_sort(F.collect_list(in_order(config))).alias("found"))
-    combined, n = (F.col("total") + F.col("rest")), (F.size("found") + 1).cast("string")
-    said = cat(n, f" docs within {config.split_window_days} days just under limit ", say(money(config.approval_limit)), ", combined ", say(combined))
-    return hit.select("id", finding("P-011", said, evidence(combined_total=say(combined), limit=say(money(config.approval_limit)), related_document_ids=id_text(F.col("found")), window_days=F.lit(config.split_window_days)), ids(F.col("found"))).alias("finding"))
-
+    """P-011: documents of one supplier just below the limit within the window.
 
-def amount_cells(total: Column, ratio: Decimal) -> Column:
-    """Cells of a grid of amounts such that two amounts within tolerance lie in the same or in neighbouring cells.
+    A frame of days collects each document's siblings, without a join.  Frames run inside blocks of days, so that one supplier's
+    documents spread over time; a prior stands in each block that its window reaches.
+    """
+    window, limit = config.split_window_days, money(config.approval_limit)
+    floor = F.lit(config.approval_limit * config.split_proximity).cast("decimal(18,6)")
+    day = F.unix_date("date")
+    size = 4 * window + 2
+    band = lambda d: d.where((F.col("total") >= floor) & (F.col("total") <= limit) & (F.col("key") != "") & F.col("date").isNotNull())
+    kept = ["id", "input_idx", "key", "total", "date"]
+    own = band(docs).select(*kept, "anchor", F.floor(day / size).alias("block"), F.lit(None).cast("struct<id: bigint, input_idx: bigint, total: decimal(18,4), date: date>").alias("prior"))
+    past = band(priors).select(*kept, F.lit(None).cast("date").alias("anchor"), F.explode(blocks(day, window, size)).alias("block"), listed().alias("prior"))
+    frame = W.partitionBy("key", "block").orderBy(day).rangeBetween(-window, window)
+    near = own.unionByName(past).withColumn("near", F.collect_list("prior").over(frame)).where("prior is null")
+    hit = near.withColumn("found", members(config, F.col("near"))).where(F.size("found") > 0)
+    rest = F.aggregate("found", F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + x["total"]).cast("decimal(28,4)"))
+    combined, n = (F.col("total") + rest), (F.size("found") + 1).cast("string")
+    said = cat(n, f" docs within {window} days just under limit ", say(limit), ", combined ", say(combined))
+    return hit.select("id", finding("P-011", said, evidence(combined_total=say(combined), limit=say(limit), related_document_ids=id_text(F.col("found")), window_days=F.lit(window)), ids(F.col("found"))).alias("finding"))
+
+
+def amount_cells(total: Column, ratio: Decimal, reach: bool) -> Column:
+    """Cells (kind, cell) of a grid of amounts: that of an amount, or with ``reach`` all that amounts within tolerance of it lie
+    in, mostly one or two.
 
     Amounts of 0.01 / ratio and more lie on a logarithmic grid by sign, smaller ones on a grid of 0.02; those near the border
-    lie on both.
+    lie on both.  At ratios of a half and more all amounts are one cell.
     """
-    border, width = float(Decimal("0.01") / ratio) if ratio else float("inf"), max(2 * float(ratio), 0.01)
-    size = F.abs(total).cast("double")
+    if ratio >= Decimal("0.5"):
+        return F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("cell")))
+    border, width, off = float(Decimal("0.01") / ratio) if ratio else float("inf"), max(4 * float(ratio), 0.01), 1.1 * float(ratio)
+    size, value, slack = F.abs(total).cast("double"), total.cast("double"), 1e-9
     sign = F.when(total < 0, -1).otherwise(1)
-    large = F.when(size >= 0.95 * border, F.struct(sign.alias("kind"), F.floor(F.log(F.greatest(size, F.lit(1e-9))) / F.log1p(F.lit(width))).alias("cell")))
-    small = F.when(size < 1.1 * border, F.struct(F.lit(0).alias("kind"), F.floor(total.cast("double") / 0.02).alias("cell")))
-    return F.array_compact(F.array(large, small))
+    log = F.log(F.greatest(size, F.lit(1e-9))) / math.log1p(width)
+    less, more = (-math.log1p(-off) / math.log1p(width) + slack, 0.011 / 0.02 + slack) if reach else (0.0, 0.0)
+    cells = lambda kind, at, by: F.transform(F.sequence(F.floor(at - by), F.floor(at + by)), lambda c: F.struct(kind.alias("kind"), c.alias("cell")))
+    none = F.array().cast("array<struct<kind: int, cell: bigint>>")
+    return F.concat(F.when(size >= 0.95 * border, cells(sign, log, less)).otherwise(none), F.when(size < 1.1 * border, cells(F.lit(0), value / 0.02, more)).otherwise(none))
+
+
+#: Rows of a cell that one task compares with so many others; fuller cells are cut into slots.
+CELL_ROWS = 4000
 
 
-def near_pairs(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
+def near_pairs(docs: DataFrame, priors: DataFrame, config: Config, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Pairs close in amount and date with unlike or differing details whose names may be alike.
 
-    A document's own cell and its neighbours hold every amount within tolerance and its block of days and the neighbours
-    every date, so a pair meets once per kind of cell; where both amounts lie on both grids, only the logarithmic one counts.
+    Priors lie in one cell of amounts and one block of days, documents in all that their tolerance and window reach, so a
+    pair meets once per kind of cell; where both amounts lie on both grids, only the logarithmic one counts.  Cells of more than
+    ``cell_rows`` priors are cut into slots and each pair of slots is a join key of its own.  The table of those cells is
+    broadcast: the grid of amounts and the calendar bound it (about 3,200 cells of amounts for every 24 days), not the documents.
+    Most unlike names are told apart by signatures, inside the join.
     """
     days, ratio = config.near_dup_window_days, config.near_dup_amount_ratio
-    usable = lambda d: d.where("key <> '' and total is not null and date is not null")
-    block = lambda: F.floor(F.unix_date("date") / (days + 1))
-    cells = lambda: amount_cells(F.col("total"), ratio)
-    spelled = lambda d: usable(d).withColumn("grids", F.size(cells()))
-    left = spelled(docs).where("total <> 0").withColumn("c", F.explode(cells())).withColumn("cell", F.explode(F.array(F.col("c.cell") - 1, F.col("c.cell"), F.col("c.cell") + 1))).withColumn("day", F.explode(F.array(block() - 1, block(), block() + 1)))
-    right = as_prior(spelled(priors).withColumn("c", F.explode(cells())).withColumn("day", block()))
-    pairs = left.join(right, (F.col("c.kind") == F.col("p_c.kind")) & (F.col("cell") == F.col("p_c.cell")) & (F.col("day") == F.col("p_day")))
-    twice = (F.col("c.kind") == 0) & (F.col("grids") == 2) & (F.col("p_grids") == 2)
-    may_be = may_reach(F.col("key"), F.col("p_key"), config.near_dup_vendor_similarity)
-    pairs = close_pairs(pairs.where(~twice), config).where((F.col("key") == F.col("p_key")) | may_be)
-    kept = ["id", "input_idx", "key", "total", "date", "anchor", "p_id", "p_input_idx", "p_key", "p_total", "p_date"]
-    return pairs.select(*kept)
+    size, least = 3 * (days + 1), config.near_dup_vendor_similarity
+    usable = lambda d: d.where("key <> '' and total is not null and date is not null").withColumn("grids", F.size(amount_cells(F.col("total"), ratio, False)))
+    placed = lambda d, reach: d.select("*", F.explode(amount_cells(F.col("total"), ratio, reach)).alias("c")).select("*", "c.kind", "c.cell", F.explode(blocks(F.unix_date("date"), days if reach else 0, size)).alias("day")).drop("c")
+    cell = ["kind", "cell", "day"]
+    kept = ["id", "input_idx", "key", "total", "date", "sig", "grids", *cell]
+    right, left = placed(usable(priors), False).select(*kept), placed(usable(docs).where("total <> 0"), True).select(*kept, "anchor")
+    crowded = right.groupBy(*cell).agg(F.ceil(F.count("*") / cell_rows).alias("slots")).where("slots > 1")
+
+    def dealt(d: DataFrame, own: str, rest: str) -> DataFrame:
+        slots = F.coalesce("slots", F.lit(1))
+        return d.join(F.broadcast(crowded), cell, "left").withColumns({own: F.pmod(F.xxhash64("id", "input_idx"), slots), rest: F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))}).drop("slots")
+
+    left, right = dealt(left, "mine", "theirs"), as_prior(dealt(right, "theirs", "mine"))
+    keys = [*cell, "mine", "theirs"]
+    same = reduce(and_, [F.col(k) == F.col(f"p_{k}") for k in keys])
+    twice = (F.col("kind") == 0) & (F.col("grids") == 2) & (F.col("p_grids") == 2)
+    alike = may_match(F.col("key"), F.col("sig"), F.col("p_key"), F.col("p_sig"), least)
+    pairs = close_pairs(left.join(right, same).where(~twice), config).where((F.col("key") == F.col("p_key")) | alike)
+    return pairs.select("id", "input_idx", "key", "total", "date", "anchor", "p_id", "p_input_idx", "p_key", "p_total", "p_date")
 
 
 def close_pairs(pairs: DataFrame, config: Config) -> DataFrame:
@@ -183,9 +238,13 @@ def close_pairs(pairs: DataFrame, config: Config) -> DataFrame:
 
 
 def near_hits(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
-    """The pairs whose names are alike enough, with the similarity."""
-    named = near_pairs(docs, priors, config).withColumn("sim", jaro_winkler(F.least("key", "p_key"), F.greatest("key", "p_key")))
-    return named.where(F.col("sim") >= config.near_dup_vendor_similarity)
+    """The pairs whose names are alike enough, with the similarity.
+
+    Pairs of the same two names lie next to each other, so names are compared once; Spark may split what many pairs share.
+    """
+    pairs = near_pairs(docs, priors, config).withColumns({"a": F.least("key", "p_key"), "b": F.greatest("key", "p_key")})
+    named = pairs.hint("rebalance", "a", "b").sortWithinPartitions("a", "b").withColumn("sim", jaro_winkler("a", "b"))
+    return named.where(F.col("sim") >= config.near_dup_vendor_similarity).drop("a", "b")
 
 
 def near_duplicates(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
@@ -195,7 +254,8 @@ def near_duplicates(docs: DataFrame, priors: DataFrame, config: Config) -> DataF
 
 def near_findings(hits: DataFrame, config: Config) -> DataFrame:
     more = [F.col("sim"), F.col("p_total").alias("p_total"), F.col("p_date").alias("p_date")]
-    hit = hits.groupBy("id", "total", "date").agg(F.array_sort(F.collect_list(in_order(config, *more))).alias("found"))
+    late = ~(by_supplier(config) & (F.col("p_key") == F.col("key")))
+    hit = hits.groupBy("id", "total", "date").agg(F.array_sort(F.collect_list(in_order(late, joined_prior, *more))).alias("found"))
     first = F.element_at("found", 1)
     again = F.exists("found", lambda x: (x["sim"] >= 1.0) & (x["p_total"] == F.col("total")))
     said = cat("near-duplicate of #", first["id"].cast("string"), " (amount ", say(first["p_total"]), " vs ", say(F.col("total")), ", ", first["p_date"].cast("string"), " vs ", F.col("date").cast("string"), ", name sim ", F.format_string("%.2f", first["sim"]), ")")
@@ -203,41 +263,81 @@ def near_findings(hits: DataFrame, config: Config) -> DataFrame:
     return hit.select("id", finding("P-016", said, proof, ids(F.col("found")), F.when(again, "high").otherwise("medium")).alias("finding"))
 
 
-def reused_pairs(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
-    """Pairs of one supplier's documents with one invoice number.  Numbers that occur once never reach the join."""
-    usable = lambda d: d.where("key <> '' and ikey is not null")
-    again = usable(priors).groupBy("key", "ikey").agg(F.count("*").alias("n")).where("n > 1").select("key", "ikey")
-    right = as_prior(usable(priors).join(again, ["key", "ikey"]))
-    same = (F.col("key") == F.col("p_key")) & (F.col("ikey") == F.col("p_ikey"))
-    return usable(docs).join(right, same).where(other() & admitted(config))
-
-
 def reused_numbers(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
-    """P-017: the supplier's invoice number is on another document."""
-    hit = reused_pairs(docs, priors, config).groupBy("id", "ikey").agg(F.array_sort(F.collect_list(in_order(config))).alias("found"))
+    """P-017: the supplier's invoice number is on another document.  The documents of a number are listed once, and each
+    document picks from that list; no pairs are made."""
+    usable = lambda d: d.where("key <> '' and ikey is not null")
+    lists = usable(priors).groupBy("key", "ikey").agg(F.collect_list(listed()).alias("all")).where(F.size("all") > 1)
+    hit = meet(usable(docs), lists, ["key", "ikey"]).withColumn("found", members(config, F.col("all"))).where(F.size("found") > 0)
     said = cat("invoice number reused on ", T.id_list(ids(F.col("found"))))
     return hit.select("id", finding("P-017", said, evidence(invoice_number_key=F.col("ikey"), matched_document_ids=id_text(F.col("found"))), ids(F.col("found"))).alias("finding"))
 
 
-def sequential_runs(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
-    """(id, run_length, first, last, related): the run of consecutive numbers around each document's own number.
+#: Serial numbers that one window sorts at most.
+SERIAL_BLOCK = 4096
+#: Members of a run that share the copy of its list.
+RUN_ROWS = 4000
+
 
-    Runs over all of a supplier's numbers bound those of any one document, so only numbers of runs that are long enough are
-    joined, and only within their run.
+def consecutive(priors: DataFrame, least: int) -> DataFrame:
+    """(key, prefix, serial, run, n, start, end, oldest, mixed) of every number in a run of ``least`` or more.
+
+    Runs are found inside blocks of serial numbers; only those that touch a block's border are put together over blocks, two rows a
+    block at most.  ``oldest``: the least over the run of each number's latest date; mixed: with priors from elsewhere.
     """
+    unknown = F.lit("0001-01-01").cast("date")
+    numbers = priors.where("key <> '' and serial is not null").groupBy("key", "prefix", "serial").agg(F.coalesce(F.max("date"), unknown).alias("latest"), F.max("input_idx").alias("idx"), F.count("*").alias("rows"))
+    numbers = numbers.withColumn("block", F.floor(F.col("serial") / SERIAL_BLOCK))
+    within = W.partitionBy("key", "prefix", "block")
+    numbers = numbers.withColumn("island", F.col("serial") - F.row_number().over(within.orderBy("serial")))
+    islands = numbers.groupBy("key", "prefix", "block", "island").agg(F.min("serial").alias("first"), F.max("serial").alias("last"), F.count("*").alias("size"), F.sum("rows").alias("rows"), F.min("latest").alias("oldest"), F.max("idx").alias("idx"))
+    edge = (F.pmod("first", F.lit(SERIAL_BLOCK)) == 0) | (F.pmod("last", F.lit(SERIAL_BLOCK)) == SERIAL_BLOCK - 1)
+    order = W.partitionBy("key", "prefix").orderBy("first")
+    over = islands.where(edge).withColumn("before", F.lag("last").over(order))
+    over = over.withColumn("run", F.max(F.when(F.coalesce(F.col("before") + 1 < F.col("first"), F.lit(True)), F.col("first"))).over(order)).drop("before")
+    whole = W.partitionBy("key", "prefix", "run")
+    over = over.withColumns({"n": F.sum("size").over(whole), "members": F.sum("rows").over(whole), "start": F.min("first").over(whole), "end": F.max("last").over(whole), "old": F.min("oldest").over(whole), "late": F.max("idx").over(whole)})
+    inner = islands.where(~edge).withColumns({"run": F.col("first"), "n": F.col("size"), "members": F.col("rows"), "start": F.col("first"), "end": F.col("last"), "old": F.col("oldest"), "late": F.col("idx")})
+    runs = over.unionByName(inner).where(F.col("n") >= least).select("key", "prefix", "block", "island", "run", "n", "members", "start", "end", F.col("old").alias("oldest"), (F.col("late") >= ELSEWHERE).alias("mixed"))
+    return numbers.select("key", "prefix", "serial", "block", "island").join(runs, ["key", "prefix", "block", "island"]).drop("block", "island")
+
+
+def sequential_lists(docs: DataFrame, priors: DataFrame, config: Config, only: Column | None = None) -> DataFrame:
+    """(id, run_length, first, last, related): the run of consecutive numbers around each document's own number, by what its
+    history admits.  A run's members are listed once, in as many copies as documents need tasks."""
     least = max(2, config.sequential_min_run)
-    usable = lambda d: d.where("key <> '' and serial is not null")
-    numbers = usable(priors).select("key", "prefix", "serial").distinct()
-    in_run = W.partitionBy("key", "prefix")
-    runs = numbers.withColumn("run", F.col("serial") - F.row_number().over(in_run.orderBy("serial"))).withColumn("n", F.count("*").over(W.partitionBy("key", "prefix", "run"))).where(F.col("n") >= least).select("key", "prefix", "serial", "run")
-    left = usable(docs).join(runs, ["key", "prefix", "serial"])
-    right = as_prior(usable(priors).join(runs, ["key", "prefix", "serial"]))
-    same = (F.col("key") == F.col("p_key")) & (F.col("prefix") == F.col("p_prefix")) & (F.col("run") == F.col("p_run"))
-    seen = left.join(right, same).where(other() & admitted(config)).groupBy("id", "serial", "p_serial").agg(F.min("p_id").alias("p_id")).where("p_serial <> serial")
-    own = seen.select("id", "serial", F.col("serial").alias("p_serial"), F.lit(None).cast("bigint").alias("p_id")).distinct()
-    every = seen.unionByName(own).withColumn("island", F.col("p_serial") - F.row_number().over(W.partitionBy("id").orderBy("p_serial")))
-    grouped = every.groupBy("id", "serial", "island").agg(F.count("*").alias("run_length"), F.min("p_serial").alias("first"), F.max("p_serial").alias("last"), F.sort_array(F.collect_list("p_id")).alias("related"))
-    return grouped.where((F.col("first") <= F.col("serial")) & (F.col("serial") <= F.col("last")) & (F.col("run_length") >= least)).select("id", "run_length", "first", "last", "related")
+    runs = consecutive(priors, least)
+    left = docs.where("key <> ''").join(runs, ["key", "prefix", "serial"])
+    left = left if only is None else left.where(only)
+    slots = F.ceil(F.col("members") / RUN_ROWS)
+    left = left.withColumn("slot", F.pmod(F.xxhash64("id"), slots))
+    usable = priors.where("key <> '' and serial is not null")
+    lists = usable.join(runs.select("key", "prefix", "serial", "run", "members"), ["key", "prefix", "serial"]).groupBy("key", "prefix", "run").agg(F.sort_array(F.collect_list(F.struct("serial", "id", "input_idx", "total", "date"))).alias("all"), F.max("members").alias("members"))
+    lists = lists.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).drop("members")
+    d = meet(left, lists, ["key", "prefix", "run", "slot"])
+    d = d.withColumn("mine", F.filter("all", lambda m: other(member(m)) & admitted(config, member(m)))).drop("all")
+    d = d.withColumn("seen", F.array_sort(F.array_distinct(F.array_append(F.transform("mine", lambda m: m["serial"]), F.col("serial")))))
+    d = d.withColumn("at", F.array_position("seen", F.col("serial")) - 1)
+    d = d.withColumn("own", F.filter("seen", lambda x, i: x - i == F.col("serial") - F.col("at"))).where(F.size("own") >= least)
+    d = d.withColumns({"first": F.element_at("own", 1), "last": F.element_at("own", -1), "run_length": F.size("own").cast("long")})
+    d = d.withColumn("mine", F.filter("mine", lambda m: m["serial"].between(F.col("first"), F.col("last")) & (m["serial"] != F.col("serial"))))
+    one = F.filter("mine", lambda m, i: ~F.coalesce(F.get(F.col("mine"), i - 1)["serial"] == m["serial"], F.lit(False)))
+    return d.select("id", "run_length", "first", "last", F.sort_array(F.transform(one, lambda m: m["id"])).alias("related"))
+
+
+def sequential_bounds(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
+    """(id, run_length, first, last) without lists: a document whose history reaches back to the whole run takes the run's own
+    bounds, so a run of n numbers costs n rows; only other documents read their run's members."""
+    runs = consecutive(priors, max(2, config.sequential_min_run))
+    whole = (F.date_sub("anchor", config.lookback_days) <= F.col("oldest")) & ~F.col("mixed")
+    left = docs.where("key <> ''").join(runs, ["key", "prefix", "serial"])
+    known = left.where(F.coalesce(whole, F.lit(False))).select("id", F.col("n").alias("run_length"), F.col("start").alias("first"), F.col("end").alias("last"))
+    return known.unionByName(sequential_lists(docs, priors, config, ~F.coalesce(whole, F.lit(False))).drop("related"))
+
+
+def sequential_runs(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
+    """``sequential_lists`` of every document: the related ids are part of a finding, n of them for each of a run of n."""
+    return sequential_lists(docs, priors, config)
 
 
 def sequential_numbers(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from payproof.config import Config
-from payproof.functions.similarity import jaro_winkler, may_reach, similarity
+from payproof.functions.similarity import jaro_winkler, may_match, signature, similarity
 from payproof.operators import history, population, reports
 from payproof.plans.audit import audit_batch, audit_requests
 
@@ -116,6 +116,77 @@ def test_band_join_misses_nothing(spark):
     assert got == brute_near(rows, Config()) and len(got) > 1000
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_full_cells_are_cut_into_slots(spark):
+    """Thousands of equal round amounts in one week: the same pairs whatever the slots, and unlike names stop inside the join."""
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(3000)]
+    names += [n[:5] + n[6] + n[5] + n[7:] for n in names[:200]]
+    d = spark.createDataFrame([(i, n, DAY + dt.timedelta(i % 5)) for i, n in enumerate(names)], "id long, vendor string, date date").select("id", F.col("id").alias("input_idx"), "vendor", F.lit("5000").cast("decimal(18,4)").alias("total"), "date", F.lit(TODAY).alias("today"), F.lit(None).cast("string").alias("invoice_number"))
+    kept, priors = history.keyed(d, None, Config(), TODAY)
+    cut = {(r["id"], r["p_id"]) for r in history.near_pairs(kept, priors, Config(), cell_rows=100).select("id", "p_id").collect()}
+    whole = {(r["id"], r["p_id"]) for r in history.near_pairs(kept, priors, Config(), cell_rows=10**6).select("id", "p_id").collect()}
+    assert cut == whole and len(cut) < 0.02 * len(names) ** 2
+    assert {(i, 3000 + i) for i in range(200) if 0.92 <= similarity(names[i], names[3000 + i]) < 1} <= cut
+    kept.unpersist()
+
+
+def numbered(spark, rows):
+    made = [(i, i, "Run Co", DAY - dt.timedelta(age), D(total), f"N-{n}", TODAY) for i, (n, age, total) in enumerate(rows)]
+    d = spark.createDataFrame(made, schema(spark, "id long, input_idx long, vendor string, date date, total decimal(18,4), invoice_number string, today date"))
+    return history.keyed(d, None, Config(), TODAY)
+
+
+def test_runs_of_many_numbers(spark):
+    n = 100_000
+    d = spark.range(n).select("id", F.col("id").alias("input_idx"), F.lit("Run Co").alias("vendor"), F.lit(DAY).alias("date"), (F.col("id") * 7 + 3).cast("decimal(18,4)").alias("total"), F.concat(F.lit("N-"), (F.col("id") + 1000).cast("string")).alias("invoice_number"), F.lit(TODAY).alias("today"))
+    kept, priors = history.keyed(d, None, Config(), TODAY)
+    found = history.sequential_bounds(kept, priors, Config())
+    assert found.agg(F.count("*"), F.min("run_length"), F.max("run_length"), F.min("first"), F.max("last")).first() == (n, n, n, 1000, 1000 + n - 1)
+    kept.unpersist()
+
+
+def test_runs_match_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([4090, 8190, 50]) + rng.randrange(14), rng.choice([5, 100, 300]), rng.choice(["20.11", "20.12", "977.41", "1234.56"])) for _ in range(90)]
+    kept, priors = numbered(spark, rows)
+    want = {}
+    for i, (n, age, total) in enumerate(rows):
+        anchor = TODAY - dt.timedelta(180)
+        seen = {}
+        for j, (m, old, amount) in enumerate(rows):
+            close = abs(D(amount) - D(total)) <= abs(D(total)) * D("0.0055") + D("0.01")
+            if j != i and (DAY - dt.timedelta(old) >= anchor or close):
+                seen[m] = min(j, seen.get(m, j))
+        lo = hi = n
+        while lo - 1 in seen:
+            lo -= 1
+        while hi + 1 in seen:
+            hi += 1
+        if hi - lo + 1 >= 3:
+            want[i] = (hi - lo + 1, lo, hi, sorted(seen[x] for x in range(lo, hi + 1) if x != n))
+    lists = history.sequential_runs(kept, priors, Config())
+    assert {r["id"]: (r["run_length"], r["first"], r["last"], r["related"]) for r in lists.collect()} == want and len(want) > 20
+    bounds = history.sequential_bounds(kept, priors, Config())
+    assert {r["id"]: (r["run_length"], r["first"], r["last"]) for r in bounds.collect()} == {k: v[:3] for k, v in want.items()}
+    kept.unpersist()
+
+
+def test_hot_groups_make_no_pairs(spark):
+    """A supplier's 600 equal documents: two minima for P-002, one list for P-017, no pair rows."""
+    d = spark.range(600).select("id", F.col("id").alias("input_idx"), F.lit("One").alias("vendor"), F.lit(DAY).alias("date"), F.lit("9500").cast("decimal(18,4)").alias("total"), F.lit("A-1").alias("invoice_number"), F.lit(TODAY).alias("today"))
+    kept, priors = history.keyed(d, None, Config(), TODAY)
+    assert {r["match"] for r in history.duplicates(kept, priors, Config()).select(F.get("finding.related", F.lit(0)).alias("match")).distinct().collect()} == {0, 1}
+    for rule in (history.reused_numbers, history.splitting):
+        found = rule(kept, priors, Config())
+        assert found.select(F.size("finding.related").alias("n")).distinct().collect() == [(599,)]
+        assert plan_of(found).count("SortMergeJoin") + plan_of(found).count("BroadcastHashJoin") <= (rule is history.reused_numbers)
+    kept.unpersist()
+
+
 def test_verdicts_and_order(spark):
     d = docs(spark, {}, {"total": D("500")}, {"total": D("20000"), "date": None, "confidence": 0.1})
     r = {x["id"]: x for x in audit_batch(d, None, Config(), TODAY).results.collect()}
@@ -148,7 +219,7 @@ def test_similarity_of_many_pairs_at_once(spark):
     names = ["".join(rng.choice("abcd é") for _ in range(rng.randint(0, 14))) for _ in range(150)]
     names += [n[:2] + n[3:] for n in names] + [n[:1] + n[1:3][::-1] + n[3:] for n in names if len(n) > 6]
     pairs = [(rng.choice(names), rng.choice(names)) for _ in range(3000)] + [(n, n[:1] + n[1:3][::-1] + n[3:]) for n in names] + [("x" * 400, "x" * 399 + "y"), (None, "a"), ("a", None)]
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", jaro_winkler("a", "b").alias("s"), may_reach(F.col("a"), F.col("b"), 0.92).alias("may")).collect()
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", jaro_winkler("a", "b").alias("s"), may_match(F.col("a"), signature(F.col("a")), F.col("b"), signature(F.col("b")), 0.92).alias("may")).collect()
     for a, b, s, may in got:
         want = None if a is None or b is None else similarity(a, b)
         assert s == want or abs(s - want) < 1e-12
