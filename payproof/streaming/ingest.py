@@ -19,9 +19,7 @@ def audit_micro_batch(batch: DataFrame, batch_id: int, ledger: Ledger, config: C
     if ledger.holds(name) or batch.isEmpty():
         return
     docs = batch.persist()
-    ids = docs.select("id")
-    past = ledger.history(None).join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
-    report = audit_batch(docs, past, config, today)
+    report = audit_batch(docs, ledger.history_of(docs, config.near_dup_window_days), config, today)
     ledger.record(docs, report.results, dt.datetime.now(), name)
     report.release()
     docs.unpersist()

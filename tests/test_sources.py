@@ -74,8 +74,9 @@ def test_ledger_reviews_and_stream(spark, tmp_path):
     assert ledger.read("extractions").count() == 1 and ledger.read("findings").where("policy_title is not null").count() == 1
     assert ledger.history(day).count() == 1 and ledger.history(day + dt.timedelta(1)).count() == 0 and ledger.history(day, exclude=1).count() == 0
     said = spark.createDataFrame([(f"{batch}-2", 1, "ann", "approved", None, dt.datetime(2026, 7, 1)), (f"{batch}-2", 2, "bob", "rejected", None, dt.datetime(2026, 7, 1)), (f"{batch}-1", 3, "bob", "approved", None, dt.datetime(2026, 7, 1))], "run_id string, decision_id long, reviewer string, decision string, note string, decided_at timestamp")
-    ledger.review(said)
-    reviews = ledger.read("review_decisions")
+    ledger.review(said, "first")
+    ledger.review(said, "first")
+    reviews = ledger.committed("review_decisions")
     assert {r["decision_id"]: r["overrides_verdict"] for r in reviews.collect()} == {1: True, 2: False, 3: False}
     assert {r["run_id"]: r["reviewer"] for r in reports.latest_reviews(reviews).collect()} == {"b1-2": "bob", "b1-1": "bob"}
     inbox = tmp_path / "inbox"
@@ -83,10 +84,37 @@ def test_ledger_reviews_and_stream(spark, tmp_path):
     for _ in range(2):
         stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", True).parquet(str(inbox))
         audit_stream(stream, ledger, str(tmp_path / "cp"), Config(), TODAY, availableNow=True).awaitTermination()
-    found = ledger.read("findings").where("document_id = 5").collect()
+    before = {t: ledger.committed(t).drop("attempt").count() for t in ("findings", "extractions", "audit_runs", "review_decisions")}
+    ledger.compact(dt.datetime(2026, 7, 2))
+    assert before == {t: ledger.committed(t).drop("attempt").count() for t in before} and ledger.attempts().count() == 1 and ledger.holds("b1")
+    found = ledger.committed("findings").where("document_id = 5").collect()
     assert [f["rule_id"] for f in found] == ["P-002"] and found[0]["related"] == [1]
 
 
+def test_one_of_two_racing_writers_counts(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    rows = docs(spark, {"id": 1, "vendor": "Acme"}, {"id": 2, "vendor": "Bob"})
+    kinds = "id long, verdict string, worst_severity string, not_evaluated array<string>, findings array<struct<rule_id: string, severity: string, summary: string, evidence: map<string,string>, related: array<bigint>>>"
+    results = spark.createDataFrame([(1, "pass", None, [], []), (2, "pass", None, [], [])], kinds)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: ledger.record(rows, results, dt.datetime(2026, 6, 30), "same"), range(4)))
+    assert ledger.read("commits").count() == 1 and ledger.committed("audit_runs").count() == 2 and ledger.committed("extractions").count() == 2
+    assert not ledger.commit("same", "late", dt.datetime(2026, 6, 30)) and ledger.committed("audit_runs").count() == 2
+
+
+def test_micro_batches_read_their_partitions_alone(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    past = docs(spark, *[{"id": 100 + i, "vendor": f"Supplier {i}", "date": dt.date(2020 + i % 6, 1 + i % 12, 10)} for i in range(60)])
+    ledger.record(past, audit_batch(past, None, Config(), TODAY).results, dt.datetime(2026, 6, 30), "b1")
+    new = docs(spark, {"id": 1, "vendor": "SUPPLIER 7", "date": dt.date(2022, 3, 28)}, {"id": 107, "vendor": None})
+    rows = ledger.history_of(new, 7)
+    assert {r["document_id"] for r in rows.collect()} == {i for i in range(100, 160) if (2020 + (i - 100) % 6, 1 + (i - 100) % 12) in ((2022, 3), (2022, 4))}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and plan.count("bucket#") > 2 and "IN (2022-03,2022-04)" in plan.replace("'", "")
+
+
 def test_intake_and_manifest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, body in (("a.pdf", b"%PDF-1.4 x"), ("b.pdf", b"%PDF /Encrypt"), ("c.png", b""), ("d.png", b"\x89PNG\r\n\x1a\n.."), ("e.jpg", b"nope")):
