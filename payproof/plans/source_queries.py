@@ -61,11 +61,11 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path).select("id", "vendor", "total", "date", invoice_key(F.col("invoice_number")).alias("ikey"))
 
 
-@query(docs_sql("SELECT row_number() OVER (ORDER BY id) AS place, vendor, total, date FROM keyed WHERE id < 900000000"))
+@query(docs_sql("SELECT row_number() OVER (ORDER BY id) AS place, vendor, total, date FROM keyed"))
 def csv_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list whose ids repeat is counted from 1 by its rows."""
     path = shared_path(spark, "repeated.csv")
-    d = model.documents(spark, sf_dir).where("id < 900000000")
+    d = model.documents(spark, sf_dir)
     write_csv(d.orderBy("id").select((F.col("id") % 10).alias("document_id"), "vendor", F.col("date").cast("string").alias("date"), F.col("total").cast("decimal(18,2)").alias("value")), path)
     return read_csv(spark, path).select(F.col("id").alias("place"), "vendor", "total", "date")
 
@@ -125,10 +125,10 @@ def receipt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.receipts(table(spark, sf_dir, "orders").select(k.alias("id"), json.alias("json"))).select("id", "total", "subtotal", "tax", F.size("line_items").alias("n_items"), lines.alias("lines"), "adjusted")
 
 
-@query(docs_sql("SELECT id, vendor, CAST(date AS VARCHAR) AS date, total, key AS vendor_key FROM keyed WHERE id < 900000000"))
+@query(docs_sql("SELECT id, vendor, CAST(date AS VARCHAR) AS date, total, key AS vendor_key FROM keyed"))
 def key_value_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled fields under their usual names."""
-    k, d = F.col("id"), model.documents(spark, sf_dir).where("id < 900000000")
+    k, d = F.col("id"), model.documents(spark, sf_dir)
     at = lambda rest, c: F.when(k % 3 == rest, F.col(c).cast("string"))
     named = {"company": at(0, "vendor"), "vendor": at(1, "vendor"), "supplier": at(2, "vendor"), "date": at(0, "date"), "invoice_date": F.coalesce(at(1, "date"), at(2, "date")), "total": at(0, "cents"), "amount": at(1, "cents"), "total_amount": at(2, "cents")}
     rows = d.withColumn("cents", F.col("total").cast("decimal(18,2)")).select("id", F.to_json(F.struct(*[v.alias(c) for c, v in named.items()])).alias("json"))

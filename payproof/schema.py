@@ -16,10 +16,10 @@ LEDGER = f"document_id bigint, vendor string, total {MONEY}, date date, invoice_
 FINDING = "struct<rule_id: string, severity: string, summary: string, evidence: map<string,string>, related: array<bigint>>"
 
 #: The audit ledger: append-only tables, and what those that are read by ranges are partitioned by.
-PARTITIONS = {"extractions": ("month", "bucket")}
+PARTITIONS = {"extractions": ("year", "bucket")}
 TABLES = {
     "documents": "document_id bigint, filename string, ingestion_status string, reject_reason string, sha256 string, created_at timestamp, attempt string",
-    "extractions": f"document_id bigint, vendor string, date date, total {MONEY}, subtotal {MONEY}, tax {MONEY}, line_items string, signature_present boolean, confidence double, invoice_number string, currency string, attempt string, month string, bucket int",
+    "extractions": f"document_id bigint, vendor string, date date, total {MONEY}, subtotal {MONEY}, tax {MONEY}, line_items string, signature_present boolean, confidence double, invoice_number string, currency string, attempt string, month string, year int, bucket int",
     "audit_runs": "run_id string, document_id bigint, verdict string, worst_severity string, fields string, config string, not_evaluated array<string>, started_at timestamp, finished_at timestamp, attempt string",
     "findings": "run_id string, document_id bigint, rule_id string, policy_title string, policy_text string, severity string, summary string, evidence string, related array<bigint>, attempt string",
     "trace_steps": "run_id string, step_index int, tool string, args string, result string, ok boolean, error string, duration_ms double, note string, attempt string",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,36 +120,109 @@ def map_headers(headers: list[str], profile: Profile) -> dict[str, int]:
     return out
 
 
-MAX_HASHED = 1 << 29
+#: Bytes of a file that a row may hold; larger ones are hashed line by line.
+WHOLE = 1 << 26
+
 
+def file_hash(spark: SparkSession, path: str, whole: int = WHOLE) -> str | None:
+    """The sha256 of the one file at ``path``, null for a folder of several.
 
-def file_hash(spark: SparkSession, path: str) -> str | None:
-    """The sha256 of the one file at ``path``."""
-    files = spark.read.format("binaryFile").load(path)
-    if files.select("path", "length").where(F.col("length") <= MAX_HASHED).limit(2).count() != 1 or files.select("path").limit(2).count() != 1:
+    A file of up to ``whole`` bytes is hashed as it is.  The lines of a larger one go, sorted by their places, through one
+    incremental digest: no task holds more than a line, though one task sees all, as a digest has an order.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length").limit(2).collect()
+    if len(files) != 1:
         return None
-    return files.select(F.sha2("content", 256).alias("h")).first()["h"]
+    if files[0]["length"] <= whole:
+        return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).first()["h"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"))
+    length = files[0]["length"]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, size, state = 0, 0, hashlib.sha256()
+        for b in batches:
+            for line in b.column(2).to_pylist():
+                state.update(b"\n" + line if n else line)
+                size += len(line) + (n > 0)
+                n += 1
+        if size < length:
+            state.update(b"\n")
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["h"])
+
+    return lines.repartition(1).sortWithinPartitions("block", "place").mapInArrow(digest, "h string").first()["h"]
+
+
+#: A quoted field with its quotes, and a quote that opens a field.
+QUOTED, OPENED = r'(^|,)[ \t]*"(?:[^"]|"")*+"(?=[ \t]*(?:,|$))', r'(^|,)[ \t]*"'
+
+
+def running(frame: W, out: str, into: str) -> tuple[Column, Column]:
+    """Whether text is inside quotes after all rows of a frame, if it was not before (first column) or was (second).
+
+    Each row has ``out`` and ``into``, the same for itself, and ``_flips`` so far.  Rows either fix the state, flip it or leave it, so the last that fixed
+    it and the flips since say all: a scan without an order of evaluation.
+    """
+    fixed = F.col(out) == F.col(into)
+    last = F.last(F.when(fixed, F.struct(F.col(out).alias("v"), F.col("_flips").alias("n"))), ignorenulls=True).over(frame)
+    odd = lambda n: n % 2 == 1
+    since = lambda start: F.when(last.isNotNull(), last["v"] != odd(F.col("_flips") - last["n"])).otherwise(F.lit(start) != odd(F.col("_flips")))
+    return since(False), since(True)
+
+
+def scanned(rows: DataFrame, part: list[str], order: list[str], out: str, into: str, names: tuple[str, str]) -> DataFrame:
+    """``rows`` with ``running`` states as two more columns."""
+    frame = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_flips", F.sum((F.col(out) & ~F.col(into)).cast("long")).over(frame))
+    a, b = running(frame, out, into)
+    return rows.withColumns({names[0]: a, names[1]: b}).drop("_flips")
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(input_idx, record) of CSV text from 1: lines, and those that a quoted line break joins, as one text.
+
+    Files are read in blocks by many tasks.  Each line says whether it ends inside quotes for either state it may begin
+    in; scans inside a block, and over one row per block, fix the states.  Only lines of records that are broken are shuffled.  Blank
+    lines between records do not count.  Text that is not UTF-8 is read as ISO-8859-1.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), "value")
+    if raw.where(~F.is_valid_utf8("value")).limit(1).count():
+        raw = raw.withColumn("value", F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    rest = lambda text: F.regexp_replace(text, QUOTED, "$1")
+    closed = F.regexp_extract("value", r'^(?:[^"]|"")*+"(?!")([^"].*|)$', 1)
+    ends = F.col("value").rlike(r'^(?:[^"]|"")*+"(?!")')
+    lines = raw.withColumns({"out": rest(F.col("value")).rlike(OPENED), "into": F.when(ends, rest(closed).rlike(OPENED)).otherwise(True)})
+    lines = scanned(lines, ["f", "b"], ["m"], "out", "into", ("end_out", "end_in"))
+    whole = scanned(lines.groupBy("f", "b").agg(F.max_by("end_out", "m").alias("out"), F.max_by("end_in", "m").alias("into")), ["f"], ["b"], "out", "into", ("a", "z"))
+    begins = whole.select("f", "b", F.coalesce(F.lag("a").over(W.partitionBy("f").orderBy("b")), F.lit(False)).alias("begin"))
+    own = W.partitionBy("f", "b").orderBy("m")
+    lines = lines.join(F.broadcast(begins), ["f", "b"]).withColumn("end", F.when(F.col("begin"), F.col("end_in")).otherwise(F.col("end_out")))
+    lines = lines.withColumn("start", F.coalesce(F.lag("end").over(own), F.col("begin"))).where(F.col("start") | (F.trim("value") != ""))
+    lines = lines.withColumn("nth", F.sum((~F.col("start")).cast("long")).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    counts = lines.groupBy("f", "b").agg(F.max("nth").alias("n"))
+    before = counts.select("f", "b", F.coalesce(F.sum("n").over(W.orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    lines = lines.join(F.broadcast(before), ["f", "b"]).withColumn("input_idx", F.col("before") + F.col("nth"))
+    single = lines.where(~F.col("start") & ~F.col("end")).select("input_idx", F.col("value").alias("record"))
+    parts = F.array_sort(F.collect_list(F.struct("f", "b", "m", "value")))
+    joined = lines.where(F.col("start") | F.col("end")).groupBy("input_idx").agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("record"))
+    return single.unionByName(joined)
 
 
 def read_csv(spark: SparkSession, path: str, profile: Profile = Profile(), sha256: str | None = None) -> DataFrame:
     """Documents of a CSV file.  Amounts and dates are read leniently, blank rows are skipped, texts are cut to 512
     characters; ids that are missing or not unique make the whole file count from 1.  Files that are not UTF-8 are read as
-    ISO-8859-1.  A file with line breaks inside quotes is read by one task, others are split.  ``sha256`` is that of the file, of
-    up to MAX_HASHED bytes, unless given; a folder of several files has none."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    broken = spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+    ISO-8859-1.  Line breaks inside quotes do not keep a file from being split.  ``sha256`` is that of the file unless given; a
+    folder of several files has none."""
     sha256 = sha256 or file_hash(spark, path)
-
-    def read(encoding: str) -> DataFrame:
-        return spark.read.option("header", False).option("multiLine", broken).option("encoding", encoding).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-
-    raw = read("UTF-8")
-    if raw.where(F.concat_ws("", *raw.columns).contains("�")).limit(1).count():
-        raw = read("ISO-8859-1")
-    names = raw.columns
-    rows = numbered(raw.select(*names, "_metadata"))
-    head = rows.where("input_idx = 1").first()
-    at = map_headers([head[n] for n in names], profile)
+    records = csv_records(spark, path)
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    first = records.where("input_idx = 1").select("record").first()
+    if first is None:
+        raise ValueError("no header row")
+    head = next(csv.reader(first["record"].splitlines(keepends=True)))
+    names = [f"_c{i}" for i in range(len(head))]
+    parsed = F.from_csv("record", ", ".join(f"{n} string" for n in names), options)
+    rows = records.select("input_idx", parsed.alias("r")).select("input_idx", "r.*")
+    at = map_headers(head, profile)
     get = lambda f: F.nullif(F.trim(F.col(names[at[f]])), F.lit("")) if f in at else F.lit(None).cast("string")
     body = rows.where("input_idx > 1").where(F.trim(F.concat_ws("", *names)) != "")
     cap = lambda f: F.substring(F.regexp_replace(get(f), r"\p{Cc}", ""), 1, MAX_TEXT)

@@ -16,7 +16,7 @@ from ..policies import policies
 from ..schema import PARTITIONS, TABLES, columns
 
 #: Parts that suppliers are dealt into by a hash of their keys.  A ledger keeps the number it was begun with.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def month_of(date: Column) -> Column:
@@ -39,7 +39,7 @@ class Ledger:
         """Each attempt writes a folder of its own, a partition, so that writers at one time do not meet."""
         parts = PARTITIONS.get(table, ())
         rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns(TABLES[table]).items() if c != "attempt"])
-        (rows.repartition(*parts) if parts else rows).write.mode("append").partitionBy(*parts).parquet(f"{self.path}/{table}/attempt={attempt}")
+        (rows.repartition(*parts).sortWithinPartitions(*parts, "date") if parts else rows).write.mode("append").partitionBy(*parts).parquet(f"{self.path}/{table}/attempt={attempt}")
 
     def read(self, table: str) -> DataFrame:
         reader = self.spark.read.schema(TABLES[table])
@@ -93,7 +93,7 @@ class Ledger:
         stamp = F.lit(at).cast("timestamp")
         docs = documents.withColumn("document_id", F.col("id"))
         self.append("documents", docs.select("document_id", F.col("source.file").alias("filename"), "ingestion_status", "reject_reason", F.col("source.sha256").alias("sha256"), stamp.alias("created_at")), number)
-        self.append("extractions", docs.where("ingestion_status = 'accepted'").withColumns({"line_items": F.to_json("line_items"), "month": month_of(F.col("date")), "bucket": bucket_of(F.col("vendor"))}), number)
+        self.append("extractions", docs.where("ingestion_status = 'accepted'").withColumns({"line_items": F.to_json("line_items"), "month": month_of(F.col("date")), "year": F.year("date"), "bucket": bucket_of(F.col("vendor"))}), number)
         found = results.select(run.alias("run_id"), F.col("id").alias("document_id"), F.explode("findings").alias("f")).select("run_id", "document_id", "f.rule_id", "f.severity", "f.summary", F.to_json("f.evidence").alias("evidence"), "f.related")
         texts = policies(self.spark).select(F.col("policy_id").alias("rule_id"), F.col("title").alias("policy_title"), F.col("text").alias("policy_text"))
         self.append("findings", found.join(F.broadcast(texts), "rule_id", "left"), number)
@@ -143,21 +143,23 @@ class Ledger:
         """Past documents with a supplier and a date, from ``cutoff`` on if that is given: filters that reach the scan."""
         rows = self.committed("extractions").where(F.col("vendor").isNotNull() & F.col("date").isNotNull())
         if cutoff is not None:
-            rows = rows.where((F.col("month") >= cutoff.strftime("%Y-%m")) & (F.col("date") >= F.lit(cutoff)))
+            rows = rows.where((F.col("year") >= cutoff.year) & (F.col("date") >= F.lit(cutoff)))
         if exclude is not None:
             rows = rows.where(F.col("document_id") != exclude)
         return rows.select("document_id", "vendor", "total", "date", "invoice_number")
 
     def history_of(self, documents: DataFrame, days: int) -> DataFrame:
         """What controls may compare ``documents`` with: past documents of their suppliers, and those of any supplier in
-        the months that ``days`` around their dates reach.  Partitions that hold neither are not read.  The lists of buckets and
-        months that go to the scan have 64 entries and two a month at most; ids of the documents themselves are left out."""
+        the months that ``days`` around their dates reach.  Partitions that hold neither are not read, and inside a year's files the
+        months are found by their statistics.  The lists that go to the scan have 16 buckets and the documents' months at most; ids of
+        the documents themselves are left out."""
         dated = documents.select("id", vendor_key(F.col("vendor")).alias("name"), bucket_of(F.col("vendor")).alias("bucket"), F.array(month_of(F.date_sub("date", days)), month_of(F.date_add("date", days))).alias("months")).where("name <> ''")
         got = dated.agg(F.collect_set("bucket").alias("b"), F.array_distinct(F.flatten(F.collect_set("months"))).alias("m")).first()
         buckets, months = got["b"], [m for m in got["m"] if m]
-        rows = self.committed("extractions").where(F.col("vendor").isNotNull() & F.col("date").isNotNull() & (F.col("bucket").isin(buckets) | F.col("month").isin(months)))
+        timely = F.col("year").isin(sorted({int(m[:4]) for m in months})) & F.col("month").isin(months)
+        rows = self.committed("extractions").where(F.col("vendor").isNotNull() & F.col("date").isNotNull() & (F.col("bucket").isin(buckets) | timely))
         mine = rows.where(F.col("bucket").isin(buckets)).withColumn("name", vendor_key(F.col("vendor"))).join(dated.select("name").distinct(), "name", "left_semi").drop("name")
-        near = rows.where(F.col("month").isin(months)).withColumn("name", vendor_key(F.col("vendor"))).join(dated.select("name").distinct(), "name", "left_anti").drop("name")
+        near = rows.where(timely).withColumn("name", vendor_key(F.col("vendor"))).join(dated.select("name").distinct(), "name", "left_anti").drop("name")
         past = mine.unionByName(near).select("document_id", "vendor", "total", "date", "invoice_number")
         return past.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_anti")
 
