@@ -58,6 +58,13 @@ def money_text(amount: Column) -> Column:
     return F.regexp_replace(amount.cast("decimal(38,6)").cast("string"), r"(\.\d\d)(\d*?)0+$", "$1$2")
 
 
+def share_text(share: Column) -> Column:
+    """A share from 0 to 1 with two decimals, rounded by its exact binary value: 0.975 is a little less and gives 0.97."""
+    exact = (share * float(1 << 53)).cast("long")
+    hundredths = F.shiftright(exact * 200 + (1 << 53), 54)
+    return F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100)
+
+
 def id_list(ids: Column) -> Column:
     """``#1, #2`` with five ids at most and how many more there are."""
     shown = F.array_join(F.transform(F.slice(ids, 1, 5), lambda i: F.concat(F.lit("#"), i.cast("string"))), ", ")

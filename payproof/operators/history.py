@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as T
 from ..functions.similarity import jaro_winkler, may_match, signature
-from .rows import cat, evidence, finding, money, say
+from .rows import cat, evidence, finding, money, say, worded
 
 LEDGER_FROM = 1 << 50
 #: Priors from here on are no documents of the batch.
@@ -131,7 +131,7 @@ def duplicates(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
     pair = two.groupBy(*same).agg(F.min_by("id", "place").alias("one"), F.max_by("id", "place").alias("two"), F.count("*").alias("n")).where("n = 2").drop("n")
     hit = meet(docs.where("key <> ''"), pair, same).withColumn("match", F.when(F.col("one") != F.col("id"), F.col("one")).otherwise(F.col("two")))
     said = cat("same supplier, amount ", say(F.col("total")), " and date ", F.col("date").cast("string"), " as #", F.col("match").cast("string"))
-    return hit.select("id", finding("P-002", said, evidence(matched_document_id=F.col("match"), total=say(F.col("total")), date=F.col("date")), F.array("match")).alias("finding"))
+    return hit.select("id", finding("P-002", said, evidence(matched_document_id=F.col("match"), total=say(F.col("total")), date=F.col("date")), F.array("match"), message=worded("P-002", match=F.col("match"), total=say(F.col("total")), date=F.col("date"))).alias("finding"))
 
 
 def blocks(day: Column, reach: int, size: int) -> Column:
@@ -168,7 +168,7 @@ def splitting(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
     rest = F.aggregate("found", F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + x["total"]).cast("decimal(28,4)"))
     combined, n = (F.col("total") + rest), (F.size("found") + 1).cast("string")
     said = cat(n, f" docs within {window} days just under limit ", say(limit), ", combined ", say(combined))
-    return hit.select("id", finding("P-011", said, evidence(combined_total=say(combined), limit=say(limit), related_document_ids=id_text(F.col("found")), window_days=F.lit(window)), ids(F.col("found"))).alias("finding"))
+    return hit.select("id", finding("P-011", said, evidence(combined_total=say(combined), limit=say(limit), related_document_ids=id_text(F.col("found")), window_days=F.lit(window)), ids(F.col("found")), message=worded("P-011", n=n, window=str(window), limit=say(limit), combined=say(combined))).alias("finding"))
 
 
 def amount_cells(total: Column, ratio: Decimal, reach: bool) -> Column:
@@ -258,9 +258,11 @@ def near_findings(hits: DataFrame, config: Config) -> DataFrame:
     hit = hits.groupBy("id", "total", "date").agg(F.array_sort(F.collect_list(in_order(late, joined_prior, *more))).alias("found"))
     first = F.element_at("found", 1)
     again = F.exists("found", lambda x: (x["sim"] >= 1.0) & (x["p_total"] == F.col("total")))
-    said = cat("near-duplicate of #", first["id"].cast("string"), " (amount ", say(first["p_total"]), " vs ", say(F.col("total")), ", ", first["p_date"].cast("string"), " vs ", F.col("date").cast("string"), ", name sim ", F.format_string("%.2f", first["sim"]), ")")
+    said = cat("near-duplicate of #", first["id"].cast("string"), " (amount ", say(first["p_total"]), " vs ", say(F.col("total")), ", ", first["p_date"].cast("string"), " vs ", F.col("date").cast("string"), ", name sim ", T.share_text(first["sim"]), ")")
     proof = evidence(matched_document_ids=id_text(F.col("found")), amount_tolerance_ratio=F.lit(str(config.near_dup_amount_ratio)), window_days=F.lit(config.near_dup_window_days), best_similarity=F.round(first["sim"], 2))
-    return hit.select("id", finding("P-016", said, proof, ids(F.col("found")), F.when(again, "high").otherwise("medium")).alias("finding"))
+    others = F.when(F.size("found") > 1, worded("P-016 more", others=F.size("found") - 1)).otherwise("")
+    told = worded("P-016", first=first["id"], more=others, amount=say(first["p_total"]), total=say(F.col("total")), then=first["p_date"], date=F.col("date"), similarity=T.share_text(first["sim"]))
+    return hit.select("id", finding("P-016", said, proof, ids(F.col("found")), F.when(again, "high").otherwise("medium"), message=told).alias("finding"))
 
 
 def reused_numbers(docs: DataFrame, priors: DataFrame, config: Config) -> DataFrame:
@@ -270,7 +272,7 @@ def reused_numbers(docs: DataFrame, priors: DataFrame, config: Config) -> DataFr
     lists = usable(priors).groupBy("key", "ikey").agg(F.collect_list(listed()).alias("all")).where(F.size("all") > 1)
     hit = meet(usable(docs), lists, ["key", "ikey"]).withColumn("found", members(config, F.col("all"))).where(F.size("found") > 0)
     said = cat("invoice number reused on ", T.id_list(ids(F.col("found"))))
-    return hit.select("id", finding("P-017", said, evidence(invoice_number_key=F.col("ikey"), matched_document_ids=id_text(F.col("found"))), ids(F.col("found"))).alias("finding"))
+    return hit.select("id", finding("P-017", said, evidence(invoice_number_key=F.col("ikey"), matched_document_ids=id_text(F.col("found"))), ids(F.col("found")), message=worded("P-017", number=F.col("ikey"), ids=T.id_list(ids(F.col("found"))))).alias("finding"))
 
 
 #: Serial numbers that one window sorts at most.
@@ -344,7 +346,7 @@ def sequential_numbers(docs: DataFrame, priors: DataFrame, config: Config) -> Da
     """P-018: consecutive invoice numbers from one supplier."""
     said = cat(F.col("run_length").cast("string"), " consecutive invoice numbers ", F.col("first").cast("string"), "..", F.col("last").cast("string"))
     proof = evidence(run_length=F.col("run_length"), first=F.col("first"), last=F.col("last"), related_document_ids=F.concat(F.lit("["), F.array_join(F.col("related").cast("array<string>"), ","), F.lit("]")))
-    return sequential_runs(docs, priors, config).select("id", finding("P-018", said, proof, F.col("related")).alias("finding"))
+    return sequential_runs(docs, priors, config).select("id", finding("P-018", said, proof, F.col("related"), message=worded("P-018", n=F.col("run_length"), first=F.col("first"), last=F.col("last"))).alias("finding"))
 
 
 HistoryRule = Callable[[DataFrame, DataFrame, Config], DataFrame]
@@ -355,4 +357,4 @@ def unapproved_in(documents: DataFrame, approved: DataFrame) -> DataFrame:
     """P-012 against a table of approved suppliers (vendor): an anti join on their keys."""
     keys = approved.select(T.vendor_key(F.col("vendor")).alias("_k")).distinct()
     named = documents.where("vendor is not null").select("id", "vendor", T.vendor_key(F.col("vendor")).alias("key"))
-    return named.join(keys, F.col("key") == F.col("_k"), "left_anti").select("id", finding("P-012", F.lit("supplier not on approved list"), evidence(vendor=F.col("vendor"))).alias("finding"))
+    return named.join(keys, F.col("key") == F.col("_k"), "left_anti").select("id", finding("P-012", F.lit("supplier not on approved list"), evidence(vendor=F.col("vendor")), message=worded("P-012", vendor=F.col("vendor"))).alias("finding"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import history, population, reports
 from ..operators.rows import RULES, intake_rejected, prepared, with_findings
-from ..policies import POLICIES
+from ..policies import MESSAGES, POLICIES
 from . import model
 from .audit import BatchReport, audit_batch, audit_requests
 from .model import DOCUMENTS_SQL, table
@@ -244,6 +245,49 @@ def all_sql(body: str, *more: str) -> str:
     return docs_sql(body, *HISTORY_SQL, *more)
 
 
+def worded_sql(which: str, **values: str) -> str:
+    """A wording as SQL text."""
+    parts = re.split(r"\{(\w+)\}", MESSAGES[which])
+    return " || ".join(["'" + x.replace("'", "''") + "'" if i % 2 == 0 else f"CAST({values[x]} AS VARCHAR)" for i, x in enumerate(parts) if x])
+
+
+SUB = M.format("subtotal")
+TAXED = M.format("subtotal + tax")
+DIFFERS = M.format("abs(total - (subtotal + tax))")
+ROW_MESSAGES = {
+    "P-001": f"CASE WHEN total IS NULL THEN {worded_sql('P-001')} ELSE {worded_sql('P-001 bare', total=TOTAL, limit="'75.00'")} END",
+    "P-003": worded_sql("P-003"),
+    "P-004": worded_sql("P-004"),
+    "P-005": worded_sql("P-005", age="today - date", window="90"),
+    "P-006": worded_sql("P-006", date="date"),
+    "P-007": f"CASE WHEN tax IS NOT NULL THEN {worded_sql('P-007 total', label="'subtotal'", base=SUB, tax=M.format('tax'), expected=TAXED, total=TOTAL, difference=DIFFERS)} WHEN subtotal > total + {TOL} THEN {worded_sql('P-007 subtotal', base=SUB, total=TOTAL)} ELSE {worded_sql('P-007 uplift', total=TOTAL, label="'subtotal'", base=SUB)} END",
+    "P-008": worded_sql("P-008", total=TOTAL, limit="'2500.00'"),
+    "P-009": worded_sql("P-009", total=TOTAL, limit="'10000.00'"),
+    "P-010": worded_sql("P-010", total=TOTAL),
+    "P-013": worded_sql("P-013", confidence="CAST(round(confidence * 100) AS INTEGER) || '%'", least="'60%'"),
+}
+IDS = "array_to_string(list_transform(list_slice(string_split(related, ','), 1, 5), lambda x: '#' || x), ', ') || CASE WHEN len(string_split(related, ',')) > 5 THEN ' (+' || (len(string_split(related, ',')) - 5) || ' more)' ELSE '' END"
+FIRST = "ORDER BY late, CASE WHEN late THEN ptotal END, pid"
+TOLD_SQL = f"""nearest AS (SELECT id, first(pid {FIRST}) AS pid, first(ptotal {FIRST}) AS ptotal, first(pdate {FIRST}) AS pdate, first(sim {FIRST}) AS sim, count(*) AS n FROM hits GROUP BY id
+), histories AS (
+  SELECT id, 'P-002' AS rule_id, {worded_sql('P-002', match='match', total=TOTAL, date='date')} AS message FROM dup JOIN keyed USING (id)
+  UNION ALL SELECT id, 'P-011', {worded_sql('P-011', n='n', window='14', limit="'10000.00'", combined=M.format('combined'))} FROM split
+  UNION ALL SELECT id, 'P-016', {worded_sql('P-016', first='pid', more="CASE WHEN n > 1 THEN " + worded_sql('P-016 more', others='n - 1') + " ELSE '' END", amount=M.format('ptotal'), total=TOTAL, then='pdate', date='date', similarity="format('{:.2f}', sim)")} FROM nearest JOIN keyed USING (id)
+  UNION ALL SELECT id, 'P-017', {worded_sql('P-017', number='invoice_key', ids=IDS)} FROM reused
+  UNION ALL SELECT id, 'P-018', {worded_sql('P-018', n='run_length', first='first', last='last')} FROM seq)"""
+
+
+@query(all_sql(" UNION ALL ".join([f"SELECT id, '{r}' AS rule_id, {m} AS message FROM keyed WHERE ingestion_status = 'accepted' AND ({next(w for x, _, w, _ in ROW_SQL if x == r)})" for r, m in ROW_MESSAGES.items()] + [f"SELECT id, 'P-014', {worded_sql('P-014', reason="'blank page'")} FROM keyed WHERE ingestion_status <> 'accepted'", "SELECT id, rule_id, message FROM histories WHERE id NOT IN (SELECT id FROM keyed WHERE ingestion_status <> 'accepted' OR vendor IS NULL)"]), TOLD_SQL))
+def finding_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of the whole audit in words."""
+    return report(spark, sf_dir).findings().select("id", "rule_id", "message")
+
+
+@query(docs_sql(f"SELECT id, {worded_sql('P-012', vendor='vendor')} AS message FROM keyed WHERE vendor IS NOT NULL AND key NOT IN (SELECT key FROM approved)", APPROVED_SQL))
+def p012_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.unapproved_in(model.documents(spark, sf_dir), approved(spark, sf_dir)).select("id", "finding.message")
+
+
 @query(all_sql("SELECT id, verdict, worst_severity, controls FROM results"))
 def verdict_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).results.select("id", "verdict", "worst_severity", F.array_join("findings.rule_id", " ").alias("controls"))

@@ -13,7 +13,7 @@ SOURCE = "struct<file: string, row: bigint, sha256: string, url: string>"
 PRIOR = f"struct<document_id: bigint, vendor: string, total: {MONEY}, date: date, invoice_number: string>"
 DOCUMENT = f"id bigint, input_idx bigint, vendor string, date date, total {MONEY}, subtotal {MONEY}, tax {MONEY}, line_items array<{LINE_ITEM}>, signature_present boolean, confidence double, invoice_number string, currency string, today date, ingestion_status string, reject_reason string, source {SOURCE}"
 LEDGER = f"document_id bigint, vendor string, total {MONEY}, date date, invoice_number string"
-FINDING = "struct<rule_id: string, severity: string, summary: string, evidence: map<string,string>, related: array<bigint>>"
+FINDING = "struct<rule_id: string, severity: string, summary: string, evidence: map<string,string>, related: array<bigint>, message: string>"
 
 #: The audit ledger: append-only tables, and what those that are read by ranges are partitioned by.
 PARTITIONS = {"extractions": ("year", "bucket")}

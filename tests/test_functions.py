@@ -60,3 +60,11 @@ def test_similarity_is_a_share(a, b):
     if s >= 0.92 and a and b:
         jaro = (0.92 - 0.4) / 0.6
         assert min(len(a), len(b)) >= max(len(a), len(b)) * (3 * jaro - 2) - 1e-9
+
+
+def test_shares_round_by_their_binary_value(spark):
+    from payproof.functions.text import share_text
+
+    values = [0.0, 1.0, 0.975, 0.935, 0.925, 0.985, 0.9999, 0.004, 0.1, 0.92]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(share_text(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in got] == [f"{v:.2f}" for v in values]
