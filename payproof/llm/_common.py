@@ -6,7 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +72,23 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def apart(*needed: str) -> Callable:
+    """For functions that return their input's columns and perhaps more: columns other than ``needed`` go through under names
+    that nothing inside uses and come back under their own.  Where an added column has the name of one, the added one stays."""
+
+    def around(f: Callable) -> Callable:
+        @wraps(f)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            held = {c if c in needed else f"_held{i}": c for i, c in enumerate(docs.columns)}
+            out = f(docs.toDF(*held), *args, **options)
+            added = [c for c in out.columns if c not in held]
+            return out.select(*[F.col(h).alias(c) for h, c in held.items() if c not in added], *added)
+
+        return run
+
+    return around
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, sliced
+from ._common import apart, materialize, sliced
 
 #: A walk takes this many steps per word of an item.
 STRETCH = 1.5
@@ -269,6 +269,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return joined.select("doc_id", "h", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<struct<item_id: long, edits: long, last_word: long>>")).alias("items"))
 
 
+@apart("doc_id", "text")
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents in which a benchmark item was found; all columns stay."""
     met = find_matches(docs, benchmark, **options).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()

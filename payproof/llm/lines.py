@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import apart, materialize
 
 
 def chunks(docs: DataFrame, window: int = 2, one_in: int = 3) -> DataFrame:
@@ -58,6 +58,7 @@ def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3) -> DataFr
     return same.select("id", "t", F.struct("k", "m").alias("cut")).groupBy("id", "t").agg(F.collect_set("cut").alias("cuts"))
 
 
+@apart("doc_id", "text")
 def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3) -> DataFrame:
     """``docs`` with globally repeated chunks of two or more lines taken out of ``text``; two more columns tell how many
     lines (``n_lines_removed``) and characters (``n_chars_removed``, line ends included) went.

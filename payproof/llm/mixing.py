@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize
+from ._common import WORD, apart, materialize
 
 SLICES = 4096
 
@@ -138,6 +138,7 @@ def mix_by_source(docs: DataFrame, **options) -> DataFrame:
     return one.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "size", "source_size", "target", "taken", "copies", "source", "h")
 
 
+@apart("doc_id", "text", "source")
 def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """All rows and columns of ``docs``, each with the words that the mix takes of it and how often: ``size``, ``source_size``,
     ``target``, ``taken`` and ``copies`` (columns of these names give way).  Repeated rows share out their copies."""

@@ -56,13 +56,14 @@ class DecisionList:
         return F.expr(self.sql())
 
 
-def learn(labelled: DataFrame, most_rows: int = 200_000, edges: int = 40, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9, least: int = 15) -> DecisionList:
+def learn(labelled: DataFrame, most_rows: int = 200_000, edges: int = 40, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9, least: int = 5, share: float = 0.01, z: float = 1.28, bound: float = 0.75) -> DecisionList:
     """Sequential covering over ``labelled`` (the columns of ``features`` and a boolean ``bad``).
 
     A rule grows on half of the rows, by the condition with the best information gain each time, and is pruned on a
-    quarter to the prefix of conditions with the best share of bad rows less good ones.  It is kept if at least
-    ``precision`` of what it covers in the last quarter is bad; rows it covers leave; learning stops when no such rule covers
-    ``least`` bad rows.  The driver sees only counts per feature, quantile bin and label.  Above ``most_rows`` labelled rows, a
+    quarter to the prefix of conditions with the best share of bad rows less good ones.  It is kept if of what it covers in the
+    last quarter, rows of its own, at least ``precision`` is bad and the lower bound of that share (Wilson's, at ``z``) is
+    ``bound`` or more, which takes five bad rows.  Rows it covers leave; learning stops when no such rule covers ``share`` of the
+    growing half's bad rows, or ``least`` of them.  The driver sees only counts per feature, quantile bin and label.  Above ``most_rows`` labelled rows, a
     part chosen by hash is used: the documented bound of the sample.
     """
     n = labelled.count()
@@ -88,7 +89,8 @@ def learn(labelled: DataFrame, most_rows: int = 200_000, edges: int = 40, most_r
             out = out & test(c)
         return out
 
-    left, rules = F.lit(True), []
+    bad = rows.where(grow & F.col("bad")).count()
+    left, rules, least = F.lit(True), [], max(least, math.ceil(share * bad))
     for _ in range(most_rules):
         rule: list[tuple[int, bool, int]] = []
         while len(rule) < most_conditions:
@@ -102,13 +104,21 @@ def learn(labelled: DataFrame, most_rows: int = 200_000, edges: int = 40, most_r
         held = rows.where(left & prune).agg(*[F.count_if(every(rule[:k]) & F.col("bad")).alias(f"p{k}") for k in range(1, len(rule) + 1)], *[F.count_if(every(rule[:k]) & ~F.col("bad")).alias(f"q{k}") for k in range(1, len(rule) + 1)]).first()
         k = max(range(1, len(rule) + 1), key=lambda k: ((held[f"p{k}"] - held[f"q{k}"]) / max(1, held[f"p{k}"] + held[f"q{k}"]), held[f"p{k}"]))
         p, q = rows.where(left & accept & every(rule[:k])).agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
-        if p < max(1, least // 4) or p < precision * (p + q):
+        if p < precision * (p + q) or lower_bound(p, p + q, z) < bound:
             break
         rules.append([(RATIOS[f], above, float(cuts[RATIOS[f]][j - 1])) for f, above, j in rule[:k]])
         left = left & ~every(rule[:k])
     return DecisionList(rules)
 
 
+def lower_bound(hits: int, n: int, z: float) -> float:
+    """Wilson's lower bound of a share."""
+    if not n:
+        return 0.0
+    p, zz = hits / n, z * z / n
+    return (p + zz / 2 - z * math.sqrt((p * (1 - p) + zz / 4) / n)) / (1 + zz)
+
+
 def condition_of(seen: dict[tuple[int, int], tuple[int, int]], cuts: list[int], least: int) -> tuple[int, bool, int] | None:
     """The condition with the greatest gain: covered bad rows times the growth of the log of their share."""
     best, top = None, 1e-9

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, sliced
+from ._common import apart, materialize, sliced
 from ._graph import components, spanning
 
 BITS = 64
@@ -128,6 +128,7 @@ def rooted_fingerprints(docs: DataFrame, shingle: int, distance: int, blocks: in
     return fp, values.join(found, values["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
+@apart("doc_id", "text")
 def simhash_first(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest (doc_id, text hash), null ids last.
 

@@ -46,6 +46,37 @@ def test_quality_rules_learn_and_reject(spark):
     assert quality.judge(docs.where("false"), labels)[0].count() == 0
 
 
+def test_quality_learns_from_few_rows_and_verdicts_follow_the_list(spark):
+    """Forty bad rows are enough for a rule; ``kept`` is what the list says when it is read rule by rule."""
+    rows = [(i, prose(i, 60) if i % 5 else " ".join(f"x{j}###" for j in range(60))) for i in range(200)] + awkward(9)[:7]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    out, rules = quality.judge(documents(spark, rows), labels)
+    assert rules.rules
+    for r in out.collect():
+        failed = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+        rejects = any(all(r[f"r_{f}"] > t if above else r[f"r_{f}"] <= t for f, above, t in rule) for rule in rules.rules)
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and not rejects)
+    assert quality.lower_bound(4, 4, 1.28) < 0.75 < quality.lower_bound(5, 5, 1.28)
+
+
+CLASHES = ("_id", "_t", "_new", "cuts", "n_lines_removed", "_h", "_n", "_s", "_d", "h", "id", "t", "k", "fp", "root", "first", "size", "taken", "items", "a", "b", "node", "key")
+
+
+def test_no_column_name_clashes(spark):
+    from payproof.llm import decontaminate, minhash
+
+    rows = [(i, prose(i, 40) + "\nsame line here\nand one more line\n" + prose(i + 100, 20), f"s{i % 3}") for i in range(30)] + [(31, None, None), (32, "", "s0")]
+    docs = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in CLASHES]) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    bench = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    added = {"n_lines_removed", "size", "taken"}
+    for f, more in ((lines.dedup_lines, ()), (mixing.mixed_documents, ()), (decontaminate.drop_contaminated, (bench,)), (minhash.near_first, ()), (simhash.simhash_first, ())):
+        out = f(docs, *more)
+        assert len(set(out.columns)) == len(out.columns) and set(docs.columns) <= set(out.columns)
+        own = [c for c in CLASHES if c not in added or f not in (lines.dedup_lines, mixing.mixed_documents)]
+        got = out.collect()
+        assert len(got) > 20 and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in own)
+
+
 def test_quality_uses_no_python_on_executors(spark):
     plan = quality.features(documents(spark, awkward()))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
