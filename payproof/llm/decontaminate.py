@@ -36,34 +36,45 @@ class Index:
         self.seqs = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in toks]) for _, toks in items]
         self.n = np.array([len(s) for s in self.seqs], np.int64)
         self.edits = np.where(self.n < least, 0, np.floor(self.n * (1 - similarity) + 1e-9)).astype(np.int64)
-        self.longest = int(self.n.max(initial=1))
+        self.begin, self.flat = np.cumsum(self.n) - self.n, np.concatenate([*self.seqs, np.empty(0, np.int64)])
+        self.kind = np.frexp(self.n)[1]
         self.direct = self.n > most_walked if direct is None else direct
         self.steps = int(STRETCH * self.n[~self.direct].max(initial=1))
-        self.table = np.zeros((len(self.seqs), self.longest), np.int64)
-        for x, s in enumerate(self.seqs):
-            self.table[x, : len(s)] = s
         self.runs = [self.run_table(g) for g in sorted({self.gram(n, e) for n, e in zip(self.n, self.edits)})]
         self.bits = rng.integers(0, 2, (self.steps, most_walks, 1024), dtype=np.int8).astype(bool)
         self.places = rng.random((most_walks, sample))
         self.walks = walks or most_walks
         self.bits, self.places = self.bits[:, : self.walks], self.places[: self.walks]
-        self.own = self.keys(self.table, self.n, self.n)
+        self.own = np.zeros((len(self.n), self.walks), np.int64)
+        walked = np.flatnonzero(~self.direct)
+        for at in self.classes(walked):
+            x = walked[at]
+            rows, inside = self.cut(self.flat, self.begin[x], self.begin[x] + self.n[x], int(self.n[x].max()))
+            self.own[x] = self.keys(rows, inside, self.n[x])
         self.recall = 1.0
         if items and walks is None:
             need, reached = [1], [1.0]
-            kind = np.frexp(self.n)[1]
-            for c in np.unique(kind[~self.direct]):
-                members = np.flatnonzero((kind == c) & ~self.direct)
+            for c in np.unique(self.kind[~self.direct]):
+                members = np.flatnonzero((self.kind == c) & ~self.direct)
                 met = np.logical_or.accumulate(self.agreeing(members[rng.integers(0, len(members), 400)], rng), axis=1).mean(0)
                 enough = int(np.searchsorted(met, recall))
                 if enough < most_walks:
                     need.append(enough + 1)
                     reached.append(float(met[enough]))
                 else:
-                    self.direct = self.direct | (kind == c)
+                    self.direct = self.direct | (self.kind == c)
             self.walks, self.recall = max(need), min(reached)
             self.bits, self.places, self.own = self.bits[:, : self.walks], self.places[: self.walks], self.own[:, : self.walks]
 
+    def classes(self, items: np.ndarray, together: int | None = None) -> Iterator[np.ndarray]:
+        """Places of a list of items, those of one doubling of length at a time, 4,096 at most and ``together`` words of
+        windows if given (but 16 items): what an item costs is bounded by its own length, not by the longest of its block."""
+        for c in np.unique(self.kind[items]):
+            at = np.flatnonzero(self.kind[items] == c)
+            step = len(at) if together is None else max(16, min(4096, together >> int(c)))
+            for k in range(0, len(at), step):
+                yield at[k : k + step]
+
     def agreeing(self, pick: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """For an edited copy of each picked item and each walk, whether a candidate window agrees with the item."""
         out = np.zeros((len(pick), self.walks), bool)
@@ -156,10 +167,12 @@ class Index:
     def matches(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which candidates match, with the place after their last word and their edits.
 
-        A candidate is an item and a window start inside the text flat[begin:end].  Those that agree with their item in a walk,
+        A candidate is an item and a window start inside the text flat[begin:end]; windows are as wide as the longest item given,
+        so items come in ``classes`` of like length.  Those that agree with their item in a walk,
         and all of direct items, are verified by the exact edit distance between the item and the best stretch of the window and e words around it.
         """
         n, e = self.n[item], self.edits[item]
+        longest = int(n.max(initial=1))
         held = self.direct[item]
         walked = np.flatnonzero(~held)
         if len(walked):
@@ -169,16 +182,17 @@ class Index:
         met = np.flatnonzero(held)
         item, n, e = item[met], n[met], e[met]
         left = np.maximum(begin[met], start[met] - e)
-        wide = self.longest + 2 * int(self.edits.max(initial=0))
+        wide = longest + 2 * int(e.max(initial=0))
         rows, inside = self.cut(flat, left, np.minimum(end[met], start[met] + n + e), wide)
+        wanted, _ = self.cut(self.flat, self.begin[item], self.begin[item] + n, longest)
         cost = np.zeros((len(met), wide + 1), np.int64)
         ids = np.arange(wide + 1)
         best, where = np.full(len(met), 1 << 30), np.zeros(len(met), np.int64)
         past = ids[None] > inside[:, None]
-        for i in range(1, self.longest + 1):
+        for i in range(1, longest + 1):
             new = np.empty_like(cost)
             new[:, 0] = i
-            new[:, 1:] = np.minimum(cost[:, 1:] + 1, cost[:, :-1] + (rows != self.table[item, i - 1][:, None]))
+            new[:, 1:] = np.minimum(cost[:, 1:] + 1, cost[:, :-1] + (rows != wanted[:, i - 1][:, None]))
             cost = np.minimum.accumulate(new - ids, axis=1) + ids
             done = np.flatnonzero(n == i)
             if len(done):
@@ -217,7 +231,6 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 index = Index(sent.value[0], similarity, recall, walks=sent.value[1], least=least, direct=sent.value[2])
-                together = max(16, min(at_once, 2_000_000 // index.longest))
                 get = index.vocabulary.get
                 for b in sliced(batches, 1000):
                     seqs = [np.fromiter((get(w, 0) for w in ws.split()), np.int64) for ws in b.column(2).to_pylist()]
@@ -229,8 +242,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
                     def close() -> None:
                         row, item, start = (np.concatenate(v) for v in zip(*queue))
                         queue.clear()
-                        for a in range(0, len(row), together):
-                            r, x, s = row[a : a + together], item[a : a + together], start[a : a + together]
+                        for a in index.classes(item, 2_000_000):
+                            r, x, s = row[a], item[a], start[a]
                             begin = ends[r] - np.array([len(seqs[i]) for i in r])
                             good, last, edits = index.matches(flat, begin, ends[r], x, begin + s)
                             out.append([r[good], np.array(index.ids, object)[x[good]], last - begin[good], edits])

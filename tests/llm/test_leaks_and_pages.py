@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -85,6 +86,25 @@ def test_long_items_and_large_vocabularies_are_found():
     assert all(met[:5]) and np.mean(met) >= 0.95
 
 
+def test_a_long_item_does_not_slow_short_ones():
+    def found(items):
+        index = decontaminate.Index(items)
+        text = np.array([w for k in range(40) for w in (*index.seqs[k], 0)], np.int64)
+        item, start = index.candidates(text)
+        out, begun = [], time.process_time()
+        for at in index.classes(item, 2_000_000):
+            zero = np.zeros(len(at), np.int64)
+            good, last, edits = index.matches(text, zero, zero + len(text), item[at], start[at])
+            out += zip(item[at][good].tolist(), last.tolist(), edits.tolist())
+        return sorted(out), time.process_time() - begun
+
+    short = [(i, prose(i, 60, 5000).split()) for i in range(40)]
+    alone, _ = found(short)
+    mixed, seconds = found([*short, (99, prose(99, 8000, 5000).split())])
+    assert [x for x in mixed if x[0] < 40] == alone and len({x for x, _, e in alone if e == 0}) == 40
+    assert seconds < 1
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body><nav><ul><li>menu one</ul></nav><!-- <p>no</p> --><div class="ad">buy this</div>%s<footer>&copy; us</footer></body></html>'
 
 
