@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from ..functions.dates import lenient_date, strict_date
 from ..functions.money import lenient_money, strict_money
 from ..functions.text import clean_text
 from ..schema import DOCUMENT, MAX_LINE_ITEMS, MAX_TEXT, PRIOR, columns
+from . import json_blocks
 
 #: Keys that a document, its parts and a request may have.
 FIELD_KEYS = ("vendor", "date", "total", "subtotal", "tax", "line_items", "signature_present", "confidence", "invoice_number", "currency")
@@ -74,34 +76,60 @@ def parse_json(objects: DataFrame, label: str, keys: tuple[str, ...] = DOCUMENT_
     return d.select(*[made[c].cast(t).alias(c) for c, t in columns(DOCUMENT).items()], history.alias("history"))
 
 
-def read_json(spark: SparkSession, path: str, profile: Profile = Profile()) -> tuple[DataFrame, DataFrame | None, Config, str | None]:
+#: Bytes of a file that a row may hold; larger ones are read in blocks.
+WHOLE = 1 << 26
+
+
+def read_json(spark: SparkSession, path: str, profile: Profile = Profile(), whole: int = WHOLE) -> tuple[DataFrame, DataFrame | None, Config, str | None]:
     """Documents with ``history``, ledger, config and audit date of a JSON file.
 
     An array is a batch; an object with ``documents`` is a batch with its own config, history and today, which come before
     the profile's; any other object is one request, where the profile's config comes first.  A file of one object per
-    line (.jsonl, .ndjson) is a batch that is read in parallel.
+    line (.jsonl, .ndjson) is a batch that is read in parallel.  Of an array or batch of over ``whole`` bytes, or in a folder whose
+    files in order are one text, elements are found in blocks by many tasks (``json_blocks``).
     """
     label = path.rstrip("/").rsplit("/", 1)[-1]
     if path.endswith((".jsonl", ".ndjson")):
         lines = numbered(spark.read.text(path).where("trim(value) <> ''").select("value", "_metadata")).select("input_idx", F.col("value").alias("json"))
         return parse_json(lines, label), None, profile.config, profile.today
-    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
-    shape = whole.select(F.ltrim("json").startswith("[").alias("batch"), F.get_json_object("json", "$.documents").alias("documents"), F.get_json_object("json", "$.config").alias("config"), F.get_json_object("json", "$.today").alias("today"), F.get_json_object("json", "$.history").alias("history")).first()
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(path).select("length").limit(2).collect()]
+    if len(sizes) > 1 or sizes and sizes[0] > whole:
+        found = read_json_blocks(spark, path, label, profile)
+        if found is not None:
+            return found
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
+    shape = text.select(F.ltrim("json").startswith("[").alias("batch"), F.get_json_object("json", "$.documents").alias("documents"), F.get_json_object("json", "$.config").alias("config"), F.get_json_object("json", "$.today").alias("today"), F.get_json_object("json", "$.history").alias("history")).first()
     array = F.col("json") if shape["batch"] else F.get_json_object("json", "$.documents") if shape["documents"] else F.concat(F.lit("["), F.col("json"), F.lit("]"))
     single = not shape["batch"] and not shape["documents"]
-    objects = whole.select(F.posexplode(F.from_json(array, "array<string>")).alias("at", "json")).select((F.col("at") + 1).cast("long").alias("input_idx"), "json")
-    import json as _json
-
-    own = _json.loads(shape["config"]) if shape["config"] else None
+    objects = text.select(F.posexplode(F.from_json(array, "array<string>")).alias("at", "json")).select((F.col("at") + 1).cast("long").alias("input_idx"), "json")
+    own = json.loads(shape["config"]) if shape["config"] else None
     config = Config.of(own) if own and (not single or profile.config == Config()) else profile.config
     ledger = None
     if shape["documents"] and shape["history"]:
-        p = whole.select(F.explode(F.from_json(F.get_json_object("json", "$.history"), f"array<{TEXT_PRIOR}>")).alias("p"))
-        ledger = p.select(F.coalesce(F.col("p.document_id").try_cast("bigint"), F.lit(1)).alias("document_id"), clean_text(F.col("p.vendor")).alias("vendor"), strict_money(F.col("p.total")).alias("total"), strict_date(F.col("p.date")).alias("date"), clean_text(F.col("p.invoice_number")).alias("invoice_number"))
+        ledger = priors(text.select(F.explode(F.from_json(F.get_json_object("json", "$.history"), f"array<{TEXT_PRIOR}>")).alias("p")))
     docs = parse_json(objects, label, REQUEST_KEYS if single else DOCUMENT_KEYS)
     return (docs if single else require_unique(docs)), ledger, config, shape["today"] or profile.today
 
 
+def priors(rows: DataFrame) -> DataFrame:
+    """Ledger rows from a column p of texts."""
+    return rows.select(F.coalesce(F.col("p.document_id").try_cast("bigint"), F.lit(1)).alias("document_id"), clean_text(F.col("p.vendor")).alias("vendor"), strict_money(F.col("p.total")).alias("total"), strict_date(F.col("p.date")).alias("date"), clean_text(F.col("p.invoice_number")).alias("invoice_number"))
+
+
+def read_json_blocks(spark: SparkSession, path: str, label: str, profile: Profile) -> tuple[DataFrame, DataFrame | None, Config, str | None] | None:
+    """What ``read_json`` returns for a batch, read in blocks; nothing for a single request."""
+    first = spark.read.option("lineSep", "}").text(path).orderBy("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    batch = first["c"] == "["
+    found = json_blocks.parts(json_blocks.pieces(spark, path), batch)
+    around = {} if batch else json_blocks.around(found)
+    if not batch and "documents" not in around:
+        return None
+    config = Config.of(around["config"]) if around.get("config") else profile.config
+    history = json_blocks.elements(found, "history").select(F.from_json("json", TEXT_PRIOR).alias("p"))
+    docs = parse_json(json_blocks.elements(found, "documents"), label, DOCUMENT_KEYS)
+    return require_unique(docs), priors(history) if "history" in around else None, config, around.get("today") or profile.today
+
+
 def header_key(name: str) -> str:
     """Trimmed, without a byte order mark, ASCII lower case, runs of space as one."""
     return " ".join("".join(c.lower() if c.isascii() else c for c in (name or "").strip().lstrip("﻿")).split())
@@ -120,10 +148,6 @@ def map_headers(headers: list[str], profile: Profile) -> dict[str, int]:
     return out
 
 
-#: Bytes of a file that a row may hold; larger ones are hashed line by line.
-WHOLE = 1 << 26
-
-
 def file_hash(spark: SparkSession, path: str, whole: int = WHOLE) -> str | None:
     """The sha256 of the one file at ``path``, null for a folder of several.
 

@@ -100,6 +100,27 @@ def test_csv_in_blocks_equals_one_reader(spark, tmp_path):
     assert [next(csv.reader([x])) if "\n" not in x else next(csv.reader(x.splitlines(keepends=True))) for x in got] == want
 
 
+def test_json_lists_in_blocks(spark, tmp_path):
+    rows = [{"id": i + 1, "vendor": ["plain", 'a "}{][" b', "back\\", "é, {\n", None][i % 5], "total": f"{i}.50", "line_items": [{"name": "x}]", "amount": "1"}, {"name": "[", "amount": "2"}][: i % 3], "date": "2026-01-02"} for i in range(60)]
+    history = [{"document_id": 900 + i, "vendor": "p}", "total": "3.25", "date": "2026-01-01", "invoice_number": f"N{i}"} for i in range(7)]
+    config = {"approval_limit": "777.00"}
+    bodies = [json.dumps(rows), json.dumps(rows, indent=1), json.dumps({"config": config, "documents": rows, "history": history, "today": "2026-02-03"}), json.dumps({"today": "2026-02-03", "history": history, "documents": rows, "config": config}, indent=2) + "\n", json.dumps({"documents": rows, "history": [], "note": {"documents": [{"a": 1}]}}, ensure_ascii=False)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for i, body in enumerate(bodies):
+        path = write(tmp_path / f"{i}.json", body)
+        want = documents.read_json(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        try:
+            got = documents.read_json(spark, path, whole=0)
+            assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 5
+            both = [sorted(map(str, d.collect())) for d in (got[0], want[0])]
+            assert both[0] == both[1] and len(both[0]) == 60
+            assert got[2:] == want[2:]
+            assert sorted(map(str, got[1].collect() if got[1] else [])) == sorted(map(str, want[1].collect() if want[1] else []))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_hash_of_a_file_in_lines(spark, tmp_path):
     for i, body in enumerate((b"a\nb\r\n\xff\n\nlast", b"a\n", b"\n\n", b"\nx", b"x" * 3000 + b"\n" + b"y" * 10)):
         path = write(tmp_path / f"{i}.csv", body, "wb")
