@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import injection, metrics, reports
@@ -16,7 +17,7 @@ from ..schema import LINE_ITEM
 from ..sources import corpora, intake
 from ..sources.documents import read_csv, read_json
 from ..sources.ledger import Ledger
-from ..sources.shared import shared_path, write_csv, write_json_lines
+from ..sources.shared import shared_path, write_csv, write_json_lines, write_json_lists
 from . import model
 from .audit import sorted_findings, verdict, worst
 from .model import table
@@ -87,6 +88,57 @@ def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json(spark, path)[0].select("id", "vendor", "total", "date", "ingestion_status", "reject_reason")
 
 
+def listed(docs: DataFrame) -> DataFrame:
+    """Documents as objects of a JSON list: braces and quotes in some texts, nested lines in some rows."""
+    vendor = F.when(F.col("id") % 5 == 0, F.concat("vendor", F.lit(' }], "{ ['))).otherwise(F.col("vendor"))
+    line = F.struct(F.concat(F.lit("item "), F.col("id").cast("string"), F.lit(" ]}")).alias("name"), F.lit("1.00").alias("amount"))
+    return docs.select("id", vendor.alias("vendor"), F.col("total").cast("string").alias("total"), F.col("date").cast("string").alias("date"), F.when(F.col("id") % 4 == 0, F.array(line, line)).alias("line_items"))
+
+
+LISTED = "CASE WHEN id % 5 = 0 THEN vendor || ' }], \"{ [' ELSE vendor END AS vendor, total, date"
+
+
+@query(docs_sql(f"SELECT id, {LISTED}, CASE WHEN id % 4 = 0 THEN 2 ELSE 0 END AS lines FROM keyed"))
+def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through one JSON array, whose elements are found in blocks."""
+    path = shared_path(spark, "array.json")
+    write_json_lists([("[", listed(model.documents(spark, sf_dir)))], "]", path)
+    return read_json(spark, path)[0].select("id", "vendor", "total", "date", F.when(F.col("id") % 4 == 0, F.size("line_items")).otherwise(0).alias("lines"))
+
+
+@query(docs_sql(f"SELECT CASE WHEN id % 3 = 0 THEN 'prior' ELSE 'document' END AS part, id, {LISTED}, CAST(777.5 AS DECIMAL(18,2)) AS approval_limit, '2026-02-03' AS today FROM keyed"))
+def json_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and ledger through one JSON object with settings of its own, read in blocks."""
+    path = shared_path(spark, "batch.json")
+    rows = listed(model.documents(spark, sf_dir))
+    history = rows.where("id % 3 = 0").select("id", F.col("id").alias("document_id"), "vendor", "total", "date")
+    write_json_lists([('{"config": {"approval_limit": "777.50"}, "history": [', history), ('], "documents": [', rows.where("id % 3 <> 0"))], '], "today": "2026-02-03"}', path)
+    docs, ledger, config, today = read_json(spark, path)
+    both = docs.select(F.lit("document").alias("part"), "id", "vendor", "total", "date").unionByName(ledger.select(F.lit("prior").alias("part"), F.col("document_id").alias("id"), "vendor", "total", "date"))
+    return both.select("*", F.lit(config.approval_limit).cast("decimal(18,2)").alias("approval_limit"), F.lit(today).alias("today"))
+
+
+SHEETS_SQL = """WITH r AS (SELECT l_orderkey AS o, l_linenumber AS l, 'sheet' || (l_suppkey % 7) AS sheet, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CAST(l_suppkey AS VARCHAR) AS s, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS d FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY o, l, amount, d, s) + 4 AS row FROM r),
+k AS (SELECT *, CASE WHEN o % 10 = 0 THEN sheet || ':' || row ELSE CAST(o AS VARCHAR) END AS key FROM n WHERE l <> 7 AND o % 13 <> 0),
+g AS (SELECT key, min(sheet || lpad(CAST(row AS VARCHAR), 12, '0')) AS first, sum(amount) AS total, arg_min(s, sheet || lpad(CAST(row AS VARCHAR), 12, '0')) AS s, arg_min(d, sheet || lpad(CAST(row AS VARCHAR), 12, '0')) AS date FROM k GROUP BY key),
+i AS (SELECT *, row_number() OVER (ORDER BY first) - 1 AS n FROM g)
+SELECT CASE WHEN contains(key, ':') THEN 10000000 + n ELSE CAST(key AS BIGINT) END AS id, 'Supplier ' || s AS vendor, date, CAST(total AS DECIMAL(18,2)) AS total, substr(first, 1, 6) AS sheet, CAST(substr(first, 7) AS BIGINT) AS row FROM i"""
+
+
+@query(SHEETS_SQL)
+def spending_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets without marked headers, whose columns stand in another order in each: header rows found, transactions added up."""
+    r = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("sheet"), (F.col("l_suppkey") % 7).cast("string")).alias("sheet"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_suppkey").alias("s"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("a"), F.col("l_shipdate").cast("date").cast("string").alias("d"))
+    row = F.row_number().over(W.partitionBy("sheet").orderBy("o", "l", F.col("a").cast("decimal(18,2)"), "d", F.col("s").cast("string"))) + 4
+    cells = {"Supplier": F.when(F.col("o") % 13 != 0, F.concat(F.lit(" Supplier "), F.col("s").cast("string"))), "Amount": F.when(F.col("l") == 7, "n/a").otherwise(F.col("a")), "Date": F.concat("d", F.lit(" 00:00:00")), "Transaction Number": F.when(F.col("o") % 10 == 0, "n/k").otherwise(F.concat(F.col("o").cast("string"), F.lit(".0")))}
+    turned = F.col("sheet").isin("sheet2", "sheet5")
+    turn = lambda xs: F.when(turned, F.array(*reversed(xs))).otherwise(F.array(*xs))
+    body = r.select("sheet", row.cast("long").alias("row"), turn(list(cells.values())).alias("cells"))
+    top = r.select("sheet").distinct().select("sheet", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("row"), F.array(F.lit("Spending over 25,000")).alias("cells")), F.struct(F.lit(4).cast("long").alias("row"), turn([F.lit(f" {c.upper()}") for c in cells]).alias("cells")))).alias("x")).select("sheet", "x.row", "x.cells")
+    return corpora.spending(top.unionByName(body)).select("id", "vendor", "date", "total", "sheet", "row")
+
+
 FRAUD = "CASE id % 7 WHEN 0 THEN 'altered_total' WHEN 1 THEN 'duplicate_invoice' WHEN 2 THEN 'split_invoice' WHEN 3 THEN 'ghost_vendor' WHEN 4 THEN 'mismatched_po' ELSE 'none' END"
 
 

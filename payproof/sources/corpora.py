@@ -9,6 +9,7 @@ from ..functions.dates import lenient_date
 from ..functions.money import lenient_money, receipt_money
 from ..functions.text import vendor_key
 from ..schema import MONEY
+from .json_blocks import before
 
 #: Which control each labelled kind of fraud is the job of; kinds without one are a gap in coverage.
 FRAUD_RULES = {"none": (), "altered_total": ("P-007",), "round_number_amount": ("P-010",), "duplicate_invoice": ("P-002",), "split_invoice": ("P-011",), "ghost_vendor": ("P-012",)}
@@ -47,6 +48,39 @@ def group_spending(rows: DataFrame, key: str, amount: str, supplier: str, date:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(first(supplier).alias("vendor"), lenient_date(first(date)).alias("date"), F.sum(lenient_money(F.col(amount))).cast(MONEY).alias("total")).withColumnRenamed(key, "transaction")
 
 
+def headed(rows: DataFrame, names: tuple[str, ...], word: str = "supplier", within: int = 10) -> DataFrame:
+    """The rows under each sheet's header, with a column for each of ``names``, null where the sheet lacks it.
+
+    ``rows`` are (sheet, row, cells) without a marked header: it is the first of the first ``within`` rows in which a cell
+    holds ``word``, in any case.  Of equal headers the last counts.  Sheets without a header have no rows.
+    """
+    said = F.lower(F.array_join("cells", " "))
+    heads = rows.where((F.col("row") <= within) & F.contains(said, F.lit(word))).groupBy("sheet").agg(F.min(F.struct("row", "cells")).alias("h"))
+    keys = F.reverse(F.transform("h.cells", lambda c: F.lower(F.trim(c))))
+    place = {n: F.array_position(keys, n) for n in names}
+    at = {n: F.when(p > 0, (F.size("h.cells") - p + 1).cast("int")) for n, p in place.items()}
+    return rows.join(heads, "sheet").where(F.col("row") > F.col("h.row")).select("sheet", "row", *[F.try_element_at("cells", v).alias(n) for n, v in at.items()])
+
+
+def spending(rows: DataFrame) -> DataFrame:
+    """(id, vendor, date, total, currency, sheet, row) of spending sheets (sheet, row, cells), by date and id.
+
+    Amounts of a transaction are added up over all sheets; rows without an amount or a supplier do not count.  Supplier, date
+    and place are those of its first row.  A transaction that has no number is its row alone, and its id is ten million and the
+    number of transactions that began before it.
+    """
+    d = headed(rows, ("supplier", "amount", "date", "transaction number")).withColumn("total", lenient_money(F.col("amount")))
+    d = d.where(F.col("total").isNotNull() & (F.trim("supplier") != ""))
+    number = F.substring_index(F.trim("transaction number"), ".", 1)
+    known = F.coalesce(number.rlike("^[0-9]+$"), F.lit(False))
+    d = d.withColumn("key", F.when(known, number).otherwise(F.concat_ws(":", "sheet", F.col("row").cast("string"))))
+    first = F.min(F.struct("sheet", "row", F.trim("supplier").alias("vendor"), F.substring(F.coalesce("date", F.lit("")), 1, 10).alias("date"))).alias("first")
+    docs = d.groupBy("key").agg(first, F.bool_or(known).alias("known"), F.sum("total").cast(MONEY).alias("total"))
+    docs = docs.select("key", "known", "first.*", "total", F.col("first.sheet").alias("f"), F.floor(F.col("first.row") / 100_000).alias("b"), F.col("first.row").alias("m"))
+    made = F.when(F.col("known"), F.col("key").try_cast("bigint")).otherwise(F.col("n") + 10_000_000)
+    return before(docs, F.lit(1), "n").select(made.alias("id"), "vendor", "date", "total", F.lit("GBP").alias("currency"), "sheet", "row").orderBy("date", "id")
+
+
 def flatten_awards(pages: DataFrame) -> DataFrame:
     """Awards of paged API answers (page, results): null and zero amounts go."""
     r = pages.select("page", F.posexplode("results").alias("at", "r"))

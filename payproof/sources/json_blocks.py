@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import shared_path
+
 STRING = r'"(?:[^"\\]|\\.)*+"'
 #: Text at one depth: neither brackets nor quotes, strings, and lists of such text.
 FLAT = rf'(?:[^"\[\]{{}}]++|{STRING})'
@@ -17,6 +19,13 @@ CLOSES = rf"(?s)^({LEVEL}*+)(\].*)$"
 OPENS = rf'(?s)^([\]{{\s]*{LEVEL}*"((?:[^"\\]|\\.)*+)"\s*:\s*([\[{{]))(.*)$'
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder once, for plans that read them several times."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def before(rows: DataFrame, value: Column, out: str) -> DataFrame:
     """``rows`` (f, b, m, ...) with the sum of ``value`` over all rows before each: by blocks, then by one row per block."""
     rows = rows.withColumn("_v", value.cast("long"))
@@ -43,7 +52,8 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     begun = F.when(F.col("inside"), F.regexp_replace("value", r'(?s)^(?:[^"\\]|\\.)*+("|$)', "")).otherwise(F.col("value"))
     bare = F.regexp_replace(begun, rf'(?s){STRING}|"(?:[^"\\]|\\.)*+$', "")
     count = lambda kinds: F.length(F.regexp_replace(bare, rf"[^{kinds}]", ""))
-    return before(text, count(r"\[{") - count(r"\]}"), "depth").select("f", "b", "m", "value", "depth", "inside")
+    text = written(text.select("f", "b", "m", "value", "inside", (count(r"\[{") - count(r"\]}")).alias("more")), "braces")
+    return before(text, F.col("more"), "depth").select("f", "b", "m", "value", "depth", "inside")
 
 
 def parts(text: DataFrame, batch: bool) -> DataFrame:
@@ -92,5 +102,5 @@ def elements(found: DataFrame, key: str) -> DataFrame:
     units = units.select("at.*", text.alias("text")).where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
     read = F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>")
     units = units.select("f", "b", "m", F.coalesce(read, F.raise_error(F.concat(F.lit("not JSON: "), F.substring("text", 1, 100))).cast("array<string>")).alias("list"))
-    counted = before(units, F.size("list"), "n")
+    counted = before(written(units, "elements"), F.size("list"), "n")
     return counted.select("n", F.posexplode("list").alias("at", "json")).select((F.col("n") + F.col("at") + 1).alias("input_idx"), "json")

@@ -30,3 +30,19 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*"))).write.text(path)
+
+
+def write_json_lists(lists: list[tuple[str, DataFrame]], end: str, path: str) -> None:
+    """One JSON text in many files: for each list the text before it and its rows, which have an ``id``; then the end.
+
+    The row of the greatest id comes last, as it takes no comma."""
+    spark = lists[0][1].sparkSession
+    line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    out = None
+    for head, rows in lists:
+        made = rows.select("id", F.to_json(F.struct("*")).alias("value"))
+        last = made.orderBy(F.desc("id")).first()
+        body = made.where(F.col("id") != last["id"]).select(F.concat("value", F.lit(",")).alias("value"))
+        part = line(head).union(body).union(line(last["value"]))
+        out = part if out is None else out.union(part)
+    out.union(line(end)).write.text(path)

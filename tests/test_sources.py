@@ -205,6 +205,19 @@ def test_corpora(spark, tmp_path):
     assert r["total"] == 1150 and r["tax"] == 150 and r["line_items"][0]["amount"] == 1000 and r["adjusted"]
 
 
+def test_spending_sheets_find_their_headers(spark):
+    sheets = {
+        "a": [["Title"], [], ["Date", " SUPPLIER ", "Amount", "Transaction Number"], ["2026-01-05 00:00:00", " Acme ", "10.50", "77.0"], ["2026-01-04", "Other", "1.25", "77"], ["2026-01-03", "Bob", "n/a", "78"], ["2026-01-03", "  ", "4", "79"], ["2026-01-02", "Cy", "3", "x"]],
+        "b": [["Supplier", "Amount", "Supplier"], ["old", "-2", "Dee"], ["short"], ["e", "5", "Eve"]],
+        "c": [[f"{i}"] for i in range(12)] + [["supplier", "amount"], ["Late", "1"]],
+        "d": [["supplier", "note"], ["No amounts", "1"]],
+    }
+    rows = spark.createDataFrame([(s, i + 1, r) for s, x in sheets.items() for i, r in enumerate(x)], "sheet string, row long, cells array<string>")
+    got = [(r["id"], r["vendor"], r["date"], r["total"], r["sheet"], r["row"]) for r in corpora.spending(rows).collect()]
+    assert got == [(10_000_002, "Dee", "", D("-2"), "b", 2), (10_000_003, "Eve", "", D("5"), "b", 4), (10_000_001, "Cy", "2026-01-02", D("3"), "a", 8), (77, "Acme", "2026-01-05", D("11.75"), "a", 4)]
+    assert corpora.spending(rows.where("false")).count() == 0
+
+
 def test_search_and_metrics(spark):
     assert policies(spark).count() == 18 == len({p[0] for p in POLICIES}) and explain(spark, "p-007").first()["title"] == "Arithmetic integrity"
     q = spark.createDataFrame([("a", "duplicate invoice"), ("b", "the of and"), ("c", "sequential numbering")], "query_id string, query string")
