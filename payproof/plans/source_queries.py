@@ -211,6 +211,23 @@ def intake_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.triage(found).select(F.substring("path", 4, 20).cast("long").alias("event_id"), "kind", "ingestion_status", "reject_reason")
 
 
+#: The header of a bitmap of two pixels in a row, 24 bits each.
+BITMAP = "424D" + "00" * 8 + "36000000" + "28000000" + "02000000" + "01000000" + "0100" + "1800" + "00" * 24
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'bmp' ELSE 'pdf' END AS kind, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS ingestion_status, reason AS reject_reason FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 5 = 0 THEN 'corrupt image' WHEN (event_id // 2) % 12 < 6 THEN 'image is blank' END WHEN event_id % 7 = 0 THEN 'unreadable pdf' WHEN event_id % 11 = 0 THEN 'pdf has no pages' WHEN event_id % 3 = 0 THEN 'pdf has no text or images' END AS reason FROM events)")
+def intake_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitmaps and PDFs made of events and looked into: some blank, cut short or empty."""
+    k = F.col("event_id")
+    other = F.lpad(F.lower(F.hex(100 + F.floor(k / 2) % 12)), 2, "0")
+    bitmap = F.unhex(F.concat(F.lit(BITMAP + "646464"), other, other, other, F.lit("0000")))
+    said = F.when(k % 3 == 0, "( ) Tj").otherwise(F.format_string("(Invoice %s) Tj", k.cast("string")))
+    page = F.concat(F.lit("%PDF-1.4 "), F.when(k % 11 == 0, "<</Type /Pages>> ").otherwise("<</Type /Page>> "), said, F.when(k % 7 == 0, "").otherwise(" %%EOF")).cast("binary")
+    content = F.when(k % 2 == 1, page).when(k % 5 == 0, F.substring(bitmap, 1, 60)).otherwise(bitmap)
+    found = table(spark, sf_dir, "events").select(k.cast("string").alias("path"), content.alias("content")).select("path", F.length("content").cast("long").alias("length"), "content")
+    return intake.inspected(found).select(F.col("path").cast("long").alias("event_id"), "kind", "ingestion_status", "reject_reason")
+
+
 # --- the ledger and what is written from it -------------------------------------------------------------------------------
 
 

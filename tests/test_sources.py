@@ -1,15 +1,20 @@
 import datetime as dt
 import hashlib
 import json
+import statistics
+import struct
+import zlib
 from decimal import Decimal as D
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from payproof.config import Config, Profile
 from payproof.operators import metrics, reports, search
 from payproof.plans.audit import audit_batch
 from payproof.policies import POLICIES, explain, policies
-from payproof.sources import corpora, documents, intake
+from payproof.sources import corpora, documents, images, intake
 from payproof.sources.ledger import Ledger
 from payproof.streaming.ingest import audit_stream
 
@@ -189,6 +194,59 @@ def test_intake_and_manifest(spark, tmp_path):
     assert {r["path"]: r["status"] for r in intake.verify_manifest(spark, str(tmp_path / "in")).collect()} == {"a.pdf": "ok", "b.pdf": "changed", "gone": "missing", "../x": "refused"}
 
 
+def png(lines, colour=0, depth=8, kind=0, palette=b""):
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    width = len(lines[0]) // {0: 1, 2: 3, 3: 1}[colour] * (8 // depth)
+    body = zlib.compress(b"".join(bytes([kind]) + bytes(x) for x in lines))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(lines), depth, colour, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", body[:5]) + chunk(b"IDAT", body[5:]) + chunk(b"IEND", b"")
+
+
+def filtered(lines, kind):
+    """Lines as a PNG filter of one byte a pixel stores them."""
+    out = []
+    for y, line in enumerate(lines):
+        row = []
+        for x, v in enumerate(line):
+            a, b, c = (line[x - 1] if x else 0), (lines[y - 1][x] if y else 0), (lines[y - 1][x - 1] if x and y else 0)
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            row.append((v - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+        out.append(row)
+    return out
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 4), st.integers(0, 12), st.randoms(use_true_random=False))
+def test_blank_pngs_by_all_their_pixels(width, height, kind, spread, rng):
+    lines = [[100 + rng.randint(0, spread) for _ in range(width)] for _ in range(height)]
+    want = "image is blank" if statistics.pstdev(v for x in lines for v in x) < 3 else None
+    made = png(filtered(lines, kind), kind=kind)
+    assert images.fault("png", made) == want
+    assert images.fault("png", made[:-1]) == images.fault("png", made[:40] + bytes([made[40] ^ 1]) + made[41:]) == "corrupt image"
+
+
+def test_images_and_pages_that_hold_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    page = b"%PDF-1.4\n1 0 obj <</Type /Pages>> 2 0 obj <</Type /Page>> "
+    packed = zlib.compress(b"BT (Total 12.50) Tj ET")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02zz"
+    bmp = lambda rows: b"BM" + struct.pack("<IHHIIiiHHIIiiII", 0, 0, 0, 54, 40, 1, len(rows), 1, 24, 0, 0, 0, 0, 0, 0) + b"".join(bytes(r) + b"\0" for r in rows)
+    files = {
+        "a.png": (png([[0, 90], [0, 90]]), None), "b.png": (png([[7, 8], [7, 9]]), "image is blank"), "c.png": (b"\x89PNG\r\n\x1a\n", "corrupt image"),
+        "d.png": (png([[0, 1]], colour=3, palette=b"\0\0\0\xff\xff\xff"), None), "e.png": (png([[0, 0]], colour=3, palette=b"\0\0\0\xff\xff\xff"), "image is blank"),
+        "f.png": (png([[0b10101010]], depth=1), None), "g.png": (png([[9, 9, 9, 9, 9, 9]], colour=2), "image is blank"),
+        "h.jpg": (jpeg + b"\xff\xd9", None), "i.jpg": (jpeg, "corrupt image"), "j.bmp": (bmp([(0, 0, 0), (99, 99, 99)]), None), "k.bmp": (bmp([(9, 9, 9), (9, 9, 9)]), "image is blank"), "l.bmp": (bmp([(0, 0, 0), (99, 99, 99)])[:-5], "corrupt image"),
+        "m.pdf": (page + b"(Invoice) Tj\n%%EOF", None), "n.pdf": (page + b"( ) Tj\n%%EOF", "pdf has no text or images"), "o.pdf": (b"%PDF-1.4\n%%EOF", "pdf has no pages"), "p.pdf": (page, "unreadable pdf"),
+        "q.pdf": (page + b"stream\n" + packed + b"\nendstream\n%%EOF", None), "r.pdf": (page + b"[(a) 3 (b)] TJ /Encrypt %%EOF", "password protected"), "s.pdf": (page + b"<</Subtype /Image>>\n%%EOF", None), "t.gif": (b"plain", "unsupported format"),
+    }
+    for name, (content, _) in files.items():
+        write(tmp_path / "in" / name, content, "wb")
+    found = intake.files(spark, str(tmp_path / "in"))
+    assert {r["path"].rsplit("/", 1)[1]: r["reject_reason"] for r in intake.inspected(found).collect()} == {k: v for k, (_, v) in files.items()}
+    first = intake.first_files(spark, str(tmp_path / "in"), 3)
+    assert [r["path"][-5:] for r in first.select("path").collect()] == ["a.png", "b.png", "c.png"] and first.where("length = length(content)").count() == 3
+
+
 def test_corpora(spark, tmp_path):
     head = "invoice_id,vendor_name,invoice_date,submitted_date,currency,subtotal,tax_amount,total_amount,ocr_confidence,fraud_type"
     path = write(tmp_path / "s.csv", head + "\nINV-1,A,2026-01-01,,inr,1,2,3,0.9,none\nINV-2,G,2026-01-01,2026-01-05,usd,x,2,3,0.9,ghost_vendor\nINV-3,A,2026-01-01,,usd,1,2,3,0.9,split_invoice\n")
