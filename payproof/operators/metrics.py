@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import digits_only, plain_words
@@ -112,6 +113,21 @@ def false_alarms(results: DataFrame, adjusted: DataFrame, rule: str = "P-007") -
     return marked.agg(F.count("*").alias("documents"), F.count_if(~plain).alias("adjusted"), F.count_if("fires").alias("fired"), F.count_if(F.col("fires") & plain).alias("fired_unadjusted"), F.count_if(plain).alias("unadjusted"))
 
 
+def medians(values: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, median) of the values that are not null: the middle one, or the mean of the two in the middle.
+
+    Equal values are counted before rows meet, so a group is as long as it has different values.  Those pass through one task,
+    ordered by a window, which spills."""
+    counted = values.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    ordered = W.partitionBy("by").orderBy("v")
+    placed = counted.select("by", "v", "c", F.sum("c").over(ordered.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    total = counted.groupBy("by").agg(F.sum("c").alias("n"))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    holds = lambda at: (F.col("upto") - F.col("c") < at) & (at <= F.col("upto"))
+    one = placed.join(total.withColumnRenamed("by", "_by"), F.col("by").eqNullSafe(F.col("_by"))).where(holds(low) | holds(high))
+    return one.groupBy("by").agg(F.max("n").alias("n"), ((F.min("v") + F.max("v")) / 2).alias("median")).withColumnRenamed("by", by)
+
+
 def percent(part: Column, whole: Column) -> Column:
     """A share with one decimal and a percent sign, ``n/a`` of nothing."""
     return F.when(whole != 0, F.concat(F.format_string("%.1f", F.lit(100.0) * part / F.nullif(whole, F.lit(0))), F.lit("%"))).otherwise("n/a")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import injection, metrics, reports
+from ..operators import injection, metrics, population, reports
 from ..operators.rows import RULES, prepared, with_findings
 from ..schema import LINE_ITEM
 from ..sources import corpora, intake
@@ -19,7 +19,7 @@ from ..sources.documents import read_csv, read_json
 from ..sources.ledger import Ledger
 from ..sources.shared import shared_path, write_csv, write_json_lines, write_json_lists
 from . import model
-from .audit import sorted_findings, verdict, worst
+from .audit import BatchReport, sorted_findings, verdict, worst
 from .model import table
 from .queries import CONFIG, REVIEWS_SQL, ROW_SQL, RUNS_TABLE_SQL, SEVERITY, TOL, M, day, docs_sql, query, reviews
 
@@ -165,6 +165,26 @@ def implied_counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.counterparts(labelled(spark, sf_dir)).select("document_id", "vendor", "total", "date")
 
 
+LABELLED_LEDGER_SQL = """led AS (SELECT id AS document_id, vendor, total, date FROM lab WHERE vendor IS NOT NULL AND date IS NOT NULL
+  UNION ALL SELECT 900000 + id, vendor, CAST(CASE WHEN fraud_type = 'split_invoice' THEN 45000 + 5 * ((id * 137) % 1000) ELSE total END AS DECIMAL(18,4)), date FROM lab WHERE fraud_type IN ('duplicate_invoice', 'split_invoice') AND total IS NOT NULL AND vendor IS NOT NULL AND date IS NOT NULL)"""
+
+
+@query(docs_sql("SELECT * FROM led", LABELLED_SQL, LABELLED_LEDGER_SQL))
+def labelled_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled list as a ledger, with what its labels imply."""
+    return corpora.labelled_ledger(labelled(spark, sf_dir)).select("document_id", "vendor", "total", "date")
+
+
+@query(docs_sql("SELECT l.id AS case_id, count(p.document_id) AS priors, CAST(coalesce(sum(p.total), 0) AS DECIMAL(28,4)) AS amount, count(*) FILTER (p.document_id > 900000) AS implied FROM (SELECT *, trim(regexp_replace(lower(vendor), '[^a-z0-9]+', ' ', 'g')) AS k FROM lab WHERE vendor IS NOT NULL AND today IS NOT NULL) l JOIN (SELECT *, trim(regexp_replace(lower(vendor), '[^a-z0-9]+', ' ', 'g')) AS k FROM led) p ON p.k = l.k AND p.document_id <> l.id AND p.date >= l.today - 180 GROUP BY l.id", LABELLED_SQL, LABELLED_LEDGER_SQL))
+def case_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many priors each labelled case has in that ledger, what they sum to, and how many of them are implied."""
+    rows = labelled(spark, sf_dir)
+    number = F.regexp_extract("invoice_id", "([0-9]+)$", 1).cast("long")
+    cases = rows.select(number.alias("case_id"), number.alias("document_id"), "vendor", "today")
+    found = corpora.case_history(cases, corpora.labelled_ledger(rows))
+    return found.groupBy("case_id").agg(F.count("*").alias("priors"), F.coalesce(F.sum("prior.total"), F.lit(0)).cast("decimal(28,4)").alias("amount"), F.count_if(F.col("prior.document_id") > corpora.SYNTHETIC_FROM).alias("implied"))
+
+
 @query("SELECT o_orderkey AS id, CAST(w AS DECIMAL(18,4)) AS total, CAST(w AS DECIMAL(18,4)) AS subtotal, CAST(t AS DECIMAL(18,4)) AS tax, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS n_items, CAST(CASE WHEN o_orderkey % 2 = 0 THEN w ELSE w + 1500 END AS DECIMAL(18,4)) AS lines, o_orderkey % 5 = 0 AS adjusted FROM (SELECT *, CAST(floor(CAST(o_totalprice AS DECIMAL(18,2))) AS BIGINT) AS w, o_orderkey % 100 + CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 0 END AS t FROM orders)")
 def receipt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled receipts: amounts with dots for thousands, one item or a list, tax alone or in a list, service, discounts."""
@@ -284,6 +304,19 @@ def audit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.select("id", at("$.verdict").alias("verdict"), F.json_array_length(at("$.findings")).alias("n_findings"), F.json_array_length(at("$.reviews")).alias("n_reviews"), at("$.reviews[0].decision").alias("first_decision"))
 
 
+@query(docs_sql("SELECT runs.id, runs.verdict, (SELECT count(*) FROM rowfound f WHERE f.id = runs.id) AS n_findings, vendor, total, CAST(date AS VARCHAR) AS date, (SELECT count(*) FROM keyed) AS documents, (SELECT count(*) FROM runs WHERE verdict = 'blocked') AS blocked FROM runs JOIN keyed USING (id)", RUNS_TABLE_SQL))
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report written as one JSON object by executors and read back: documents beside the summary's counts."""
+    docs = stored(spark, sf_dir)
+    path = shared_path(spark, "report")
+    reports.write_json(BatchReport(audited(docs), population.benford(docs, CONFIG), population.digits(docs, CONFIG)), path, "documents")
+    lines = spark.read.text(path)
+    top = lines.where(F.col("value").startswith('{"version"')).select(F.concat("value", F.lit("]}")).alias("j")).select(*[F.get_json_object("j", f"$.summary.{c}").cast("long").alias(c) for c in ("documents", "blocked")])
+    one = F.from_json(F.regexp_replace("value", "^,", ""), "id long, verdict string, findings array<struct<rule_id: string>>, vendor string, total decimal(18,4), date string")
+    rows = lines.where(F.col("value").rlike('^,?[{]"id"')).select(one.alias("d")).select("d.*")
+    return rows.crossJoin(F.broadcast(top)).select("id", "verdict", F.size("findings").cast("long").alias("n_findings"), "vendor", "total", "date", "documents", "blocked")  # one row
+
+
 # --- planted anomalies ----------------------------------------------------------------------------------------------------
 
 PLANTED = ("future_dated", "round_fabricated", "altered_receipt_total", "inflated_single_line")
@@ -364,6 +397,12 @@ def field_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.field_report(values)
 
 
+@query("SELECT event_type, count(*) AS n, median(CAST(value AS DOUBLE)) AS median FROM events WHERE value IS NOT NULL GROUP BY 1")
+def median_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median of the events' values by type, as timings are reported."""
+    return metrics.medians(table(spark, sf_dir, "events"), "event_type", "value")
+
+
 @query("SELECT count(*) AS scenarios, count(*) FILTER (NOT (s AND a AND p)) AS successes, round(count(*) FILTER (NOT (s AND a AND p)) / count(*), 6) AS success_rate FROM (SELECT event_type <> 'error' AS a, event_id % 3 > 0 AS p, event_id % 10 = 0 AS s FROM events)")
 def trajectory_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes that left out the history, against the expected ones."""

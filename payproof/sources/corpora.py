@@ -39,6 +39,27 @@ def counterparts(rows: DataFrame) -> DataFrame:
     return numbered.select((SYNTHETIC_FROM + F.col("n")).alias("document_id"), "vendor", total.cast(MONEY).alias("total"), "date", F.lit(None).cast("string").alias("invoice_number"))
 
 
+def labelled_ledger(rows: DataFrame) -> DataFrame:
+    """The ledger that a labelled list is audited against: its own rows by their number, and the counterparts that its labels imply.
+
+    Rows without a supplier or a date are no priors, and labels of rows without an amount imply none."""
+    own = rows.select(F.regexp_extract("invoice_id", "([0-9]+)$", 1).cast("long").alias("document_id"), "vendor", "total", "date", F.lit(None).cast("string").alias("invoice_number"))
+    return own.unionByName(counterparts(rows.where("total is not null"))).where("vendor is not null and date is not null")
+
+
+def case_history(cases: DataFrame, ledger: DataFrame, lookback_days: int = 180) -> DataFrame:
+    """(case_id, prior) of cases (case_id, document_id, vendor, today): the ledger's rows of the same supplier, since the lookback,
+    without the case's own document."""
+    c = cases.select("case_id", F.col("document_id").alias("_own"), vendor_key(F.col("vendor")).alias("_k"), F.date_sub("today", lookback_days).alias("_since"), F.col("vendor").alias("_v")).where("_v <> ''").drop("_v")
+    p = ledger.select(vendor_key(F.col("vendor")).alias("_k"), F.col("date").alias("_d"), F.struct(*ledger.columns).alias("prior"))
+    return c.join(p, "_k").where((F.col("_d") >= F.col("_since")) & ~F.col("prior.document_id").eqNullSafe(F.col("_own"))).select("case_id", "prior")
+
+
+def scored_rules(rows: DataFrame) -> list[str]:
+    """The controls that some label of the list expects, sorted: the ones that it can score.  At most as many as there are controls."""
+    return sorted(r["r"] for r in rows.select(F.explode("expected").alias("r")).distinct().collect())
+
+
 def group_spending(rows: DataFrame, key: str, amount: str, supplier: str, date: str) -> DataFrame:
     """One document per transaction of a spending list: amounts of its rows added, supplier and date of its first row.
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import glob
 import hashlib
 import json
 import statistics
@@ -292,3 +293,42 @@ def test_search_and_metrics(spark):
     inj = spark.createDataFrame([(2, "copy", 1)], "id long, kind string, orig_id long")
     r = metrics.injected_detection(inj, audit_batch(both, None, Config(), TODAY).results, audit_batch(base, None, Config(), TODAY).results).first()
     assert (r["n"], r["automatic"], r["assisted"]) == (1, 1, 1)
+
+
+def test_reports_written_by_executors(spark, tmp_path):
+    rows = [{"total": D("60000.00") if i % 3 == 0 else D("100.37"), "vendor": f'<Ven"dor {i}>', "input_idx": 9 - i, "source": ("list.csv", i, None, None)} for i in range(8)]
+    report = audit_batch(docs(spark, *rows), None, Config(), TODAY)
+    joined = lambda at: "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{tmp_path}/{at}/part-*")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one file
+    reports.write_html_parts(report, "A & B", str(tmp_path / "page"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert joined("page").replace("\n", "") == reports.html_report(report, "A & B").replace("\n", "")
+    assert len(glob.glob(f"{tmp_path}/page/part-*")) > 1
+    reports.write_json(report, str(tmp_path / "json"), "list.csv", timing_ms={"audit": 1.5})
+    got = json.loads(joined("json"))
+    assert got["file"] == "list.csv" and got["timing_ms"] == {"audit": 1.5} and got["summary"]["documents"] == 8 and len(got["benford"]["digits"]) == 9
+    results = {r["id"]: r for r in report.results.collect()}
+    assert [d["id"] for d in got["documents"]] == [r["id"] for r in sorted(results.values(), key=lambda r: r["input_idx"])]
+    for d in got["documents"]:
+        r = results[d["id"]]
+        assert (d["verdict"], d["vendor"], [f["rule_id"] for f in d["findings"]], d["source"]["row"]) == (r["verdict"], r["vendor"], [f["rule_id"] for f in r["findings"]], r["source"]["row"])
+    reports.write_json(audit_batch(docs(spark).limit(0), None, Config(), TODAY), str(tmp_path / "none"))
+    assert json.loads(joined("none"))["documents"] == []
+
+
+def test_medians(spark):
+    rows = [("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", 1.0), ("b", 1.0), ("b", 5.0), ("b", 9.0), (None, 4.0), ("c", None)]
+    got = metrics.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()
+    assert {(r["k"], r["n"], r["median"]) for r in got} == {("a", 3, 2.0), ("b", 4, 3.0), (None, 1, 4.0)}
+
+
+def test_ledger_of_a_labelled_list(spark, tmp_path):
+    head = "invoice_id,vendor_name,invoice_date,submitted_date,currency,subtotal,tax_amount,total_amount,ocr_confidence,fraud_type\n"
+    body = "".join(f"INV-{i},{v},{d},,usd,,,{t},1,{k}\n" for i, v, d, t, k in [(1, "Acme Ltd", "2026-06-01", 10, "none"), (2, "ACME ltd.", "2026-06-02", 20, "duplicate_invoice"), (3, "Acme Ltd", "2026-06-03", "", "split_invoice"), (4, "", "2026-06-03", 5, "none"), (5, "Other", "", 5, "altered_total"), (6, "Acme Ltd", "2025-01-01", 7, "split_invoice")])
+    rows = corpora.read_labelled(spark, write(tmp_path / "l.csv", head + body))
+    ledger = corpora.labelled_ledger(rows)
+    assert sorted(r["document_id"] for r in ledger.collect()) == [1, 2, 3, 6, 900_002, 900_006]
+    assert corpora.scored_rules(rows) == ["P-002", "P-007", "P-011"]
+    cases = spark.createDataFrame([(1, 2, "acme LTD", TODAY), (2, 9, "", TODAY), (3, 3, "Acme Ltd", dt.date(2025, 3, 1))], "case_id long, document_id long, vendor string, today date")
+    found = {(r["case_id"], r["prior"]["document_id"]) for r in corpora.case_history(cases, ledger).collect()}
+    assert found == {(1, 1), (1, 3), (1, 900_002), (3, 1), (3, 2), (3, 6), (3, 900_002), (3, 900_006)}
