@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,15 +21,37 @@ LETTER = re.compile(r"[^\W\d_]")
 TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+@dataclass
+class Table:
+    """Log frequencies of entries (words, or n-grams) by language, only where an entry was seen in a language.
+
+    Entry ``index[x]`` has the cells ``starts[i]`` to ``starts[i + 1]``; a cell is a language's number and how far its log
+    frequency lies above that of an unseen entry of the same kind.
+    """
+
+    index: dict[str, int]
+    starts: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.index)
+
+    def sums(self, at: np.ndarray, langs: int) -> np.ndarray:
+        """Per language, the sum of ``above`` over the entries ``at``, which may repeat."""
+        n = self.starts[at + 1] - self.starts[at]
+        cells = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.lang[cells], self.above[cells], langs)
+
+
 @dataclass
 class Model:
-    """Log frequencies per language.  Bounded by the sample of labelled documents that it is fitted on."""
+    """Words and n-grams, and per kind (0 words, k n-grams of k) the log frequency of an unseen entry in each language."""
 
     langs: list[str]
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
+    words: Table
+    grams: Table
+    unseen: np.ndarray
     longest: int
 
 
@@ -48,13 +71,15 @@ def sample(docs: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
     return docs.where(F.col("text").isNotNull() & (place < below)).select("lang", "text")
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, keep: int | None = None, longest: int = 4, most_langs: int = 300) -> Model:
+def fit(docs: DataFrame, per_lang: int = 1500, keep: int | None = None, longest: int = 4, most_langs: int = 300, most_bytes: int = 1 << 30) -> Model:
     """Learn from a bounded sample of labelled rows: about ``per_lang`` documents of a language, chosen by hash, each
     read whole.
 
     Spark counts words and n-grams per language, and all of them make the model; given ``keep``, so many of each kind and
     language, the most frequent.  The bound is on rows: ``per_lang`` times the number of languages, itself at most
-    ``most_langs`` (more is an error).
+    ``most_langs`` (more is an error).  The model has a cell for each entry and language that were seen together,
+    and these take at most about ``most_bytes``, whatever the texts hold: where there are more, those counted least go, as many
+    counts as it takes.
     Rows with a null text or lang are left out; without a labelled row the model has no language.
     """
     picked = sample(docs, per_lang, most_langs)
@@ -84,69 +109,76 @@ def fit(docs: DataFrame, per_lang: int = 1500, keep: int | None = None, longest:
     counted = every = words.withColumn("k", F.lit(0)).unionByName(grams).persist()
     totals = {(r["lang"], r["k"]): (r["n"], r["v"]) for r in counted.groupBy("lang", "k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     langs = sorted({lang for lang, _ in totals})
-    place = {lang: i for i, lang in enumerate(langs)}
     if keep is not None:
         rank = F.row_number().over(W.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
         counted = counted.withColumn("rank", rank).where(F.col("rank") <= keep)
+    counted = counted.where(F.col("n") >= least_count(counted, most_bytes))
     number = F.array_position(F.array(*[F.lit(x) for x in langs]).cast("array<string>"), F.col("lang")) - 1
     top = counted.select(number.cast("int").alias("lang"), "k", "gram", "n").toArrow()
     every.unpersist()
     words.unpersist()
-    lang, kinds, n = (top.column(c).to_numpy() for c in ("lang", "k", "n"))
-    size = {k: np.array([totals.get((x, k), (1, 1))[0] for x in place], float) for k in range(longest + 1)}
-    most = {k: max([v for (_, kk), (_, v) in totals.items() if kk == k], default=1) for k in range(longest + 1)}
-    total = np.array([size[i] + 0.5 * (most[i] + 1) for i in range(longest + 1)])
-
-    def logs(part: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-        """Index and log frequencies of some entries; 0.5 is added to each count."""
-        index: dict[str, int] = {}
-        at = [index.setdefault(g, len(index)) for g in top.column("gram").filter(pa.array(part)).to_pylist()]
-        count = np.zeros((len(index), len(langs)))
-        count[at, lang[part]] = n[part]
-        k = np.zeros(len(index), int)
-        k[at] = kinds[part]
-        return index, np.log((count + 0.5) / total[k]).astype(np.float32)
-
-    return Model(langs, *logs(kinds == 0), *logs(kinds > 0), longest)
+    size = np.array([[totals.get((x, k), (1, 1))[0] for x in langs] for k in range(longest + 1)], float).reshape(longest + 1, len(langs))
+    most = [max([v for (_, kk), (_, v) in totals.items() if kk == k], default=1) for k in range(longest + 1)]
+    total = size + 0.5 * (np.array(most)[:, None] + 1)
+    is_word = pc.equal(top.column("k"), 0)
+    return Model(langs, cells(top.filter(is_word)), cells(top.filter(pc.invert(is_word))), np.log(0.5 / total), longest)
+
+
+def least_count(counted: DataFrame, most_bytes: int) -> int:
+    """The least count of which all rows that have as much or more fit into ``most_bytes``: 150 bytes and the entry's own for
+    each.  One row per different count leaves Spark."""
+    size = F.sum(150 + F.octet_length("gram"))
+    if (counted.agg(size).first()[0] or 0) <= most_bytes:
+        return 1
+    upto = 0
+    for r in counted.groupBy("n").agg(size.alias("bytes")).orderBy(F.desc("n")).toLocalIterator():
+        upto += r["bytes"]
+        if upto > most_bytes:
+            return r["n"] + 1
+    return 1
+
+
+def cells(rows: pa.Table) -> Table:
+    """The table of entries (lang, k, gram, n); 0.5 is added to each count."""
+    entries = rows.column("gram").combine_chunks().dictionary_encode() if rows.num_rows else None
+    at = entries.indices.to_numpy() if rows.num_rows else np.zeros(0, int)
+    index = {g: i for i, g in enumerate(entries.dictionary.to_pylist())} if rows.num_rows else {}
+    order = np.argsort(at, kind="stable")
+    above = np.log(rows.column("n").to_numpy() * 2.0 + 1)
+    return Table(index, np.searchsorted(at[order], np.arange(len(index) + 1)), rows.column("lang").to_numpy()[order].astype(np.int32), above[order].astype(np.float32))
 
 
 class Scorer:
-    """The model inside a task, with the scores of up to ``cache`` unseen words kept."""
-
-    def __init__(self, model: Model, cache: int = 100_000):
-        self.model, self.most = model, len(model.words) + cache
-        self.logs = np.zeros((self.most, max(1, len(model.langs))), np.float32)
-        self.logs[: len(model.words), : len(model.langs)] = model.word_logs
-        self.forget()
+    """The model inside a task, with the scores of unseen words kept, up to ``cache`` numbers of them."""
 
-    def forget(self) -> None:
-        self.index = dict(self.model.words)
+    def __init__(self, model: Model, cache: int = 4_000_000):
+        self.model, self.langs = model, len(model.langs)
+        self.most, self.kept = max(1, cache // max(1, self.langs)), {}
 
-    def unseen(self, word: str) -> np.ndarray | float:
-        """The mean over the word's n-grams of the greatest length of which any is known."""
-        p = f"^{word}$"
+    def backed_off(self, word: str) -> np.ndarray:
+        """The mean over the word's n-grams of the greatest length of which any is known; no evidence if none is."""
+        p, grams = f"^{word}$", self.model.grams
         for k in range(min(self.model.longest, len(p)), 0, -1):
-            known = [g for g in (self.model.grams.get(p[i : i + k]) for i in range(len(p) - k + 1)) if g is not None]
+            known = [g for g in (grams.index.get(p[i : i + k]) for i in range(len(p) - k + 1)) if g is not None]
             if known:
-                return self.model.gram_logs[known].mean(0)
-        return 0.0
+                return self.model.unseen[k] + grams.sums(np.array(known), self.langs) / len(known)
+        return np.zeros(self.langs)
 
     def mean(self, toks: list[str]) -> np.ndarray:
-        total = np.zeros(self.logs.shape[1])
+        total, words = np.zeros(self.langs), self.model.words
         for start in range(0, len(toks), 4096):
             part = toks[start : start + 4096]
-            if len(self.index) + len(part) > self.most:
-                self.forget()
-            at = list(map(self.index.get, part))
+            at = list(map(words.index.get, part))
             if None in at:
-                for i, x in enumerate(at):
-                    if x is None:
-                        x = self.index.get(part[i])
-                        if x is None:
-                            x = self.index[part[i]] = len(self.index)
-                            self.logs[x] = self.unseen(part[i])
-                        at[i] = x
-            total += self.logs[at].sum(0, dtype=float)
+                for x, n in Counter(x for x, i in zip(part, at) if i is None).items():
+                    if x not in self.kept:
+                        if len(self.kept) >= self.most:
+                            self.kept.clear()
+                        self.kept[x] = self.backed_off(x)
+                    total += n * self.kept[x]
+                at = [i for i in at if i is not None]
+            if at:
+                total += len(at) * self.model.unseen[0] + words.sums(np.array(at), self.langs)
         return total / len(toks)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -161,7 +193,7 @@ class Scorer:
         return self.model.langs[best], float(p[best] / p.sum())
 
 
-def identify(docs: DataFrame, model: Model, cache: int = 100_000) -> DataFrame:
+def identify(docs: DataFrame, model: Model, cache: int = 4_000_000) -> DataFrame:
     """(doc_id, lang_pred, score) for every row, from the text alone.
 
     Null texts and texts without a letter are ``und`` with score 0; ties go to the first language by name; very
@@ -170,7 +202,7 @@ def identify(docs: DataFrame, model: Model, cache: int = 100_000) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scoring(docs, model, 1, cache), "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, cache: int = 100_000) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, cache: int = 4_000_000) -> DataFrame:
     """``docs`` without the rows whose language is ``und``; all columns stay, names that clash with ours too."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
@@ -181,10 +213,12 @@ def keep_known(docs: DataFrame, model: Model, cache: int = 100_000) -> DataFrame
 
 def scoring(docs: DataFrame, model: Model, text: int, cache: int, every: bool = False):
     """A mapInArrow function: the first column, or all, then lang_pred and score from column number ``text``."""
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
+    plain = lambda t: tuple(vars(t).values())  # noqa: E731 (executors unpickle no class of ours from a broadcast)
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, plain(model.words), plain(model.grams), model.unseen, model.longest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Model(*sent.value), cache)
+        langs, words, grams, unseen, longest = sent.value
+        scorer = Scorer(Model(langs, Table(*words), Table(*grams), unseen, longest), cache)
         for b in sliced(batches):
             out = [scorer.predict(t) for t in b.column(text).to_pylist()]
             n = b.num_columns if every else 1

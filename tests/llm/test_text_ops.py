@@ -392,3 +392,48 @@ def test_unseen_words_back_off(spark):
     scorer = langid.Scorer(langid.fit(docs))
     assert scorer.predict("ababab")[0] == "l1" and scorer.predict("ghghgh")[0] == "l2"
     assert scorer.predict("zzz qqq")[0] in ("l1", "l2")
+
+
+def test_language_scores_match_brute_force(spark):
+    rows = [(i, " ".join(prose(i, 30).split()[:: 1 + i % 3]) if i % 2 else "ñandú azul über straße", f"l{i % 3}") for i in range(30)]
+    learned, longest = Counter(), 4
+    for _, text, lang in rows:
+        for w in langid.tokens(text):
+            learned[lang, 0, w] += 1
+            for k in range(1, longest + 1):
+                for j in range(len(w) + 3 - k):
+                    learned[lang, k, f"^{w}$"[j : j + k]] += 1
+    langs = ["l0", "l1", "l2"]
+    sums = {(lang, k): sum(n for (x, y, _), n in learned.items() if (x, y) == (lang, k)) for lang in langs for k in range(longest + 1)}
+    kinds = {(lang, k): sum((x, y) == (lang, k) for x, y, _ in learned) for lang in langs for k in range(longest + 1)}
+    most = {k: max(kinds[lang, k] for lang in langs) for k in range(longest + 1)}
+    log = lambda lang, k, x: math.log((learned[lang, k, x] + 0.5) / (sums[lang, k] + 0.5 * (most[k] + 1)))
+
+    def word(lang, w):
+        if any(learned[x, 0, w] for x in langs):
+            return log(lang, 0, w)
+        for k in range(min(longest, len(w) + 2), 0, -1):
+            known = [g for g in (f"^{w}$"[j : j + k] for j in range(len(w) + 3 - k)) if any(learned[x, k, g] for x in langs)]
+            if known:
+                return sum(log(lang, k, g) for g in known) / len(known)
+        return 0.0
+
+    texts = ["ñandú", "azulado über qqq", rows[1][1], rows[3][1] + " straßen zzz", "ü ü ü", "x" * 50]
+    asked = documents(spark, [(i, t, None) for i, t in enumerate(texts)])
+    model = langid.fit(documents(spark, rows))
+    for cache in (4_000_000, 3):
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(asked, model, cache).collect()}
+        for i, t in enumerate(texts):
+            toks = langid.tokens(t)
+            logs = [sum(word(lang, w) for w in toks) / len(toks) * math.sqrt(len(toks)) for lang in langs]
+            odds = [math.exp(x - max(logs)) for x in logs]
+            assert abs(got[i][1] - max(odds) / sum(odds)) < 1e-4
+            assert odds[langs.index(got[i][0])] > 0.9999
+
+
+def test_language_model_keeps_within_its_bytes(spark):
+    texts = " ".join(f"rare{k}" for k in range(400)) + " often" * 50
+    docs = documents(spark, [(i, texts if i == 0 else "often", "aa") for i in range(3)])
+    whole, small = langid.fit(docs), langid.fit(docs, most_bytes=20_000)
+    assert len(whole.words.index) == 401 and set(small.words) == {"often"} and len(small.words.index) + len(small.grams.index) < 130
+    assert langid.fit(docs, most_bytes=1).words.index == {} and langid.identify(docs, langid.fit(docs, most_bytes=1)).count() == 3
