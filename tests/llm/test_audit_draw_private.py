@@ -176,6 +176,11 @@ def test_trees_add_disguised_spans_and_leave_others_alone(spark):
     assert len(got - set(truth)) <= 0.1 * len(got)
 
 
+def test_rare_examples_of_a_large_table_are_learned_from(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id % 4500 = 7 THEN concat('write to ann', id, '@mail.example.com today') WHEN id % 50 = 0 THEN 'meet at noon.The end' ELSE concat('plain words ', id) END AS text")
+    assert pii.fit(docs).thresholds[0] < math.inf  # 14 rows of 60,000
+
+
 def test_private_data_of_awkward_rows(spark):
     rows = awkward() + [(50, "x@y.zz and +1 (017) 555-7713\n1.2.3.4"), (50, "x@y.zz and +1 (017) 555-7713\n1.2.3.4"), (51, "+4111111111111111 é x@y.zz")]
     docs = documents(spark, rows)
