@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,13 +125,18 @@ def candidates(values: DataFrame, similarity: float, cell: int = 512, few: int =
 def similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those pairs (a, b) of texts (h) of docs (h, text) whose sets of shingles have a Jaccard similarity of ``similarity``."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = materialize(docs.select("h", "text").join(nodes, "h", "left_semi").dropDuplicates(["h"]))
+    return alike(materialize(docs.select("h", "text").join(nodes, "h", "left_semi").dropDuplicates(["h"])), pairs, shingle, similarity)
+
+
+def alike(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """As ``similar``, of texts (h, text) with one row for each h in ``pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = lru_cache(4096)(lambda t: shingles(t, shingle))  # sets of short texts, which recur in many pairs
         for b in sliced(batches, 200):
             good = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = shingles(x, shingle), shingles(y, shingle)
+                x, y = (kept(t) if len(t or "") < 10_000 else shingles(t, shingle) for t in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ._common import apart, materialize, sliced
 from ._graph import components, spanning
+from .minhash import alike, best_forest, shingles
 
 BITS = 64
 
@@ -138,3 +140,135 @@ def simhash_first(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks:
     keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_h"))
     return docs.join(keep, same).drop("_id").dropDuplicates(["doc_id", "_h"]).drop("_h")
+
+
+#: Longs of fingerprints that travel with a key, for the Hamming check.
+CHECKED = 4
+
+
+def fingerprints(hashes: np.ndarray, many: int) -> np.ndarray:
+    """``many`` independent fingerprints of a set of 64-bit hashes: majority bits of the hashes, mixed anew for each."""
+    ones = np.zeros(many * BITS, np.int64)
+    steps = np.arange(1, many + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 8192):
+        z = hashes[at : at + 8192, None] + steps
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes)).view(np.int64)
+
+
+def bits_apart(similarity: float) -> float:
+    """The share of bits in which fingerprints of equally large sets of that Jaccard similarity differ; of sets of unlike
+    sizes they differ in fewer."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def plan(n: int, similarity: float, recall: float, cell: int) -> tuple[int, int]:
+    """(blocks, fingerprints): blocks short enough for ``recall`` and long enough that few of n unlike texts share one."""
+    blocks = next((b for b in (6, 5, 4) if n <= cell * 2 ** (BITS / b)), 3)
+    missed = (1 - (1 - bits_apart(similarity)) ** (BITS / blocks)) ** blocks
+    return blocks, max(CHECKED, math.ceil(math.log(1 - recall) / math.log(missed)))
+
+
+def near_pairs(values: DataFrame, similarity: float, blocks: int, many: int, cell: int, whole: bool = False) -> DataFrame:
+    """(a, b, cut): pairs of texts of values (h, root, fps) whose roots differ, that have a block of a fingerprint in common and
+    differ in few enough bits.
+
+    Each of the ``many`` fingerprints is cut into ``blocks`` blocks: those that differ in fewer bits than there are blocks have
+    one alike.  A key with more than ``cell`` texts is dealt into slots, and each pair of slots is a cell of its own.  Pairs
+    whose distance is over 4.5 standard deviations more than that of ``similarity`` go.  Where more than four pairs a text
+    are left in a cell, a forest of the nearest pairs stands for them, marked as ``cut``, unless ``whole`` is set.
+    """
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    block = [F.shiftrightunsigned("f", lo).bitwiseAND((1 << (hi - lo)) - 1).bitwiseOR(F.shiftleft((F.col("i") * blocks + j).cast("long"), 40)) for j, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    own = ["h", "root", *[f"f{i}" for i in range(CHECKED)]]
+    each = values.select("h", "root", *[F.col("fps")[i].alias(f"f{i}") for i in range(CHECKED)], F.posexplode("fps").alias("i", "f"))
+    keyed = each.select(F.explode(F.array(*block)).alias("k"), *own)
+    hot = materialize(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > cell))
+    slots = F.ceil(F.coalesce("n", F.lit(1)) / cell)
+    slot = F.pmod(F.xxhash64("h"), slots)
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), slots - 1), lambda t: F.struct(F.least(t, slot).alias("x"), F.greatest(t, slot).alias("y")))
+    dealt = keyed.join(hot, "k", "left").select("k", *own, F.explode(cells).alias("c")).select("k", "c.x", "c.y", *own)
+    width, p = CHECKED * BITS, bits_apart(similarity)
+    most = width * p + 4.5 * math.sqrt(width * p * (1 - p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64) for _ in range(3 + len(own))]
+        for b in batches:
+            cols = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, b.columns)]
+            starts = np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])) if len(cols[0]) else []
+            yield from closed(cols[3:], starts)
+            held = [c[starts[-1] :] for c in cols] if len(starts) else cols
+        yield from closed(held[3:], [0, len(held[0])])
+
+    def closed(cols: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, root = cols[:2]
+        fps = [c.view(np.uint64) for c in cols[2:]]
+        found = []
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            us, vs, ds = [], [], []
+            for at in range(lo, hi, 128):
+                left, right = slice(at, min(at + 128, hi)), slice(at, hi)
+                d = sum(np.bitwise_count(f[left, None] ^ f[None, right]).astype(np.int16) for f in fps)
+                u, v = np.nonzero(d <= most)
+                ok = (u < v) & (root[at + u] != root[at + v])
+                us.append(u[ok] + at)
+                vs.append(v[ok] + at)
+                ds.append(d[u[ok], v[ok]])
+            if us and (n := sum(map(len, us))):
+                u, v = np.concatenate(us), np.concatenate(vs)
+                if cut := not whole and n > 4 * (hi - lo):
+                    u, v = best_forest(u - lo, v - lo, -np.concatenate(ds), hi - lo)
+                    u, v = u + lo, v + lo
+                found.append((np.minimum(h[u], h[v]), np.maximum(h[u], h[v]), np.full(len(u), cut)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "cut"])
+
+    pairs = dealt.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(run, "a long, b long, cut boolean")
+    return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+
+
+@apart("doc_id", "text")
+def near_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.997, cell: int = 512) -> DataFrame:
+    """``docs`` with one row of each component of near-duplicates: that of the smallest (doc_id, text hash), null ids last.
+
+    Texts are linked when the Jaccard similarity of their sets of ``shingle``-word shingles, exactly, is ``similarity`` or more.
+    Several SimHash fingerprints of those sets, each cut into blocks, say which pairs are compared: a share of ``recall``
+    or more of those at ``similarity`` by formula, more above.  Where a cell's pairs were cut to a forest, its texts meet again
+    and all pairs that links do not connect by then are compared, so no link is lost to the cut.  Texts without a word are
+    similar to nothing and stay; of rows that agree on doc_id and text one stays; all columns stay; no rows give no rows.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
+    blocks, many = plan(keyed.count(), similarity, recall, cell)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = (shingles(t, shingle) for t in b.column(2).to_pylist())
+            fps = [fingerprints(s, many) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "h", "fps"])
+
+    signed = materialize(keyed.mapInArrow(run, "doc_id long, h long, fps array<long>"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    values = materialize(signed.where("fps is not null").groupBy("h").agg(F.min(place).alias("first"), F.first("fps").alias("fps")))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+        chosen = values.join(nodes, "h", "left_semi").select(F.col("first.doc_id").alias("_id"), F.col("h").alias("_h"))
+        texts = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("h", "text").dropDuplicates(["h"])
+        return materialize(alike(materialize(texts), pairs.select("a", "b"), shingle, similarity))
+
+    pairs = materialize(near_pairs(values.withColumn("root", F.col("h")), similarity, blocks, many, cell))
+    linked = links(pairs)
+    found = components(linked)
+    again = pairs.where("cut").select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    if again.head(1):
+        rooted = values.join(again, "h", "left_semi").join(found.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "fps")
+        rest = materialize(near_pairs(materialize(rooted), similarity, blocks, many, cell, whole=True).join(pairs, ["a", "b"], "left_anti"))
+        found = components(linked.unionByName(links(rest)))
+    rooted = values.select("h", "first").join(found.withColumnRenamed("node", "h"), "h", "left")
+    keep = rooted.groupBy(F.coalesce("root", "h")).agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
+    keep = keep.unionByName(signed.where("fps is null").select("doc_id", "h").distinct()).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_h"))
+    return docs.join(keep, same).drop("_id").dropDuplicates(["doc_id", "_h"]).drop("_h")

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from payproof.llm import minhash
+from payproof.llm import minhash, simhash
 
 from .data import documents, prose
 
@@ -49,3 +49,38 @@ def test_forest_keeps_what_strong_links_connect():
     for least in range(5):
         assert joined([e for e, z in strength.items() if z >= least]) == joined([e for e in zip(a, b) if strength[e] >= least])
     assert len(a) < 40
+
+
+def test_fingerprints_find_sets_at_the_threshold():
+    rng = np.random.default_rng(4)
+    for n in (100, 10**7, 10**9):
+        blocks, many = simhash.plan(n, 0.8, 0.997, 512)
+        edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+        met = 0
+        for _ in range(200):
+            pool = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+            fps = [simhash.fingerprints(np.unique(s), many).view(np.uint64) for s in (pool[:270], pool[30:])]
+            differ = fps[0] ^ fps[1]
+            met += any((differ >> np.uint64(lo) & np.uint64((1 << (hi - lo)) - 1) == 0).any() for lo, hi in zip(edges, edges[1:]))
+        assert met >= 196, (blocks, many, met)
+
+
+def test_no_link_is_lost_in_a_large_group(spark):
+    rng = np.random.default_rng(3)
+    base, rows = prose(0, 400, 9000).split(), []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(len(words), 5 + i % 3, replace=False):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8 and label[i] != label[j]:
+                high, low = max(label[i], label[j]), min(label[i], label[j])
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) == 65
+    docs = documents(spark, rows)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(label))
+    few = simhash.near_first(docs, cell=20)
+    assert sorted(r["doc_id"] for r in few.collect()) == sorted(set(label))
