@@ -8,13 +8,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import apart, materialize, sliced
 from ._graph import components, spanning
-from .minhash import alike, best_forest, shingles
+from .minhash import alike, shingles
 
 BITS = 64
 
@@ -172,27 +173,47 @@ def plan(n: int, similarity: float, recall: float, cell: int) -> tuple[int, int]
     return blocks, max(CHECKED, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
-def near_pairs(values: DataFrame, similarity: float, blocks: int, many: int, cell: int, whole: bool = False) -> DataFrame:
-    """(a, b, cut): pairs of texts of values (h, root, fps) whose roots differ, that have a block of a fingerprint in common and
-    differ in few enough bits.
+def most_apart(similarity: float) -> float:
+    """Bits of CHECKED fingerprints in which sets of that similarity differ at most, up to 4.5 standard deviations."""
+    width, p = CHECKED * BITS, bits_apart(similarity)
+    return width * p + 4.5 * math.sqrt(width * p * (1 - p))
+
+
+def close_pairs(fps: list[np.ndarray], most: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (u, v), u < v, of rows whose fingerprints differ in ``most`` bits or fewer."""
+    fps = [f.view(np.uint64) for f in fps]
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(fps[0]), 128):
+        d = sum(np.bitwise_count(f[at : at + 128, None] ^ f[None, at:]).astype(np.int16) for f in fps)
+        u, v = np.nonzero(d <= most)
+        us.append(u[u < v] + at)
+        vs.append(v[u < v] + at)
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def cells_of(slots: Column) -> Column:
+    """The cells of a text whose key is dealt into ``slots``: its own slot with each, so that any two texts meet in one."""
+    own = F.pmod(F.xxhash64("h"), slots)
+    return F.transform(F.sequence(F.lit(0).cast("long"), slots - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
+
+
+def near_pairs(values: DataFrame, similarity: float, blocks: int, many: int, cell: int) -> DataFrame:
+    """(a, b, dense): pairs of texts of values (h, fps) that have a block of a fingerprint in common and differ in few enough
+    bits.
 
     Each of the ``many`` fingerprints is cut into ``blocks`` blocks: those that differ in fewer bits than there are blocks have
-    one alike.  A key with more than ``cell`` texts is dealt into slots, and each pair of slots is a cell of its own.  Pairs
-    whose distance is over 4.5 standard deviations more than that of ``similarity`` go.  Where more than four pairs a text
-    are left in a cell, a forest of the nearest pairs stands for them, marked as ``cut``, unless ``whole`` is set.
+    one alike.  A key with more than ``cell`` texts is dealt into slots, and each pair of slots is a cell of its own.  A cell in
+    which the pairs are more than its texts is dense: it gives links that connect the same texts, not its pairs.
     """
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     block = [F.shiftrightunsigned("f", lo).bitwiseAND((1 << (hi - lo)) - 1).bitwiseOR(F.shiftleft((F.col("i") * blocks + j).cast("long"), 40)) for j, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    own = ["h", "root", *[f"f{i}" for i in range(CHECKED)]]
-    each = values.select("h", "root", *[F.col("fps")[i].alias(f"f{i}") for i in range(CHECKED)], F.posexplode("fps").alias("i", "f"))
+    own = ["h", *[f"f{i}" for i in range(CHECKED)]]
+    each = values.select("h", *[F.col("fps")[i].alias(f"f{i}") for i in range(CHECKED)], F.posexplode("fps").alias("i", "f"))
     keyed = each.select(F.explode(F.array(*block)).alias("k"), *own)
     hot = materialize(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > cell))
-    slots = F.ceil(F.coalesce("n", F.lit(1)) / cell)
-    slot = F.pmod(F.xxhash64("h"), slots)
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), slots - 1), lambda t: F.struct(F.least(t, slot).alias("x"), F.greatest(t, slot).alias("y")))
+    cells = cells_of(F.ceil(F.coalesce("n", F.lit(1)) / cell))
     dealt = keyed.join(hot, "k", "left").select("k", *own, F.explode(cells).alias("c")).select("k", "c.x", "c.y", *own)
-    width, p = CHECKED * BITS, bits_apart(similarity)
-    most = width * p + 4.5 * math.sqrt(width * p * (1 - p))
+    most = most_apart(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64) for _ in range(3 + len(own))]
@@ -204,30 +225,57 @@ def near_pairs(values: DataFrame, similarity: float, blocks: int, many: int, cel
         yield from closed(held[3:], [0, len(held[0])])
 
     def closed(cols: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        h, root = cols[:2]
-        fps = [c.view(np.uint64) for c in cols[2:]]
         found = []
         for lo, hi in zip(starts[:-1], starts[1:]):
-            us, vs, ds = [], [], []
-            for at in range(lo, hi, 128):
-                left, right = slice(at, min(at + 128, hi)), slice(at, hi)
-                d = sum(np.bitwise_count(f[left, None] ^ f[None, right]).astype(np.int16) for f in fps)
-                u, v = np.nonzero(d <= most)
-                ok = (u < v) & (root[at + u] != root[at + v])
-                us.append(u[ok] + at)
-                vs.append(v[ok] + at)
-                ds.append(d[u[ok], v[ok]])
-            if us and (n := sum(map(len, us))):
-                u, v = np.concatenate(us), np.concatenate(vs)
-                if cut := not whole and n > 4 * (hi - lo):
-                    u, v = best_forest(u - lo, v - lo, -np.concatenate(ds), hi - lo)
-                    u, v = u + lo, v + lo
-                found.append((np.minimum(h[u], h[v]), np.maximum(h[u], h[v]), np.full(len(u), cut)))
+            h, *fps = [c[lo:hi] for c in cols]
+            u, v = close_pairs(fps, most) if hi - lo > 1 else ([], [])
+            if len(u):
+                if dense := len(u) > hi - lo:
+                    u, v = spanning(u, v, hi - lo)
+                found.append((np.minimum(h[u], h[v]), np.maximum(h[u], h[v]), np.full(len(u), dense)))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "cut"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "dense"])
 
-    pairs = dealt.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(run, "a long, b long, cut boolean")
-    return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return dealt.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "h").mapInArrow(run, "a long, b long, dense boolean").distinct()
+
+
+def group_links(members: DataFrame, shingle: int, similarity: float, cell: int) -> DataFrame:
+    """Links (a, b) that connect what all pairs of texts of one group with a Jaccard similarity of ``similarity`` connect.
+
+    ``members`` (g, h, fps, text) has each text in one group.  Their sets of shingles meet in cells of at most about
+    ``2 * cell`` texts and a million hashes, where the pairs that differ in few enough bits are compared exactly.  From
+    each cell come only the links of a spanning forest, so that no row is made of a pair.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = [shingles(t, shingle).view(np.int64) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["g", "h", "fps", "hashes"])
+
+    sets = materialize(members.select("g", "h", "fps", "text").mapInArrow(cut, "g long, h long, fps array<long>, hashes array<long>"))
+    slots = F.ceil(F.greatest(F.count("*") / cell, F.sum(F.size("hashes")) / (1 << 19)))
+    hot = materialize(sets.groupBy("g").agg(slots.alias("slots")).where("slots > 1"))
+    checked = [F.col("fps")[i].alias(f"f{i}") for i in range(CHECKED)]
+    dealt = sets.join(hot, "g", "left").select("g", "h", *checked, "hashes", F.explode(cells_of(F.coalesce("slots", F.lit(1)))).alias("c")).select("*", "c.x", "c.y").drop("c")
+    most = most_apart(similarity)
+
+    def run(t: pa.Table) -> pa.Table:
+        h, n = t["h"].to_numpy(), t.num_rows
+        u, v = close_pairs([t[f"f{i}"].to_numpy() for i in range(CHECKED)], most)
+        size = pc.list_value_length(t["hashes"]).to_numpy().astype(np.int64)
+        _, at, many = np.unique(pc.list_flatten(t["hashes"]).to_numpy(), return_inverse=True, return_counts=True)
+        shared = many[at] > 1  # a hash of one text is in no intersection
+        row, at = np.repeat(np.arange(n), size)[shared], (np.cumsum(many > 1) - 1)[at[shared]]
+        bits = np.zeros((n, np.count_nonzero(many > 1) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        step = max(1, (1 << 20) // bits.shape[1])
+        both = [np.bitwise_count(bits[u[i : i + step]] & bits[v[i : i + step]]).sum(1, dtype=np.int64) for i in range(0, len(u), step)]
+        both = np.concatenate([np.empty(0, np.int64), *both])
+        good = both + 1e-9 >= similarity * (size[u] + size[v] - both)
+        a, b = spanning(u[good], v[good], n)
+        return pa.table({"a": h[a], "b": h[b]})
+
+    return dealt.groupBy("g", "x", "y").applyInArrow(run, "a long, b long")
 
 
 @apart("doc_id", "text")
@@ -236,9 +284,10 @@ def near_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recal
 
     Texts are linked when the Jaccard similarity of their sets of ``shingle``-word shingles, exactly, is ``similarity`` or more.
     Several SimHash fingerprints of those sets, each cut into blocks, say which pairs are compared: a share of ``recall``
-    or more of those at ``similarity`` by formula, more above.  Where a cell's pairs were cut to a forest, its texts meet again
-    and all pairs that links do not connect by then are compared, so no link is lost to the cut.  Texts without a word are
-    similar to nothing and stay; of rows that agree on doc_id and text one stays; all columns stay; no rows give no rows.
+    or more of those at ``similarity`` by formula, more above.  Pairs of sparse cells are compared one by one; texts that links
+    of dense cells connect are a group, of which all pairs are compared inside the tasks, so no link is lost.  Texts
+    without a word are similar to nothing and stay; of rows that agree on doc_id and text one stays; all columns stay; no rows
+    give no rows.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
     blocks, many = plan(keyed.count(), similarity, recall, cell)
@@ -253,20 +302,17 @@ def near_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recal
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
     values = materialize(signed.where("fps is not null").groupBy("h").agg(F.min(place).alias("first"), F.first("fps").alias("fps")))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    def texts(nodes: DataFrame) -> DataFrame:
         chosen = values.join(nodes, "h", "left_semi").select(F.col("first.doc_id").alias("_id"), F.col("h").alias("_h"))
-        texts = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("h", "text").dropDuplicates(["h"])
-        return materialize(alike(materialize(texts), pairs.select("a", "b"), shingle, similarity))
-
-    pairs = materialize(near_pairs(values.withColumn("root", F.col("h")), similarity, blocks, many, cell))
-    linked = links(pairs)
+        return keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("h", "text").dropDuplicates(["h"])
+
+    pairs = materialize(near_pairs(values, similarity, blocks, many, cell))
+    sparse, dense = (pairs.where(F.col("dense") == d).select("a", "b") for d in (False, True))
+    linked = alike(materialize(texts(sparse.select(F.explode(F.array("a", "b")).alias("h")).distinct())), sparse, shingle, similarity)
+    if dense.head(1):
+        groups = components(dense).select(F.explode(F.array("node", "root")).alias("h"), F.col("root").alias("g")).distinct()  # roots have no rows of their own
+        linked = linked.unionByName(group_links(texts(groups).join(groups, "h").join(values.select("h", "fps"), "h"), shingle, similarity, cell))
     found = components(linked)
-    again = pairs.where("cut").select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    if again.head(1):
-        rooted = values.join(again, "h", "left_semi").join(found.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "fps")
-        rest = materialize(near_pairs(materialize(rooted), similarity, blocks, many, cell, whole=True).join(pairs, ["a", "b"], "left_anti"))
-        found = components(linked.unionByName(links(rest)))
     rooted = values.select("h", "first").join(found.withColumnRenamed("node", "h"), "h", "left")
     keep = rooted.groupBy(F.coalesce("root", "h")).agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
     keep = keep.unionByName(signed.where("fps is null").select("doc_id", "h").distinct()).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))

@@ -84,3 +84,32 @@ def test_no_link_is_lost_in_a_large_group(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(label))
     few = simhash.near_first(docs, cell=20)
     assert sorted(r["doc_id"] for r in few.collect()) == sorted(set(label))
+
+
+def test_rows_do_not_grow_with_the_pairs_of_a_group(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base, rows = prose(0, 400, 9000).split(), []
+    for i in range(240):
+        words = list(base)
+        for at in rng.choice(len(words), 2 if i % 60 == 0 else 9, replace=False):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    near = {(i, j) for j in range(len(rows)) for i in range(j) if jaccard(rows[i][1], rows[j][1]) >= 0.8}
+    label = list(range(len(rows)))
+    for i, j in near:
+        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    compared, made, alike = [], [], simhash.alike
+
+    def counted(f):
+        def run(*a, **k):
+            out = simhash.materialize(f(*a, **k))
+            made.append(out.count())
+            return out
+
+        return run
+
+    monkeypatch.setattr(simhash, "alike", lambda texts, pairs, *a: compared.append(pairs.count()) or alike(texts, pairs, *a))
+    monkeypatch.setattr(simhash, "near_pairs", counted(simhash.near_pairs))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect())
+    assert kept == sorted(set(label)) and 100 < len(kept) < len(rows)
+    assert sum(compared) <= 4 * len(rows) and sum(made) <= 36 * len(rows) < len(rows) * (len(rows) - 1) / 2
