@@ -210,7 +210,8 @@ def near_pairs(values: DataFrame, similarity: float, blocks: int, many: int, cel
     own = ["h", *[f"f{i}" for i in range(CHECKED)]]
     each = values.select("h", *[F.col("fps")[i].alias(f"f{i}") for i in range(CHECKED)], F.posexplode("fps").alias("i", "f"))
     keyed = each.select(F.explode(F.array(*block)).alias("k"), *own)
-    hot = materialize(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > cell))
+    none = values.sparkSession.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(1).cast("long").alias("n"))  # no text's key: the plan is the same for tables without hot keys
+    hot = materialize(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > cell).unionByName(none))
     cells = cells_of(F.ceil(F.coalesce("n", F.lit(1)) / cell))
     dealt = keyed.join(hot, "k", "left").select("k", *own, F.explode(cells).alias("c")).select("k", "c.x", "c.y", *own)
     most = most_apart(similarity)
