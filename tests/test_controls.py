@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,31 @@ def test_runs_match_brute_force(spark):
     kept.unpersist()
 
 
+def test_runs_of_many_documents_a_number(spark):
+    """12,000 documents of a supplier over 40 numbers: a lookup per document and number, not a comparison per two documents."""
+    n = 12_000
+    k = F.col("id")
+    d = spark.range(n).select("id", k.alias("input_idx"), F.lit("Run Co").alias("vendor"), F.date_sub(F.lit(DAY), (k % 400).cast("int")).alias("date"), (k % 977 + 100).cast("decimal(18,4)").alias("total"), F.concat(F.lit("N-"), (k % 40 + 50).cast("string")).alias("invoice_number"), F.lit(TODAY).alias("today"))
+    kept, priors = history.keyed(d, None, Config(), TODAY)
+    kept.count()
+    began = time.time()
+    found = history.sequential_runs(kept, priors, Config()).select("id", "run_length", F.element_at("related", 1).alias("one"), F.size("related").alias("n")).collect()
+    assert time.time() - began < 40
+    assert len(found) == n and {(r["run_length"], r["n"]) for r in found} == {(40, 39)} and max(r["one"] for r in found) == 1
+    kept.unpersist()
+
+
+def test_runs_leave_out_the_own_id_under_another_number(spark):
+    """A ledger that holds a document's id under the next number, once alone and once beside another prior."""
+    kept, _ = numbered(spark, [(n, 10, "50") for n in (1, 2, 4)])
+    past = spark.createDataFrame([(1, "Run Co", D("50"), DAY, "N-3"), (0, "Run Co", D("50"), DAY, "N-3"), (2, "Run Co", D("50"), DAY, "N-5")], schema(spark, "document_id long, vendor string, total decimal(18,4), date date, invoice_number string"))
+    docs_ = kept.select("id", "input_idx", F.lit("Run Co").alias("vendor"), "date", "total", F.concat(F.lit("N-"), F.col("serial").cast("string")).alias("invoice_number"), F.lit(TODAY).alias("today"))
+    kept, priors = history.keyed(docs_, past, Config(), TODAY)
+    got = {r["id"]: (r["first"], r["last"], r["related"]) for r in history.sequential_runs(kept, priors, Config()).collect()}
+    assert got == {0: (1, 5, [1, 1, 2, 2]), 1: (1, 5, [0, 0, 2, 2]), 2: (1, 4, [0, 0, 1])}
+    kept.unpersist()
+
+
 def test_hot_groups_make_no_pairs(spark):
     """A supplier's 600 equal documents: two minima for P-002, one list for P-017, no pair rows."""
     d = spark.range(600).select("id", F.col("id").alias("input_idx"), F.lit("One").alias("vendor"), F.lit(DAY).alias("date"), F.lit("9500").cast("decimal(18,4)").alias("total"), F.lit("A-1").alias("invoice_number"), F.lit(TODAY).alias("today"))
