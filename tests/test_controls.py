@@ -216,6 +216,26 @@ def test_findings_with_the_fields_that_are_read(spark):
     assert brief.summary().collect() == whole.summary().collect() and "consecutive invoice" in plan_of(whole.results) and "consecutive invoice" not in plan_of(brief.results)
 
 
+def test_few_names_are_compared_once(spark):
+    """30 names over 3,000 documents: by names beforehand and by pairs of documents the same hits, those of all pairs."""
+    rng = random.Random(11)
+    names = [f"{a} {b}" for a in ("Northwind", "Nortwhind", "Northwood", "Fabrikam", "Fabrikan", "Contoso") for b in ("Trading Ltd", "Trading Limited", "Services", "Logistics", "Supplies")]
+    rows = [(i, rng.choice(names), DAY + dt.timedelta(rng.randint(0, 60)), (D(rng.choice([1, 2, 40, 90_000, -700])) * (1 + D(rng.randint(-80, 80)) / 10000)).quantize(D("0.0001"))) for i in range(3000)]
+    d = spark.createDataFrame([(i, i, v, t, x, None, TODAY) for i, v, t, x in rows], schema(spark, "id long, input_idx long, vendor string, date date, total decimal(18,4), invoice_number string, today date"))
+    kept, priors = history.keyed(d, None, Config(), TODAY)
+    assert history.alike_names(kept, priors, Config(), 101) is None
+    hits = lambda per: sorted((r["id"], r["p_id"], round(r["sim"], 9)) for r in history.near_hits(kept, priors, Config(), per).select("id", "p_id", "sim").collect())
+    got = hits(100)
+    assert "jaro_winkler" not in plan_of(history.near_pairs(kept, priors, Config(), names=history.alike_names(kept, priors, Config(), 100))).split("InMemoryTableScan")[0]
+    assert got == hits(10**6) and len(got) > 3000
+    keys = [v.lower() for _, v, _, _ in rows]
+    sims = {(a, b): similarity(a, b) for a in set(keys) for b in set(keys)}
+    off = lambda x, y: max(max(abs(x), abs(y)) * Config().near_dup_amount_ratio, D("0.01"))
+    want = [(i, j) for (i, _, t, x), (j, _, u, y) in itertools.permutations(rows, 2) if abs((t - u).days) <= 7 and abs(x - y) <= off(x, y) and (keys[i], x, t) != (keys[j], y, u) and sims[keys[i], keys[j]] >= 0.92]
+    assert [x[:2] for x in got] == sorted(want)
+    kept.unpersist()
+
+
 def test_hot_groups_make_no_pairs(spark):
     """A supplier's 600 equal documents: two minima for P-002, one list for P-017, no pair rows."""
     d = spark.range(600).select("id", F.col("id").alias("input_idx"), F.lit("One").alias("vendor"), F.lit(DAY).alias("date"), F.lit("9500").cast("decimal(18,4)").alias("total"), F.lit("A-1").alias("invoice_number"), F.lit(TODAY).alias("today"))
