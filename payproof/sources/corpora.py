@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import lenient_date
@@ -55,6 +56,27 @@ def case_history(cases: DataFrame, ledger: DataFrame, lookback_days: int = 180)
     return c.join(p, "_k").where((F.col("_d") >= F.col("_since")) & ~F.col("prior.document_id").eqNullSafe(F.col("_own"))).select("case_id", "prior")
 
 
+def case_totals(cases: DataFrame, ledger: DataFrame, lookback_days: int = 180) -> DataFrame:
+    """(case_id, priors, amount, implied) of the cases that ``case_history`` gives priors: how many, their sum, and how many of them
+    labels imply.  A supplier's ledger is added up by date, so cases meet sums and no priors but their own document."""
+    c = cases.where("vendor <> ''").select("case_id", F.col("document_id").alias("_own"), vendor_key(F.col("vendor")).alias("_k"), F.date_sub("today", lookback_days).alias("_d")).where(F.col("_d").isNotNull())
+    p = ledger.where("date is not null").select(vendor_key(F.col("vendor")).alias("_k"), F.col("date").alias("_d"), "document_id", "total").where(F.col("_k").isNotNull())
+    wide = "decimal(38,4)"
+    sums = lambda: (F.count("*").alias("n"), F.sum(F.col("total").cast(wide)).cast(wide).alias("s"), F.count_if(F.col("document_id") > SYNTHETIC_FROM).alias("i"))
+    days = p.groupBy("_k", "_d").agg(*sums()).unionByName(c.select("_k", "_d").distinct().withColumns({"n": F.lit(0).cast("long"), "s": F.lit(None).cast(wide), "i": F.lit(0).cast("long")}))
+    since = W.partitionBy("_k").orderBy(F.desc("_d")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    later = days.select("_k", "_d", *[F.sum(x).over(since).alias(x) for x in ("n", "s", "i")]).distinct()
+    own = p.withColumnRenamed("_d", "_at").withColumn("_id", F.col("document_id"))
+    mine = c.join(own, (c["_k"] == own["_k"]) & c["_own"].eqNullSafe(own["_id"]) & (own["_at"] >= c["_d"])).select("case_id", c["_own"], c["_k"], c["_d"], "document_id", "total").groupBy("case_id", "_own", "_k", "_d").agg(*sums())
+    less = mine.select("case_id", F.col("_own").alias("_o"), F.col("_k").alias("_mk"), F.col("_d").alias("_md"), F.col("n").alias("mn"), F.col("s").alias("ms"), F.col("i").alias("mi"))
+    all_of = c.groupBy("case_id", "_own", "_k", "_d").agg(F.count("*").alias("times")).join(later, ["_k", "_d"])
+    less = less.withColumnRenamed("case_id", "_c")
+    at = F.col("case_id").eqNullSafe(F.col("_c")) & F.col("_own").eqNullSafe(F.col("_o")) & (F.col("_k") == F.col("_mk")) & (F.col("_d") == F.col("_md"))
+    none = lambda x: F.coalesce(x, F.lit(0))
+    left = all_of.join(less, at, "left").select("case_id", (F.col("n") * F.col("times") - none("mn")).alias("n"), (none("s") * F.col("times") - none("ms")).alias("s"), (F.col("i") * F.col("times") - none("mi")).alias("i"))
+    return left.groupBy("case_id").agg(F.sum("n").alias("priors"), F.sum("s").cast("decimal(28,4)").alias("amount"), F.sum("i").alias("implied")).where("priors > 0")
+
+
 def scored_rules(rows: DataFrame) -> list[str]:
     """The controls that some label of the list expects, sorted: the ones that it can score.  At most as many as there are controls."""
     return sorted(r["r"] for r in rows.select(F.explode("expected").alias("r")).distinct().collect())

@@ -332,3 +332,19 @@ def test_ledger_of_a_labelled_list(spark, tmp_path):
     cases = spark.createDataFrame([(1, 2, "acme LTD", TODAY), (2, 9, "", TODAY), (3, 3, "Acme Ltd", dt.date(2025, 3, 1))], "case_id long, document_id long, vendor string, today date")
     found = {(r["case_id"], r["prior"]["document_id"]) for r in corpora.case_history(cases, ledger).collect()}
     assert found == {(1, 1), (1, 3), (1, 900_002), (3, 1), (3, 2), (3, 6), (3, 900_002), (3, 900_006)}
+
+
+def test_case_totals_are_the_sums_of_case_histories(spark):
+    """Cases with and without their own document in the ledger, unknown amounts, dates and ids, suppliers spelt alike, equal cases."""
+    from pyspark.sql import functions as F
+
+    money = "decimal(18,4)"
+    made = spark.range(400).select("id", (F.col("id") * 37 % 11).alias("v"), (F.col("id") * 101 % 300).cast("int").alias("age"))
+    vendor = F.when(F.col("v") == 10, None).when(F.col("v") % 2 == 0, F.concat(F.lit("Shop "), F.col("v").cast("string"))).otherwise(F.concat(F.lit("SHOP. "), (F.col("v") - 1).cast("string")))
+    day = F.date_sub(F.lit("2026-06-30").cast("date"), F.col("age"))
+    ledger = made.select(F.when(F.col("id") % 50 != 0, F.when(F.col("id") % 3 == 0, F.col("id") + 900_000).otherwise(F.col("id"))).alias("document_id"), vendor.alias("vendor"), F.when(F.col("id") % 7 != 0, F.col("id").cast(money)).alias("total"), F.when(F.col("id") % 31 != 0, day).alias("date"), F.lit(None).cast("string").alias("invoice_number"))
+    cases = made.select(F.col("id").alias("case_id"), F.when(F.col("id") % 13 != 0, F.col("id")).alias("document_id"), vendor.alias("vendor"), F.when(F.col("id") % 17 != 0, day).alias("today"))
+    cases = cases.unionByName(cases.where("case_id < 20"))
+    found = corpora.case_history(cases, ledger).groupBy("case_id").agg(F.count("*"), F.coalesce(F.sum("prior.total"), F.lit(0)).cast("decimal(28,4)"), F.count_if(F.col("prior.document_id") > corpora.SYNTHETIC_FROM))
+    totals = corpora.case_totals(cases, ledger)
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, found.collect())) and found.count() > 200
