@@ -236,6 +236,24 @@ def test_few_names_are_compared_once(spark):
     kept.unpersist()
 
 
+def test_history_sizes_match_brute_force_without_pairs(spark):
+    rng = random.Random(4)
+    rows = [(i, f"Shop {'ABCDE'[min(i % 7, 4)]}" if i else "Alone", DAY - dt.timedelta(rng.choice([1, 100, 175, 190, 400])), rng.choice([D("100"), D("100.4"), D("101"), D("-5"), D("0.01")])) for i in range(150)]
+    past = [(3, rows[3][1], D("100"), DAY, None), (900, "Shop A", None, DAY, None), (901, "Shop A", D("100.5"), None, None)]
+    d = spark.createDataFrame([(i, i, v, t, x, None, TODAY) for i, v, t, x in rows], schema(spark, "id long, input_idx long, vendor string, date date, total decimal(18,4), invoice_number string, today date"))
+    led = spark.createDataFrame(past, schema(spark, "document_id long, vendor string, total decimal(18,4), date date, invoice_number string"))
+    kept, priors = history.keyed(d, led, Config(), TODAY)
+    found = history.admitted_counts(kept, priors, Config())
+    want = {}
+    for i, v, _, x in rows:
+        mine = [(t is not None and t >= TODAY - dt.timedelta(180), y is not None and abs(y - x) <= abs(x) * D("0.0055") + D("0.01")) for j, w, t, y in [*rows, *((j, w, t, y) for j, w, y, t, _ in past)] if j != i and w == v]
+        if mine:
+            want[i] = (sum(a for a, _ in mine), sum(b for _, b in mine), sum(a or b for a, b in mine))
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == want and 0 not in want and len(want) == 149
+    assert "Join" not in plan_of(found)
+    kept.unpersist()
+
+
 def test_hot_groups_make_no_pairs(spark):
     """A supplier's 600 equal documents: two minima for P-002, one list for P-017, no pair rows."""
     d = spark.range(600).select("id", F.col("id").alias("input_idx"), F.lit("One").alias("vendor"), F.lit(DAY).alias("date"), F.lit("9500").cast("decimal(18,4)").alias("total"), F.lit("A-1").alias("invoice_number"), F.lit(TODAY).alias("today"))
